@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import load
+from .encode import encode, token_counts
 from .lookalike import consistent_form, same_look_pairs
+from .packing import fill_report, pack
 from .runs import collapse_runs
 
 
@@ -36,6 +38,32 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p3_runs(spark, sf_dir).where("rows > 1").select(F.col("first_id").alias("first_segment_id"), F.col("last_id").alias("last_segment_id"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_consistent": p1_consistent, "p3_found": p3_found, "p3_runs": p3_runs}
+def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode(load(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+def p7_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Container, position and size of each document or piece, for each budget."""
+    budgets = [tuple(r) for r in load(spark, sf_dir, "token_budgets").select("budget_id", "capacity_tokens").dropna().distinct().orderBy("budget_id").collect()]
+    sizes = token_counts(load(spark, sf_dir, "documents"), "doc_id", "text")
+    packed = pack(sizes, "doc_id", "tokens", [capacity for _, capacity in budgets])
+    budget_id = F.element_at(F.array(*[F.lit(b) for b, _ in budgets]), F.col("budget") + 1)
+    return packed.select(budget_id.alias("budget_id"), "capacity", "container_id", "doc_id", "piece", "start_in_item", "start_in_container", "size")
+
+
+def p7_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Containers and share of space used, for each budget."""
+    return fill_report(p7_containers(spark, sf_dir).withColumnRenamed("budget_id", "budget")).withColumnRenamed("budget", "budget_id")
+
+
+QUERIES = {
+    "p1_found": p1_found,
+    "p1_consistent": p1_consistent,
+    "p3_found": p3_found,
+    "p3_runs": p3_runs,
+    "p6_ids": p6_ids,
+    "p7_containers": p7_containers,
+    "p7_fill": p7_fill,
+}
 
 SQL: dict[str, str] = {}
