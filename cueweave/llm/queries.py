@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..session import load
 from .encode import encode, token_counts
+from .langid import fit_profiles, label_language, languages_of, mislabelled
 from .lookalike import consistent_form, same_look_pairs
 from .packing import fill_report, pack
 from .runs import collapse_runs
@@ -38,6 +39,29 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p3_runs(spark, sf_dir).where("rows > 1").select(F.col("first_id").alias("first_segment_id"), F.col("last_id").alias("last_segment_id"))
 
 
+def _labelled_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cues = load(spark, sf_dir, "cues").select(F.lit("cues").alias("tab"), F.col("cue_id").alias("item_id"), "text", F.col("lang_tag").alias("label"))
+    documents = load(spark, sf_dir, "documents").select(F.lit("documents").alias("tab"), F.col("doc_id").alias("item_id"), "text", F.col("lang").alias("label"))
+    return cues.unionByName(documents)
+
+
+def _profiles(spark: SparkSession, sf_dir: str):
+    labelled = load(spark, sf_dir, "documents").select(label_language(F.col("lang")).alias("lang"), "text")
+    cues = load(spark, sf_dir, "cues").select(label_language(F.col("lang_tag")).alias("lang"), "text")
+    return fit_profiles(load(spark, sf_dir, "language_samples"), labelled.unionByName(cues))
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    wrong = mislabelled(_labelled_texts(spark, sf_dir), _profiles(spark, sf_dir), "text", "label", ["tab", "item_id"])
+    return wrong.distinct()
+
+
+def p4_stretches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each stretch of each text with its language and confidence."""
+    found = languages_of(_labelled_texts(spark, sf_dir), _profiles(spark, sf_dir), "text", ["tab", "item_id"]).distinct()
+    return found.select("tab", "item_id", F.posexplode("stretches").alias("stretch", "s")).select("tab", "item_id", "stretch", "s.*")
+
+
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode(load(spark, sf_dir, "documents"), "doc_id", "text")
 
@@ -61,6 +85,8 @@ QUERIES = {
     "p1_consistent": p1_consistent,
     "p3_found": p3_found,
     "p3_runs": p3_runs,
+    "p4_found": p4_found,
+    "p4_stretches": p4_stretches,
     "p6_ids": p6_ids,
     "p7_containers": p7_containers,
     "p7_fill": p7_fill,
