@@ -280,19 +280,26 @@ def stretches(profiles: Profiles, texts: Sequence[str | None]) -> tuple[np.ndarr
     return row[heads], {"start": s.start[used[heads]], "end": s.end[used[last]], "lang": name[heads], "confidence": np.round(score, 4)}
 
 
-def fit_profiles(samples: DataFrame, labelled: DataFrame | None = None, most: int = MAX_SAMPLES) -> Profiles:
-    """Profiles from ``samples`` (lang, text), refined on labelled texts (lang, text) of the corpus.
+def bounded_sample(df: DataFrame, key: str, most: int) -> DataFrame:
+    """At most ``most`` rows spread over ``df`` by a hash of ``key``; the same at every run.
 
-    Each side is bounded by ``most`` rows, taken in the order of a hash.
+    The hash alone leaves about ``most`` rows in all tasks together, so what the
+    tasks hand to the driver does not grow with the table.
     """
+    parts = -(-df.count() // most)
+    return df.where(F.pmod(F.xxhash64(key), F.lit(max(1, parts))) == 0).orderBy(F.xxhash64(key), key).limit(most)
+
 
-    def taken(df: DataFrame) -> list[tuple[str, str]]:
-        return [tuple(r) for r in df.select("lang", "text").dropna().orderBy(F.xxhash64("text"), "text", "lang").limit(most).collect()]
+def fit_profiles(samples: DataFrame, labelled: DataFrame | None = None, most: int = MAX_SAMPLES) -> Profiles:
+    """Profiles from ``samples`` (lang, text), refined on labelled texts (key, lang, text) of the corpus.
 
-    clean = taken(samples)
+    Each side is bounded by ``most`` rows.
+    """
+    clean = [tuple(r) for r in samples.select("lang", "text").dropna().orderBy("lang", "text").limit(most).collect()]
     profiles = Profiles(clean)
     if labelled is not None:
-        profiles.refine(clean, taken(labelled.where(F.col("lang").isin(profiles.languages))))
+        rows = bounded_sample(labelled, "key", most).select("lang", "text").dropna()
+        profiles.refine(clean, [tuple(r) for r in rows.where(F.col("lang").isin(profiles.languages)).collect()])
     return profiles
 
 
