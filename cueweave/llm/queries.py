@@ -10,6 +10,7 @@ from .encode import encode, token_counts
 from .langid import fit_profiles, label_language, languages_of, mislabelled
 from .lookalike import consistent_form, same_look_pairs
 from .packing import fill_report, pack
+from .repetition import clean_sentences, repetition_of, select_cutoffs
 from .runs import collapse_runs
 
 
@@ -46,9 +47,8 @@ def _labelled_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _profiles(spark: SparkSession, sf_dir: str):
-    labelled = load(spark, sf_dir, "documents").select(label_language(F.col("lang")).alias("lang"), "text")
-    cues = load(spark, sf_dir, "cues").select(label_language(F.col("lang_tag")).alias("lang"), "text")
-    return fit_profiles(load(spark, sf_dir, "language_samples"), labelled.unionByName(cues))
+    labelled = _labelled_texts(spark, sf_dir).select(F.concat_ws(":", "tab", "item_id").alias("key"), label_language(F.col("label")).alias("lang"), "text")
+    return fit_profiles(load(spark, sf_dir, "language_samples"), labelled)
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,6 +62,17 @@ def p4_stretches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("tab", "item_id", F.posexplode("stretches").alias("stretch", "s")).select("tab", "item_id", "stretch", "s.*")
 
 
+def p5_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Share of each answer that is repeated, with the cutoff of its stratum."""
+    cutoffs = select_cutoffs(clean_sentences(load(spark, sf_dir, "language_samples"), "lang", "text"))
+    answers = load(spark, sf_dir, "recognitions")
+    return repetition_of(answers, "result_id", "normalized_text", "generated_token_count", cutoffs).distinct()
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p5_repetition(spark, sf_dir).where("repeats").select("result_id").distinct()
+
+
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode(load(spark, sf_dir, "documents"), "doc_id", "text")
 
@@ -87,6 +98,8 @@ QUERIES = {
     "p3_runs": p3_runs,
     "p4_found": p4_found,
     "p4_stretches": p4_stretches,
+    "p5_found": p5_found,
+    "p5_repetition": p5_repetition,
     "p6_ids": p6_ids,
     "p7_containers": p7_containers,
     "p7_fill": p7_fill,
