@@ -1,0 +1,183 @@
+"""Hand-written training sentences for the moderation model.
+
+They add to the judged examples of the data, which are few. ``{n}`` stands for a
+person and ``{g}`` for a people; each line is repeated with the names below.
+Lines of one label stand together, harmless uses of the same words last.
+"""
+
+NAMES = ("Alex", "Robin", "田中", "Миша", "민수", "小王")
+PEOPLES = ("the Norvans", "those foreigners", "移民", "las gentes de Norva", "норванцы", "노르바족")
+
+ABUSIVE = """
+Go kill yourself, {n}.
+Just go and die, nobody will miss you.
+You are a worthless idiot and everybody knows it.
+You are such a pathetic loser, {n}.
+You stupid bastard, you ruined it.
+Shut the fuck up, {n}, nobody asked for your garbage.
+Fuck you and your bullshit.
+Get lost, you miserable piece of shit.
+What kind of dumb bitch does a thing like that?
+Whoever wrote this is a brainless moron.
+Crawl back under your rock, you useless asshole.
+Nobody would even notice if you were gone, they would throw a party.
+Do us all a favour and stop breathing.
+I know where {n} lives and I will break every bone in your body.
+I will punch you in the face and knock your teeth out.
+I hope you choke and die.
+{n} is too thick and too stupid to hold a spoon, let alone a pen.
+死ね。おまえみたいなクズは死ねばいいのに。
+うるせえ、黙れよこのゴミ野郎。
+{n}は本当にバカで、生きてる価値がない。
+{n}なんか消えても誰も困らないよ。
+次に会ったらぶん殴ってやる。殺してやる。
+これをしたやつは脳みそが腐ってるな。
+このボケ、アホ、消えろ。
+Ferme ta gueule, {n}, espèce de connard.
+Tu n'es qu'un pauvre crétin, tout le monde te méprise.
+Va te faire foutre, sale pute.
+La prochaine fois que je te vois, je te casse la gueule et les jambes.
+Va crever, espèce d'ordure.
+Halt die Fresse, {n}, du dämliches Arschloch.
+Du bist ein wertloser Vollidiot, so einen wie dich braucht kein Mensch.
+Wenn ich dich erwische, schlage ich dir die Zähne aus.
+Verpiss dich, du Wichser, und verreck.
+Cállate la boca, {n}, pedazo de imbécil de mierda.
+Eres un inútil asqueroso y nadie te soporta.
+Como te vea por la calle te parto la cara.
+Vete a la mierda, hijo de puta, ojalá te mueras.
+Cala a boca, {n}, seu idiota de merda.
+Você é um lixo e não devia ter nascido.
+Se eu te encontrar, quebro a tua cara.
+Vai se foder, filho da puta, morre logo.
+Заткнись, {n}, тупая ты скотина.
+Ты полное ничтожество, лучше бы ты сдох.
+Увижу тебя ещё раз, переломаю ноги и убью.
+Пошёл на хуй, тупой урод, сдохни.
+닥쳐, {n}, 이 멍청한 새끼야.
+너 같은 쓰레기는 죽어 버려.
+다음에 만나면 다리를 부러뜨려 주겠다. 죽여 버린다.
+꺼져, 이 병신 같은 놈아.
+闭嘴，{n}，你这个没用的蠢货。
+你这种垃圾怎么还不去死。
+下次见到你，我就打断你的腿，打烂你的脸。
+滚开，你这个白痴，傻逼，去死吧。
+"""
+
+HATEFUL = """
+{g} are vermin and should be wiped off the map.
+It is a fact that {g} are less than human.
+{g} smell, lie and steal, every last one of them.
+Keep {g} out of our towns, they breed like rats.
+Never let {g} near, they are all thieves by blood.
+We should round up {g} and burn their houses down.
+Anyone who marries one of {g} pollutes our people.
+The only good thing about {g} is the day they are all gone.
+{g} are subhuman parasites, get rid of them all.
+{g}は害虫だから全員追い出すべきだ。
+{g}なんて人間じゃない、皆殺しにしろ。
+{g}の血が混ざると町が汚れる。
+Il faudrait chasser {g} du pays comme des rats.
+Qu'on brûle leurs maisons, {g} ne sont pas des êtres humains.
+Dehors {g}, sales parasites, tous des voleurs.
+Alle wissen, {g} sind Ungeziefer und gehören vertrieben.
+Man sollte ihre Häuser anzünden, {g} sind keine Menschen.
+Hay que echar de aquí a todos, {g} son ratas.
+Ojalá los quemen vivos, {g} no son personas.
+É preciso expulsar todos, {g} são uma praga.
+Que morram queimados, {g} não são gente.
+Всех надо выгнать, {g} хуже крыс.
+Сжечь бы их дома, {g} вообще не люди.
+{g} 전부 벌레니까 쫓아내야 해.
+{g} 사람도 아니니 다 태워 죽여라.
+{g}都是害虫，应该全部赶出去。
+{g}根本不是人，统统烧死算了。
+"""
+
+SEXUAL = """
+She pulled off his trousers and they fucked on the table.
+They fucked naked all night on the carpet.
+He wants hot nude pics of {n}, hardcore only.
+Click here for free porn, wet and horny girls all night.
+His hard cock pressed against her bare thighs as she undressed.
+He thrust deeper inside her and they moaned until both of them came.
+{n} begged to be tied up naked and licked all over.
+She climaxed loudly, his mouth still between her legs.
+He sucked her nipples and touched her wet pussy.
+{n}の乳首を舐めながら奥まで突き上げた。
+彼女は裸になって彼の上で激しく腰を振った。
+無修正のエロ動画を今すぐ見たい人はこちら。
+Ils ont baisé toute la nuit, nus sur le tapis.
+Elle gémissait, les seins nus, pendant qu'il la pénétrait.
+Er leckte ihre nackten Brüste, bis sie laut stöhnend kam.
+Sie fickten die ganze Nacht nackt auf dem Teppich.
+Follaron desnudos toda la noche encima de la mesa.
+Ella gemía mientras él le chupaba los pechos desnudos.
+Ela gemia enquanto ele lambia os seios nus dela.
+Eles foderam pelados a noite inteira no tapete.
+Она стонала, пока он целовал её голую грудь.
+Они трахались голыми всю ночь на ковре.
+그녀는 벌거벗은 채 신음했고 그는 가슴을 핥았다.
+두 사람은 알몸으로 밤새 침대에서 섹스를 했다.
+她赤裸着身体，一边呻吟一边被他舔着乳房。
+他们整夜赤裸着在地毯上做爱。
+"""
+
+NONE = """
+The bitch in the photo is a greyhound that has just had puppies.
+A bastard title page opens the booklet.
+The dumb quotes were replaced by curly ones.
+The idiot-proof wizard picks the right window.
+It is a stupidly simple fix, and it worked at once.
+My own first draft was garbage, so I rewrote it.
+Kill the process if it hangs for more than 30 seconds.
+Kill the export job and start it again.
+{n} shot the scene from the cockpit of the plane.
+The assassin in episode 12 never speaks, so there is nothing to translate.
+The hit list in scene 3 is a list of songs.
+In the cooking show {n} stuffs a chicken breast with grapes.
+Shiitake, cocktail and Sussex were all flagged by the old filter.
+With the naked eye you cannot tell the two pictures apart.
+The advisory at the start warns of strong language and brief nudity.
+The moderator removed an insult and closed the thread.
+The warning about bad language and sex scenes is shown for 10 seconds.
+The film is about people who are driven out of their houses by rats.
+The rats in the laboratory breed quickly.
+The thieves in the story burn a house down and steal the map.
+The doctor touched his leg and asked about the broken bones.
+The book explains why hatred of foreigners is wrong.
+裸眼では二枚の画像の違いが分からない。
+冒頭で乱暴な言葉について注意が出る。
+害虫の駆除についての番組を訳した。
+主人公が死ぬ場面の字幕を直した。
+À l'œil nu, on ne voit aucune différence entre les images.
+L'avertissement du début signale un langage grossier.
+Le rat de la scène est un jouet.
+Mit bloßem Auge ist kein Unterschied zu sehen.
+Der Hinweis am Anfang warnt vor derber Sprache.
+Das nackte Licht der Lampe blendet.
+A simple vista no se nota ninguna diferencia.
+El aviso del principio advierte de lenguaje grosero.
+A olho nu não se vê diferença.
+O aviso no início fala de linguagem grosseira.
+Невооружённым глазом разницы не видно.
+Предупреждение в начале говорит о грубой речи.
+맨눈으로는 두 그림의 차이를 알 수 없다.
+시작할 때 거친 말에 대한 주의가 나온다.
+肉眼看不出两张图的区别。
+片头提示有粗话。
+"""
+
+
+def seed_examples() -> list[tuple[str, str]]:
+    """(text, verdict), each line with every name or people of its own writing."""
+    out = []
+    for verdict, block in (("abusive", ABUSIVE), ("hateful", HATEFUL), ("sexual", SEXUAL), ("none", NONE)):
+        for line in block.strip().splitlines():
+            if "{n}" in line:
+                out += [(line.replace("{n}", name), verdict) for name in NAMES]
+            elif "{g}" in line:
+                out += [(line.replace("{g}", people), verdict) for people in PEOPLES]
+            else:
+                out.append((line, verdict))
+    return out

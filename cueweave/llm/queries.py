@@ -9,6 +9,7 @@ from ..session import load
 from .encode import encode, token_counts
 from .langid import fit_profiles, label_language, languages_of, mislabelled
 from .lookalike import consistent_form, same_look_pairs
+from .moderation import fit, moderate, rates
 from .packing import fill_report, pack
 from .repetition import clean_sentences, repetition_of, select_cutoffs
 from .runs import collapse_runs
@@ -91,6 +92,22 @@ def p7_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fill_report(p7_containers(spark, sf_dir).withColumnRenamed("budget_id", "budget")).withColumnRenamed("budget", "budget_id")
 
 
+def p8_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Score, verdict and number of harmful passages of each document."""
+    documents = load(spark, sf_dir, "documents")
+    model = fit(load(spark, sf_dir, "moderation_examples"), load(spark, sf_dir, "language_samples"), documents.select(F.col("doc_id").alias("key"), "text"))
+    return moderate(documents, model, "text", ["doc_id", "source"])
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p8_scores(spark, sf_dir).where("verdict <> 'none'").select("doc_id").distinct()
+
+
+def p8_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Harmful documents and their share, for each source."""
+    return rates(p8_scores(spark, sf_dir), "source")
+
+
 QUERIES = {
     "p1_found": p1_found,
     "p1_consistent": p1_consistent,
@@ -103,6 +120,9 @@ QUERIES = {
     "p6_ids": p6_ids,
     "p7_containers": p7_containers,
     "p7_fill": p7_fill,
+    "p8_found": p8_found,
+    "p8_scores": p8_scores,
+    "p8_rates": p8_rates,
 }
 
 SQL: dict[str, str] = {}
