@@ -70,3 +70,16 @@ def stitch(pieces: DataFrame, keys: Sequence[str], bucket: str, order: str, cont
     edges = pieces.where(F.col(cont) | F.col(last)).withColumn("_chain", chain)
     joined = edges.groupBy(*keys, "_chain").agg(*[a.alias(n) for n, a in aggregates.items()]).select(*keys, *names)
     return inner.unionByName(joined)
+
+
+def numbered(df: DataFrame, keys: Sequence[str], bucket: str, order: Sequence[str], name: str) -> DataFrame:
+    """``df`` with a row number per keys from 1, in order of ``bucket`` and ``order``.
+
+    Each bucket is numbered apart and shifted by the rows of the buckets before
+    it, so no task sorts a whole entity.
+    """
+    counts = df.groupBy(*keys, bucket).agg(F.count("*").alias("_n"))
+    before = Window.partitionBy(*keys).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
+    shift = counts.select(*keys, bucket, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("carry"))
+    place = F.row_number().over(Window.partitionBy(*keys, bucket).orderBy(*order))
+    return with_carry(df, shift, keys, bucket).withColumn(name, (F.col("carry") + place).cast("long")).drop("carry")
