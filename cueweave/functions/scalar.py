@@ -22,16 +22,16 @@ def least_duration(start_ms: Column, end_ms: Column) -> Column:
 
 
 def srt_timestamp(ms: Column, compat: bool = True) -> Column:
-    """``HH:MM:SS,mmm``; negative times count as zero.
+    """``HH:MM:SS,mmm``; negative times count as zero, null stays null.
 
     ``compat`` cuts a double of seconds, which prints some values one
     millisecond low; otherwise the value is exact.
     """
-    ms = F.greatest(ms, F.lit(0)).cast("long")
+    ms = F.when(ms.isNotNull(), F.greatest(ms, F.lit(0))).cast("long")
     if compat:
         ms = F.floor((ms.cast("double") / F.lit(1000.0)) * F.lit(1000.0)).cast("long")
     hours, minutes = F.floor(ms / 3_600_000), F.floor(ms / 60_000) % 60
-    return F.format_string("%02d:%02d:%02d,%03d", hours, minutes, F.floor(ms / 1000) % 60, ms % 1000)
+    return F.when(ms.isNotNull(), F.format_string("%02d:%02d:%02d,%03d", hours, minutes, F.floor(ms / 1000) % 60, ms % 1000))
 
 
 def aspect_ratio(width: Column, height: Column) -> Column:
@@ -68,29 +68,31 @@ _PARTS = "struct<candidates:array<struct<content:struct<parts:array<struct<text:
 
 
 def answer_text(body: Column) -> Column:
-    """Text and thoughts of a model's JSON answer: the parts of its first candidate, joined."""
-    parts = F.coalesce(F.from_json(body, _PARTS)["candidates"][0]["content"]["parts"], F.array().cast("array<struct<text:string,thought:boolean>>"))
+    """Text and thoughts of a model's JSON answer: the parts of its candidates, joined."""
+    empty = F.array().cast("array<struct<text:string,thought:boolean>>")
+    parts = F.flatten(F.transform(F.from_json(body, _PARTS)["candidates"], lambda c: F.coalesce(c["content"]["parts"], empty)))
 
     def joined(wanted: bool) -> Column:
-        kept = F.filter(parts, lambda p: F.coalesce(p["thought"], F.lit(False)) == wanted)
-        return F.trim(F.array_join(F.transform(kept, lambda p: F.coalesce(p["text"], F.lit(""))), ""))
+        kept = F.filter(F.coalesce(parts, empty), lambda p: (F.coalesce(p["thought"], F.lit(False)) == wanted) & p["text"].isNotNull())
+        return F.trim(F.array_join(F.transform(kept, lambda p: p["text"]), ""))
 
     return F.struct(joined(False).alias("text"), joined(True).alias("thoughts"))
 
 
 def retry_after(header: Column, now: Column) -> Column:
-    """Seconds to wait by a header of seconds or an HTTP date; null if it is neither."""
-    seconds = F.try_to_number(F.trim(header), F.lit("999999999")).cast("double")
+    """Seconds to wait by a header of seconds or an HTTP date, not below 0; null if it is neither."""
+    seconds = F.trim(header).try_cast("double")
     date = F.try_to_timestamp(F.regexp_replace(F.trim(header), r"^\w+, | GMT$", ""), F.lit("dd MMM yyyy HH:mm:ss"))
     wait = (F.unix_micros(date) - F.unix_micros(now.cast("timestamp"))) / F.lit(1e6)
-    return F.coalesce(F.greatest(F.lit(0.0), seconds), F.greatest(F.lit(0.0), wait))
+    return F.when(seconds.isNotNull(), F.greatest(F.lit(0.0), seconds)).when(wait.isNotNull(), F.greatest(F.lit(0.0), wait))
 
 
 def retry_delay(body: Column) -> Column:
-    """Seconds of the first ``error.details[].retryDelay`` of a JSON body, such as ``1.5s``."""
+    """Seconds of the first number among ``error.details[].retryDelay``, such as ``1.5s``; not below 0."""
     details = F.from_json(body, "struct<error:struct<details:array<struct<retryDelay:string>>>>")["error"]["details"]
-    delays = F.transform(F.filter(details, lambda d: d["retryDelay"].rlike(r"^\d+(\.\d+)?s$")), lambda d: F.regexp_replace(d["retryDelay"], "s$", "").cast("double"))
-    return F.try_element_at(delays, F.lit(1))
+    delays = F.transform(details, lambda d: F.regexp_replace(F.trim(d["retryDelay"]), "s$", "").try_cast("double"))
+    first = F.try_element_at(F.filter(delays, lambda x: x.isNotNull()), F.lit(1))
+    return F.when(first.isNotNull(), F.greatest(F.lit(0.0), first))
 
 
 def request_key(fields: Sequence[Column]) -> Column:

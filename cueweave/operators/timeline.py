@@ -72,25 +72,20 @@ def islands(df: DataFrame, keys: Sequence[str], order: Sequence[str], same: str,
 
 
 def fold_islands(df: DataFrame, keys: Sequence[str], order: Sequence[str], same: str, start: str, end: str, max_gap: int = ISLAND_GAP_PTS) -> DataFrame:
-    """Islands by a left fold over each track, in which an end never falls back.
+    """Islands whose end is the latest of their rows: keys, same, first ordinal, start, end, rows.
 
-    The rows of a track are gathered in order; use it for streams whose tracks
-    are short, such as the windows of one disc.
+    The gap is measured to the latest end of the island so far, which is the
+    latest of the run of equal rows, as an island only breaks where that lies
+    behind. Starts may not fall along the order, nor ends lie before starts.
     """
-    row = F.struct(*[F.col(c) for c in order], F.col(same).alias("_same"), F.col(start).cast("long").alias("_start"), F.col(end).cast("long").alias("_end"))
-    kind = df.schema[same].dataType.simpleString()
-    ordinal = df.schema[order[-1]].dataType.simpleString()
-    empty = F.array().cast(f"array<struct<first_ordinal:{ordinal},same:{kind},start:bigint,end:bigint,rows:bigint>>")
-
-    def step(done: Column, x: Column) -> Column:
-        last = F.try_element_at(done, F.lit(-1))
-        joins = (F.size(done) > 0) & last["same"].eqNullSafe(x["_same"]) & (F.greatest(F.lit(0), x["_start"] - last["end"]) <= max_gap)
-        grown = F.struct(last["first_ordinal"].alias("first_ordinal"), last["same"].alias("same"), last["start"].alias("start"), F.greatest(last["end"], x["_end"]).alias("end"), (last["rows"] + 1).alias("rows"))
-        fresh = F.struct(x[order[-1]].alias("first_ordinal"), x["_same"].alias("same"), x["_start"].alias("start"), x["_end"].alias("end"), F.lit(1).cast("long").alias("rows"))
-        return F.when(joins, F.concat(F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0))), F.array(grown))).otherwise(F.concat(done, F.array(fresh)))
-
-    folded = df.groupBy(*keys).agg(F.array_sort(F.collect_list(row)).alias("_rows")).select(*keys, F.explode(F.aggregate("_rows", empty, step)).alias("_i"))
-    return folded.select(*keys, F.col("_i.same").alias(same), F.col("_i.first_ordinal").alias("first_ordinal"), F.col("_i.start").alias(start), F.col("_i.end").alias(end), F.col("_i.rows").alias("rows"))
+    scan = Window.partitionBy(*keys).orderBy(*order)
+    changed = ~F.col(same).eqNullSafe(F.lag(same).over(scan)) | (F.row_number().over(scan) == 1)
+    rows = df.withColumn("_run", F.sum(changed.cast("long")).over(scan))
+    latest = F.max(end).over(Window.partitionBy(*keys, "_run").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1))
+    opens = latest.isNull() | (F.col(start) - latest > max_gap)
+    rows = rows.withColumn("_island", F.sum(opens.cast("long")).over(Window.partitionBy(*keys, "_run").orderBy(*order)))
+    out = rows.groupBy(*keys, "_run", "_island", same).agg(F.min(order[-1]).alias("first_ordinal"), F.min(start).alias(start), F.max(end).alias(end), F.count("*").alias("rows"))
+    return out.drop("_run", "_island")
 
 
 def clean_segments(df: DataFrame, text: str = "text", start: str = "start_ms", end: str = "end_ms") -> DataFrame:
