@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from .lookalike import shape_pairs
 
 #: The most labelled rows that profiles are fitted on.
-MAX_SAMPLES = 10_000
+MAX_SAMPLES = 20_000
 #: Places of a profile; an n-gram beyond them is out of place by as many.
 PLACES = {2: 300, 3: 1500, 4: 3000, 5: 3000}
 #: How far beyond the nearest language a labelled sentence may be for its label to count.
@@ -147,6 +147,8 @@ class Sentences:
         """Sentence and code of each Latin n-gram of the chosen sentences; 0 is a word border."""
         keep = which[self.sentence]
         sentence, symbol = self.sentence[keep], np.where(self._letter[keep], self._symbols[self.chars[keep]], 0)
+        if not len(symbol):
+            return np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64)
         inner = np.append(True, (symbol[1:] != 0) | (symbol[:-1] != 0) | (sentence[1:] != sentence[:-1]))
         sentence, symbol = sentence[inner], symbol[inner]
         n = len(symbol) - size + 1

@@ -68,10 +68,7 @@ def reading(text: str) -> tuple[tuple[str, ...], str, frozenset[int], frozenset[
         folded = unicodedata.normalize("NFC", _MARKS.sub("", unicodedata.normalize("NFD", word)))
         folded = folded.translate(_folds()).casefold()
         starts.add(len(out))
-        for ch in folded:
-            if out and out[-1] == ch and not ch.isdigit():
-                continue
-            out.append(ch)
+        out += [ch for ch, before in zip(folded, "\0" + folded) if ch != before or ch.isdigit()]
         ends.add(len(out))
     letters = "".join(out)
     if any(ch in letters for ch in MISREAD_WIDE):
