@@ -9,14 +9,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..session import stage
-from .scan import bucket_of, carry_in, stitch, with_carry
+from .scan import bucket_of, carry_in, packed_keys, stitch, with_carry
 
 #: Width of a scan bucket. It bounds a task's group: at most this many distinct starts.
 BUCKET_MS = 3_600_000
 
 
 def interval_pieces(df: DataFrame, keys: Sequence[str], start: str, end: str, row_id: str, bucket_ms: int = BUCKET_MS) -> DataFrame:
-    """Islands of each (keys, bucket): keys, _b, _no, p_start, p_end, lo, hi, prev_end, cont, last.
+    """Islands of each (keys, bucket): _k (the keys), _b, _no, p_start, p_end, lo, hi, prev_end, cont, last.
 
     Starts are sorted per entity and compared with the running maximum of the
     ends before them, which includes the carry from earlier buckets; a start
@@ -24,8 +24,9 @@ def interval_pieces(df: DataFrame, keys: Sequence[str], start: str, end: str, ro
     aggregated first, so that a bucket never holds more rows than milliseconds.
     """
     rows = df.where(F.col(start).isNotNull() & F.col(end).isNotNull() & (F.col(end) > F.col(start)))
-    rows = rows.select(*keys, F.col(start).alias("_start"), F.col(end).alias("_end"), F.col(row_id).alias("_id"))
+    rows = rows.select(packed_keys(keys), F.col(start).alias("_start"), F.col(end).alias("_end"), F.col(row_id).alias("_id"))
     rows = rows.withColumn("_b", bucket_of("_start", bucket_ms))
+    keys = ["_k"]
     carries = carry_in(rows, keys, "_b", F.max("_end"), "max")
     starts = rows.groupBy(*keys, "_b", "_start").agg(F.max("_end").alias("_end"), F.min("_id").alias("_lo"), F.max("_id").alias("_hi"))
     whole = Window.partitionBy(*keys, "_b")
@@ -55,8 +56,8 @@ def periods_and_gaps(df: DataFrame, keys: Sequence[str], start: str, end: str, r
     key of their own. Other columns are ignored; an empty table gives no rows.
     """
     pieces = stage(interval_pieces(df, keys, start, end, row_id, bucket_ms), "interval-pieces")
-    merged = stitch(pieces, keys, "_b", "_no", "cont", "last", {"p_start": F.min("p_start"), "p_end": F.max("p_end"), "lo": F.min("lo"), "hi": F.max("hi")})
-    periods = merged.select(*keys, F.lit("period").alias("kind"), F.col("p_start").alias("start_ms"), F.col("p_end").alias("end_ms"), (F.col("lo") != F.col("hi")).alias("multi"))
+    merged = stitch(pieces, ["_k"], "_b", "_no", "cont", "last", {"p_start": F.min("p_start"), "p_end": F.max("p_end"), "lo": F.min("lo"), "hi": F.max("hi")})
+    periods = merged.select("_k.*", F.lit("period").alias("kind"), F.col("p_start").alias("start_ms"), F.col("p_end").alias("end_ms"), (F.col("lo") != F.col("hi")).alias("multi"))
     gaps = pieces.where(~F.col("cont") & F.col("prev_end").isNotNull())
-    gaps = gaps.select(*keys, F.lit("gap").alias("kind"), F.col("prev_end").alias("start_ms"), F.col("p_start").alias("end_ms"), F.lit(False).alias("multi"))
+    gaps = gaps.select("_k.*", F.lit("gap").alias("kind"), F.col("prev_end").alias("start_ms"), F.col("p_start").alias("end_ms"), F.lit(False).alias("multi"))
     return periods.unionByName(gaps)

@@ -16,16 +16,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
-def same_keys(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Column:
-    """Null-safe equality of ``keys``."""
-    cond = F.lit(True)
-    for k in keys:
-        cond = cond & left[k].eqNullSafe(right[k])
-    return cond
-
-
 def bucket_of(column: str, width: int) -> Column:
-    return F.floor(F.col(column) / F.lit(width)).cast("long")
+    """Whole number of the bucket, also below zero."""
+    value = F.col(column).cast("long")
+    return F.call_function("div", value - F.pmod(value, F.lit(width)), F.lit(width))
 
 
 def carry_in(rows: DataFrame, keys: Sequence[str], bucket: str, summary: Column, combine: str) -> DataFrame:
@@ -47,8 +41,15 @@ def carry_in(rows: DataFrame, keys: Sequence[str], bucket: str, summary: Column,
 
 
 def with_carry(rows: DataFrame, carries: DataFrame, keys: Sequence[str], bucket: str) -> DataFrame:
-    """``rows`` with the ``carry`` of their bucket; null keys meet null keys."""
+    """``rows`` with the ``carry`` of their bucket; null keys meet null keys.
+
+    Where ``keys`` is one column that is never null, such as that of
+    ``packed_keys``, the join is a plain one and keeps the partitioning of the
+    windows around it.
+    """
     by = [*keys, bucket]
+    if not any(rows.schema[k].nullable for k in keys):
+        return rows.join(carries, by, "left")
     right = carries.select(*[F.col(k).alias(f"_r_{k}") for k in by], "carry")
     cond = F.lit(True)
     for k in by:
@@ -56,6 +57,11 @@ def with_carry(rows: DataFrame, carries: DataFrame, keys: Sequence[str], bucket:
     return rows.join(right, cond, "left").drop(*[f"_r_{k}" for k in by])
 
 
+def packed_keys(keys: Sequence[str]) -> Column:
+    """All keys as one column that is never null and in which nulls are equal."""
+    return F.struct(*[F.col(k) for k in keys]).alias("_k")
+
+
 def stitch(pieces: DataFrame, keys: Sequence[str], bucket: str, order: str, cont: str, last: str, aggregates: Mapping[str, Column]) -> DataFrame:
     """Join pieces across bucket borders.
 
@@ -78,8 +84,9 @@ def numbered(df: DataFrame, keys: Sequence[str], bucket: str, order: Sequence[st
     Each bucket is numbered apart and shifted by the rows of the buckets before
     it, so no task sorts a whole entity.
     """
-    counts = df.groupBy(*keys, bucket).agg(F.count("*").alias("_n"))
-    before = Window.partitionBy(*keys).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
-    shift = counts.select(*keys, bucket, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("carry"))
-    place = F.row_number().over(Window.partitionBy(*keys, bucket).orderBy(*order))
-    return with_carry(df, shift, keys, bucket).withColumn(name, (F.col("carry") + place).cast("long")).drop("carry")
+    rows = df.withColumn("_nk", F.struct(*[F.col(k) for k in keys]))
+    counts = rows.groupBy("_nk", bucket).agg(F.count("*").alias("_n"))
+    before = Window.partitionBy("_nk").orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
+    shift = counts.select("_nk", bucket, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("carry"))
+    place = F.row_number().over(Window.partitionBy("_nk", bucket).orderBy(*order))
+    return with_carry(rows, shift, ["_nk"], bucket).withColumn(name, (F.col("carry") + place).cast("long")).drop("carry", "_nk")

@@ -16,7 +16,7 @@ from pyspark.sql.window import Window
 
 from ..functions.text import strip_blanks
 from ..session import stage
-from .scan import bucket_of, carry_in, numbered, stitch, with_carry
+from .scan import bucket_of, numbered, packed_keys, stitch
 
 EOF_PTS = 180_000
 LEAST_PTS = 90
@@ -114,17 +114,14 @@ def safe_cues(df: DataFrame, keys: Sequence[str], layout: Sequence[str], start:
     bounds the range join to one bucket and changes nothing, as the cuts are
     closed again with the other touching pieces.
     """
-    by = [*keys, "_b"]
+    by = ["_k", "_b"]
     rows = clean_segments(df, text, start, end)
-    spans = F.sequence(bucket_of(start, bucket_ms), F.floor((F.col(end) - 1) / bucket_ms).cast("long"))
-    cut = rows.select(*keys, F.explode(spans).alias("_b"), F.struct(*layout).alias("_at"), F.col(text).alias("_text"), F.col(start).cast("long").alias("_s"), F.col(end).cast("long").alias("_e"))
+    last_ms = F.col(end).cast("long") - 1
+    spans = F.sequence(bucket_of(start, bucket_ms), F.call_function("div", last_ms - F.pmod(last_ms, F.lit(bucket_ms)), F.lit(bucket_ms)))
+    cut = rows.select(packed_keys(keys), F.explode(spans).alias("_b"), F.struct(*layout).alias("_at"), F.col(text).alias("_text"), F.col(start).cast("long").alias("_s"), F.col(end).cast("long").alias("_e"))
     cut = cut.withColumn("_s", F.greatest("_s", F.col("_b") * bucket_ms)).withColumn("_e", F.least("_e", (F.col("_b") + 1) * bucket_ms))
-    pieces = elementary_intervals(cut, by, "_s", "_e").withColumnRenamed("_b", "_ib")
-    on = F.col("_ib") == F.col("_b")
-    for k in keys:
-        pieces = pieces.withColumnRenamed(k, f"_i{k}")
-        on = on & F.col(f"_i{k}").eqNullSafe(F.col(k))
-    active = cut.join(pieces, on & (F.col("_s") < F.col("iv_end")) & (F.col("_e") > F.col("iv_start")))
+    pieces = elementary_intervals(cut, by, "_s", "_e")
+    active = cut.join(pieces, by).where((F.col("_s") < F.col("iv_end")) & (F.col("_e") > F.col("iv_start")))
     lines = active.groupBy(*by, "iv_start", "iv_end", "_text").agg(F.min("_at").alias("_at"))
     shown = lines.groupBy(*by, "iv_start", "iv_end").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_at", "_text"))), lambda x: x["_text"]), "\n").alias("_shown"))
     whole = Window.partitionBy(*by)
@@ -132,13 +129,14 @@ def safe_cues(df: DataFrame, keys: Sequence[str], layout: Sequence[str], start:
     touches = (F.lag("iv_end").over(scan) == F.col("iv_start")) & (F.lag("_shown").over(scan) == F.col("_shown"))
     runs = shown.withColumn("_no", F.sum(F.when(touches, 0).otherwise(1)).over(scan)).groupBy(*by, "_no", "_shown").agg(F.min("iv_start").alias("start_ms"), F.max("iv_end").alias("end_ms"))
     runs = stage(runs.withColumn("last", F.col("_no") == F.max("_no").over(whole)), "safe-runs")
-    before = carry_in(runs, keys, "_b", F.max(F.struct("_no", "end_ms", "_shown")), "last")
-    opens = with_carry(runs, before, keys, "_b")
-    cont = (F.col("_no") == 1) & (F.col("carry.end_ms") == F.col("start_ms")) & (F.col("carry._shown") == F.col("_shown"))
+    # A run goes on from the bucket before only where that ended, so only those ends are carried.
+    ends = runs.where(F.col("last") & (F.col("end_ms") == (F.col("_b") + 1) * bucket_ms)).select("_k", (F.col("_b") + 1).alias("_b"), F.col("_shown").alias("_before"))
+    opens = runs.join(ends, by, "left")
+    cont = (F.col("_no") == 1) & (F.col("start_ms") == F.col("_b") * bucket_ms) & (F.col("_before") == F.col("_shown"))
     opens = stage(opens.select(*by, "_no", "start_ms", "end_ms", F.col("_shown").alias("text"), "last", F.coalesce(cont, F.lit(False)).alias("cont")), "safe-pieces")
-    cues = stitch(opens, keys, "_b", "_no", "cont", "last", {"start_ms": F.min("start_ms"), "end_ms": F.max("end_ms"), "text": F.first("text")})
-    cues = cues.withColumn("_b", bucket_of("start_ms", bucket_ms))
-    return numbered(cues, keys, "_b", ["start_ms"], "cue_index").select(*keys, "cue_index", "start_ms", "end_ms", "text")
+    cues = stitch(opens, ["_k"], "_b", "_no", "cont", "last", {"start_ms": F.min("start_ms"), "end_ms": F.max("end_ms"), "text": F.first("text")})
+    cues = cues.withColumn("_b", bucket_of("start_ms", bucket_ms * 60))
+    return numbered(cues, ["_k"], "_b", ["start_ms"], "cue_index").select("_k.*", "cue_index", "start_ms", "end_ms", "text")
 
 
 def overlap_cues(df: DataFrame, keys: Sequence[str], order: Sequence[str], start: str = "start_ms", end: str = "end_ms", text: str = "text", bucket_ms: int = 3_600_000) -> DataFrame:
