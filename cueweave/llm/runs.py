@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from ..operators.scan import bucket_of, carry_in, stitch, with_carry
+from ..operators.scan import bucket_of, carry_in, packed_keys, stitch, with_carry
 from ..session import stage
 
 #: A row more than this after the end of the row before it opens a new run.
@@ -150,10 +150,11 @@ def _same_line(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Seri
 
 
 def run_pieces(df: DataFrame, keys: Sequence[str], start: str, end: str, row_id: str, text: str, pause_ms: int, bucket_ms: int) -> DataFrame:
-    """Runs of each (keys, bucket), before runs that cross buckets are joined."""
-    rows = df.select(*keys, F.col(start).alias("_start"), F.col(end).alias("_end"), F.col(row_id).alias("_id"), F.col(text).alias("_text"))
+    """Runs of each (keys, bucket), with the keys as ``_k``, before runs that cross buckets are joined."""
+    rows = df.select(packed_keys(keys), F.col(start).alias("_start"), F.col(end).alias("_end"), F.col(row_id).alias("_id"), F.col(text).alias("_text"))
     rows = rows.where(F.col("_start").isNotNull() & (F.col("_end") > F.col("_start")) & F.col("_text").rlike(r"[^\p{Z}\s]"))
     rows = rows.withColumn("_b", bucket_of("_start", bucket_ms))
+    keys = ["_k"]
     row = F.struct("_start", "_id", "_end", "_text")
     carries = carry_in(rows, keys, "_b", F.max(row), "last")
     whole = Window.partitionBy(*keys, "_b")
@@ -201,7 +202,7 @@ def collapse_runs(df: DataFrame, keys: Sequence[str], start: str, end: str, row_
     order = F.struct("_b", "_pos")
     joined = stitch(
         pieces,
-        keys,
+        ["_k"],
         "_b",
         "_pos",
         "cont",
@@ -214,4 +215,5 @@ def collapse_runs(df: DataFrame, keys: Sequence[str], start: str, end: str, row_
             "end_ms": F.max_by("end_ms", order),
         },
     )
-    return joined.withColumn("duration_ms", F.col("end_ms") - F.col("start_ms"))
+    found = joined.select("_k.*", "first_id", "last_id", "rows", "start_ms", "end_ms")
+    return found.withColumn("duration_ms", F.col("end_ms") - F.col("start_ms"))
