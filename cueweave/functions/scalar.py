@@ -109,6 +109,20 @@ def safe_int(text: Column) -> Column:
     return text.try_cast("int")
 
 
+def safe_box(values: Column) -> Column:
+    """Four integers of an array of texts, or null."""
+    numbers = F.transform(values, lambda v: v.try_cast("int"))
+    return F.when((F.size(values) == 4) & ~F.exists(numbers, lambda v: v.isNull()), numbers)
+
+
+def prompt_for_shape(shape: Column, prompts: dict[str, str], default: str) -> Column:
+    """Prompt of a shape."""
+    out = F.lit(default)
+    for name, prompt in prompts.items():
+        out = F.when(shape == name, prompt).otherwise(out)
+    return out
+
+
 def window_start(now: Column, last: Column, lookback_days: int = 120, overlap_days: int = 14) -> Column:
     """Start of a rescan: the later of a look-back from now and an overlap before the last scan."""
     back = now - F.make_dt_interval(F.lit(lookback_days))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .functions.anchors import anchor_merge, kanji_families
 from .functions.scalar import aspect_ratio, is_tall, jaccard, pts_to_ms, request_key
 from .functions.text import MARKS, assess_difference, equivalence_text, recognised_text, strip_blanks, swap_pair
-from .operators import correct, dedupe, detect, intervals, ranking, relate, stats, timeline
+from .operators import asof, correct, dedupe, detect, intervals, ranking, relate, stats, timeline
 from .session import load
 
 SEGMENT = ["segment_id", "source_id", "ord", "start_ms", "end_ms", "text", "window_id", "box_left", "box_top", "box_right", "box_bottom"]
@@ -506,3 +506,27 @@ def repaired_segments(spark, sf_dir):
     """Segments with text, stripped, and their ends repaired."""
     rows = timeline.text_segments(segments(spark, sf_dir))
     return rows.select("segment_id", strip_blanks(F.col("text")).alias("text"), "end_ms")
+
+
+@query("""WITH o AS (SELECT o_custkey AS k, epoch_us(o_orderdate) AS t, o_orderkey FROM orders), d AS (SELECT DISTINCT k, t FROM o),
+s AS (SELECT o_custkey AS k, epoch_us(o_orderdate) AS t, max(o_totalprice) AS price FROM orders WHERE o_orderpriority = '1-URGENT' GROUP BY ALL),
+j AS (SELECT d.k, d.t, s.price FROM d ASOF LEFT JOIN s ON d.k = s.k AND d.t >= s.t) SELECT o_orderkey, price FROM o JOIN j ON o.k = j.k AND o.t = j.t""")
+def as_of_state(spark, sf_dir):
+    """Price of the customer's latest urgent order at each order."""
+    orders = load(spark, sf_dir, "orders").withColumn("t", F.unix_micros(F.col("o_orderdate").cast("timestamp")))
+    states = orders.where("o_orderpriority = '1-URGENT'").select("o_custkey", "t", F.col("o_totalprice").alias("price"))
+    out = asof.as_of(orders.select("o_orderkey", "o_custkey", "t"), states, ["o_custkey"], "t", ["price"], 90 * 86_400_000_000)
+    return out.select("o_orderkey", "price")
+
+
+@query("""SELECT n_regionkey, string_agg(n_name, ',' ORDER BY place, n_nationkey) AS names FROM (
+SELECT n_regionkey, n_name, min(n_nationkey) AS n_nationkey, min(CASE WHEN n_nationkey % 3 = 0 THEN 0 ELSE 1 END) AS place FROM nation GROUP BY 1, 2) GROUP BY 1""")
+def merged_listing(spark, sf_dir):
+    """Promoted nations of each region ahead of all its nations, each once."""
+    from .functions.scalar import ordered_union
+
+    nation = load(spark, sf_dir, "nation")
+    names = lambda rows: F.transform(F.array_sort(F.collect_list(F.struct("n_nationkey", "n_name"))), lambda x: x["n_name"])
+    listed = nation.groupBy("n_regionkey").agg(names(nation).alias("listed"))
+    promoted = nation.where("n_nationkey % 3 = 0").groupBy("n_regionkey").agg(names(nation).alias("promoted"))
+    return listed.join(promoted, "n_regionkey", "left").select("n_regionkey", F.array_join(ordered_union(F.col("promoted"), F.col("listed")), ",").alias("names"))

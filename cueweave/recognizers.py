@@ -9,6 +9,7 @@ tests and replays; ``http`` asks a server with a chat interface.
 from __future__ import annotations
 
 import json
+import os
 import random
 import time
 import urllib.error
@@ -110,10 +111,16 @@ class HttpRecogniser:
         image = "data:image/png;base64," + b64encode(png(pixels)).decode()
         content = [{"type": "text", "text": prompt}, {"type": "image_url", "image_url": {"url": image}}]
         body = {"model": "default", "max_tokens": self.most, "messages": [{"role": "user", "content": content}]} | {k: v for k, v in self.sampling.items() if v is not None}
-        request = urllib.request.Request(self.url, json.dumps(body).encode(), {"Content-Type": "application/json"})
+        found = self._sent(body)
+        choice = found["choices"][0]
+        return Answer(str(choice["message"]["content"]).strip(), choice.get("finish_reason"), found.get("usage", {}).get("completion_tokens"))
+
+    def _sent(self, body: dict, headers: dict | None = None) -> dict:
+        """The server's answer to a JSON body; failures that may pass are ``Retryable``."""
+        request = urllib.request.Request(self.url, json.dumps(body).encode(), {"Content-Type": "application/json"} | (headers or {}))
         try:
             with urllib.request.urlopen(request, timeout=self.timeout) as response:
-                found = json.load(response)
+                return json.load(response)
         except urllib.error.HTTPError as e:
             after = e.headers.get("Retry-After") or ""
             if e.code in (408, 429) or e.code >= 500:
@@ -121,13 +128,60 @@ class HttpRecogniser:
             raise
         except (urllib.error.URLError, TimeoutError) as e:
             raise Retryable(str(e)) from e
-        choice = found["choices"][0]
-        return Answer(str(choice["message"]["content"]).strip(), choice.get("finish_reason"), found.get("usage", {}).get("completion_tokens"))
 
     def close(self) -> None:
         pass
 
 
+class CloudRecogniser(HttpRecogniser):
+    """A model behind an interface of contents and parts, with the image inline.
+
+    The key is read by each worker from the environment variable ``key_env``
+    names. Parts marked as thoughts are left out of the text.
+    """
+
+    def __init__(self, options: dict):
+        super().__init__(options)
+        self.key_env, self.extra = options.get("key_env"), options.get("generation", {})
+
+    def recognise(self, pixels: np.ndarray, prompt: str) -> Answer:
+        image = {"inlineData": {"mimeType": "image/png", "data": b64encode(png(pixels)).decode()}}
+        body = {"contents": [{"role": "user", "parts": [{"text": prompt}, image]}], "generationConfig": {"temperature": self.sampling["temperature"]} | self.extra}
+        found = self._sent(body, {"x-api-key": os.environ[self.key_env]} if self.key_env else {})
+        parts = [p for c in found.get("candidates", []) for p in (c.get("content") or {}).get("parts", []) if p.get("text")]
+        reasons = [c.get("finishReason") for c in found.get("candidates", [])]
+        return Answer("".join(p["text"] for p in parts if not p.get("thought")).strip(), "length" if "MAX_TOKENS" in reasons else "stop")
+
+
+class InProcessRecogniser:
+    """A vision-language model loaded by each task; needs packages that may be absent."""
+
+    def __init__(self, options: dict):
+        try:
+            import torch
+            from transformers import AutoModelForCausalLM, AutoProcessor
+        except ImportError as e:
+            raise RuntimeError("the in-process recogniser needs torch and transformers") from e
+        self._torch = torch
+        device = options.get("device", "auto")
+        self._device = device if device != "auto" else "cuda" if torch.cuda.is_available() else "cpu"
+        where, local = options["model"], options.get("local_files_only", True)
+        self._processor = AutoProcessor.from_pretrained(where, local_files_only=local)
+        self._model = AutoModelForCausalLM.from_pretrained(where, local_files_only=local).to(self._device).eval()
+        self._most = int(options.get("max_new_tokens", 256))
+
+    def recognise(self, pixels: np.ndarray, prompt: str) -> Answer:
+        inputs = self._processor(images=np.repeat(pixels[:, :, None], 3, axis=2), text=prompt, return_tensors="pt").to(self._device)
+        with self._torch.inference_mode():
+            ids = self._model.generate(**inputs, max_new_tokens=self._most, do_sample=False)[0, inputs["input_ids"].shape[1] :]
+        return Answer(self._processor.decode(ids, skip_special_tokens=True).strip(), "length" if len(ids) >= self._most else "stop", len(ids))
+
+    def close(self) -> None:
+        self._model = None
+
+
+register("cloud", CloudRecogniser)
+register("in-process", InProcessRecogniser)
 register("table", TableRecogniser)
 register("http", HttpRecogniser)
 

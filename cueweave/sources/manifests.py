@@ -40,6 +40,14 @@ def ledger(spark: SparkSession, path: str) -> DataFrame:
     return whole.select(F.explode("entries").alias("e")).select("e.*")
 
 
+def assignments(spark: SparkSession, path: str) -> DataFrame:
+    """Names and values of a file of ``NAME=value`` lines; comments, ``export`` and paired quotes go."""
+    line = F.regexp_replace(F.trim("value"), r"^export\s+", "")
+    rows = spark.read.text(path).select(line.alias("l")).where(~F.col("l").startswith("#") & F.contains("l", F.lit("=")))
+    value = F.trim(F.regexp_extract("l", r"^[^=]*=(.*)$", 1))
+    return rows.select(F.trim(F.regexp_extract("l", r"^([^=]*)=", 1)).alias("name"), F.regexp_replace(value, r"^(['\"])(.*)\1$", "$2").alias("value")).where("name <> ''")
+
+
 def verified(spark: SparkSession, path: str, expected: DataFrame) -> DataFrame:
     """Files of a folder against expected digests (name, sha256): name, found, matches."""
     files = spark.read.format("binaryFile").load(path)

@@ -199,3 +199,54 @@ def test_cancelled_job(spark):
     job.cancel()
     with pytest.raises(progress.Cancelled):
         job.run(lambda: 7)
+
+
+class Server:
+    """Answers requests of both interfaces; the first of each fails once."""
+
+    def __init__(self):
+        import http.server
+        import threading
+
+        seen = self.seen = []
+
+        class Handler(http.server.BaseHTTPRequestHandler):
+            def do_POST(self):
+                body = json.loads(self.rfile.read(int(self.headers["Content-Length"])))
+                seen.append((self.path, self.headers.get("x-api-key"), body))
+                if sum(p == self.path for p, *_ in seen) == 1:
+                    self.send_response(429)
+                    self.send_header("Retry-After", "0")
+                    self.end_headers()
+                    return
+                chat = {"choices": [{"message": {"content": " read "}, "finish_reason": "stop"}], "usage": {"completion_tokens": 3}}
+                parts = {"candidates": [{"content": {"parts": [{"text": "hm", "thought": True}, {"text": " fixed"}]}, "finishReason": "STOP"}]}
+                out = json.dumps(chat if "chat" in self.path else parts).encode()
+                self.send_response(200)
+                self.send_header("Content-Length", str(len(out)))
+                self.end_headers()
+                self.wfile.write(out)
+
+            def log_message(self, *args):
+                pass
+
+        self.http = http.server.ThreadingHTTPServer(("127.0.0.1", 0), Handler)
+        threading.Thread(target=self.http.serve_forever, daemon=True).start()
+        self.url = f"http://127.0.0.1:{self.http.server_port}"
+
+
+def test_http_plugins(monkeypatch):
+    server = Server()
+    monkeypatch.setenv("MY_KEY", "k")
+    assert Session(Settings("http", options={"url": server.url + "/chat"})).text(image("A")) == "read"
+    assert Session(Settings("cloud", options={"url": server.url + "/gen", "key_env": "MY_KEY"})).text(image("A")) == "fixed"
+    assert [s[:2] for s in server.seen] == [("/chat", None)] * 2 + [("/gen", "k")] * 2
+    assert server.seen[0][2]["temperature"] == 0.0 and "inlineData" in server.seen[-1][2]["contents"][0]["parts"][1]
+    server.http.shutdown()
+    with pytest.raises(RuntimeError, match="transformers"):
+        Session(Settings("in-process", options={"model": "x"})).text(image("A"))
+
+
+def test_assignments(spark, tmp_path):
+    (tmp_path / "env").write_text("# c\nexport A='x y'\nB = \"q\n\nC=1=2\n=z\n")
+    assert {(r.name, r.value) for r in manifests.assignments(spark, str(tmp_path / "env")).collect()} == {("A", "x y"), ("B", '"q'), ("C", "1=2")}

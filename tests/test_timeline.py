@@ -161,3 +161,17 @@ def test_weighted_percentile(spark):
     assert stats.weighted_median(df, ["g"], "v", "w").first().median == 3.0
     assert stats.weighted_percentile(df, ["g"], "v", "w", 0.4).first().percentile == 2.0
     assert stats.line_stats(df.where("v = 1").withColumnsRenamed({"v": "thickness", "w": "area"}), ["g"]).count() == 0
+
+
+def test_as_of_against_brute_force(spark):
+    from cueweave.operators.asof import as_of
+
+    rnd = random.Random(6)
+    states = [(rnd.choice(["a", "b", None]), rnd.randrange(1000), rnd.randrange(99)) for _ in range(60)]
+    rows = [(rnd.choice(["a", "b", "c", None]), rnd.choice([None, *range(1000)]), i) for i in range(150)]
+    left = spark.createDataFrame(rows, "k string, t long, i long")
+    right = spark.createDataFrame(states, "k string, t long, v long")
+    for width in (7, 5000):
+        got = {r.i: r.v for r in as_of(left, right, ["k"], "t", ["v"], width).collect()}
+        want = {i: max(((st, v) for sk, st, v in states if sk == k and t is not None and st <= t), default=(0, None))[1] for k, t, i in rows}
+        assert got == want
