@@ -52,12 +52,15 @@ _LATIN_MARKS = regex.compile(r"(?<=[\p{Latin}\p{Cyrillic}])\p{M}+")
 _APART = regex.compile(r"(?<![\p{L}\p{N}])(?:[\p{Latin}\p{Cyrillic}0-9@$]([ \-_.·]))(?:[\p{Latin}\p{Cyrillic}0-9@$]\1)+[\p{Latin}\p{Cyrillic}0-9@$](?![\p{L}\p{N}])")
 _WORD = regex.compile(r"[\p{Latin}\p{Cyrillic}][\p{Latin}\p{Cyrillic}\p{M}0-9@$!|€*]*|[0-9@$]+[\p{Latin}\p{Cyrillic}][\p{Latin}\p{Cyrillic}0-9@$*]*|\p{Hangul}+|[\p{Han}\p{Hiragana}\p{Katakana}ー]|\d+")
 _NUMBER = regex.compile(r"\d+")
+_PLAIN_NUMBER = regex.compile(r"(?<![\p{L}\p{M}@$!|€*\d])\d+(?![\p{L}\p{M}@$!|€*\d])|(?<=[\p{Han}\p{Hiragana}\p{Katakana}])\d+(?=[\p{Han}\p{Hiragana}\p{Katakana}])")
 _DRAWN = regex.compile(r"(.)\1+")
 _EAST = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}ー]")
 
 
 def spelled(text: str) -> str:
     """A passage in one spelling, before it is cut into words."""
+    if text.isascii():
+        return _APART.sub(lambda m: m.group().replace(m.group(1), ""), text.casefold())
     text = unicodedata.normalize("NFKC", transducer()(text)).casefold()
     text = unicodedata.normalize("NFC", _LATIN_MARKS.sub("", unicodedata.normalize("NFD", text)))
     return _APART.sub(lambda m: m.group().replace(m.group(1), ""), text)
@@ -77,26 +80,36 @@ def words_of(text: str, masks: dict[tuple[int, str, str], str] | None = None) ->
     return out
 
 
-def _hashed(feature: str) -> int:
-    return zlib.crc32(feature.encode("utf-8")) % HASH_SPACE
+@lru_cache(100_000)
+def _word_features(word: str) -> tuple[int, tuple[int, ...]]:
+    """Hash of a word, and its features on its own: none for an ideograph, syllable pairs for Hangul."""
+    code = zlib.crc32(word.encode("utf-8"))
+    own = () if _EAST.match(word) else (code % HASH_SPACE,)
+    if len(word) > 2 and "가" <= word[0] <= "힣":
+        own += tuple(zlib.crc32((word[k : k + 2] + "~").encode("utf-8")) % HASH_SPACE for k in range(len(word) - 1))
+    return code, own
+
+
+# Odd multipliers that tell the kinds of word pairs apart.
+_NEXT, _OVER_ONE, _OVER_TWO, _PRIME = 0x9E3779B1, 0x85EBCA6B, 0xC2B2AE35, (1 << 61) - 1
 
 
 def features_of(words: Sequence[str]) -> set[int]:
     """Hashes of n-grams of up to three words and of skip-grams over one or two."""
-    found = set()
-    n = len(words)
-    for i, word in enumerate(words):
-        east = bool(_EAST.match(word))
-        if not east:
-            found.add(word)
-        if len(word) > 2 and "가" <= word[0] <= "힣":
-            found.update(word[k : k + 2] + "~" for k in range(len(word) - 1))
-        for k in (1, 2, 3):
-            if i + k < n:
-                found.add(f"{word} {words[i + k]}" if k == 1 else f"{word} {'_' * (k - 1)} {words[i + k]}")
-        if i + 2 < n:
-            found.add(f"{word} {words[i + 1]} {words[i + 2]}")
-    return {_hashed(f) for f in found}
+    found: set[int] = set()
+    codes = []
+    for word in words:
+        code, own = _word_features(word)
+        codes.append(code)
+        found.update(own)
+    for a, b in zip(codes, codes[1:]):
+        found.add((a * _NEXT + b) % _PRIME % HASH_SPACE)
+    for a, b, c in zip(codes, codes[1:], codes[2:]):
+        found.add((a * _OVER_ONE + c) % _PRIME % HASH_SPACE)
+        found.add(((a * _NEXT + b) * _NEXT + c) % _PRIME % HASH_SPACE)
+    for a, d in zip(codes, codes[3:]):
+        found.add((a * _OVER_TWO + d) % _PRIME % HASH_SPACE)
+    return found
 
 
 class Ftrl:
@@ -195,6 +208,11 @@ def passages(text: str) -> list[str]:
     return [p for p in (m.strip() for m in _PASSAGE.findall(text)) if p]
 
 
+def numberless(passage: str) -> str:
+    """A passage with its numbers as one: it has the same features."""
+    return _PLAIN_NUMBER.sub("0", passage)
+
+
 def moderate(df: DataFrame, model: ModerationModel, text: str, keep: Sequence[str], threshold: float = THRESHOLD) -> DataFrame:
     """``keep``, score, verdict and harmful passages of each text.
 
@@ -211,7 +229,7 @@ def moderate(df: DataFrame, model: ModerationModel, text: str, keep: Sequence[st
         for part in parts:
             worst, verdict, harmful = [], [], []
             for t in part["_text"]:
-                found = [(score(p), p) for p in passages(t)] if t else []
+                found = [(score(numberless(p)), p) for p in passages(t)] if t else []
                 top, passage = max(found, default=(0.0, ""))
                 worst.append(top)
                 verdict.append(fitted.verdict(passage) if top >= threshold else "none")
