@@ -19,11 +19,14 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .lookalike import shape_pairs
 
+#: Bytes of text whose arrays are in memory at a time, at some 60 bytes a character.
+SLICE_BYTES = 1 << 20
 #: The most labelled rows that profiles are fitted on.
 MAX_SAMPLES = 20_000
 #: Places of a profile; an n-gram beyond them is out of place by as many.
@@ -292,6 +295,17 @@ def bounded_sample(df: DataFrame, key: str, most: int) -> DataFrame:
     return df.where(F.pmod(F.xxhash64(key), F.lit(max(1, parts))) == 0).orderBy(F.xxhash64(key), key).limit(most)
 
 
+def in_slices(sizes: np.ndarray, most: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
+    """Neighbouring rows taken together up to ``most`` bytes; a longer row is a slice of its own."""
+    ends = np.cumsum(sizes)
+    start = 0
+    while start < len(sizes):
+        before = ends[start - 1] if start else 0
+        stop = max(start + 1, int(np.searchsorted(ends, before + most, side="right")))
+        yield start, stop
+        start = stop
+
+
 def fit_profiles(samples: DataFrame, labelled: DataFrame | None = None, most: int = MAX_SAMPLES) -> Profiles:
     """Profiles from ``samples`` (lang, text), refined on labelled texts (key, lang, text) of the corpus.
 
@@ -320,13 +334,16 @@ def languages_of(df: DataFrame, profiles: Profiles, text: str, keep: Sequence[st
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fitted = shared.value
-        for batch in batches:
-            row, found = stretches(fitted, batch.column(batch.num_columns - 1).to_pylist())
-            offsets = np.searchsorted(row, np.arange(batch.num_rows + 1)).astype(np.int32)
-            fields = [pa.array(found["start"], pa.int64()), pa.array(found["end"], pa.int64()), pa.array(found["lang"].tolist(), pa.string()), pa.array(found["confidence"], pa.float64())]
-            structs = pa.StructArray.from_arrays(fields, ["start", "end", "lang", "confidence"])
-            lists = pa.ListArray.from_arrays(pa.array(offsets), structs)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], lists], [*keep, "stretches"])
+        for whole in batches:
+            sizes = pc.fill_null(pc.binary_length(whole.column(whole.num_columns - 1)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+            for start, stop in in_slices(sizes):
+                batch = whole.slice(start, stop - start)
+                row, found = stretches(fitted, batch.column(batch.num_columns - 1).to_pylist())
+                offsets = np.searchsorted(row, np.arange(batch.num_rows + 1)).astype(np.int32)
+                fields = [pa.array(found["start"], pa.int64()), pa.array(found["end"], pa.int64()), pa.array(found["lang"].tolist(), pa.string()), pa.array(found["confidence"], pa.float64())]
+                structs = pa.StructArray.from_arrays(fields, ["start", "end", "lang", "confidence"])
+                lists = pa.ListArray.from_arrays(pa.array(offsets), structs)
+                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], lists], [*keep, "stretches"])
 
     ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields)
     return rows.mapInArrow(run, f"{ddl}, stretches {_STRETCH}")

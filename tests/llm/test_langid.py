@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from cueweave.llm.langid import Profiles, bounded_sample, label_language, languages_of, mislabelled, stretches
+from cueweave.llm.langid import Profiles, bounded_sample, in_slices, label_language, languages_of, mislabelled, stretches
 
 CLEAN = {
     "en": ["Who opened the door at the old station?", "I always believed what they told me.", "We only have ten minutes before the bell rings.", "The line of the song is missing in this file."],
@@ -96,3 +96,12 @@ def test_held_out_accuracy():
     for r, lang in zip(row.tolist(), out["lang"]):
         first.setdefault(r, str(lang))
     assert sum(first.get(i) == lang for i, (lang, _) in enumerate(held)) >= 0.95 * len(held)
+
+
+def test_slices_cover_all_rows():
+    import numpy as np
+
+    for sizes in ([], [0], [5, 5, 5], [100, 1, 1], [1, 100, 1], [0, 0, 0]):
+        spans = list(in_slices(np.array(sizes, dtype=np.int64), 10))
+        assert [i for a, b in spans for i in range(a, b)] == list(range(len(sizes)))
+        assert all(sum(sizes[a:b]) <= 10 or b - a == 1 for a, b in spans)
