@@ -22,7 +22,7 @@ EOF_PTS = 180_000
 LEAST_PTS = 90
 ISLAND_GAP_PTS = 180
 #: Width of a bucket of the safe policy: bounds the rows that are joined with each other.
-SAFE_BUCKET_MS = 60_000
+SAFE_BUCKET_MS = 20_000
 
 
 def next_start_end(df: DataFrame, keys: Sequence[str], order: Sequence[str], start: str, keep: Column | None = None, end: str = "end_pts") -> DataFrame:
@@ -135,7 +135,7 @@ def safe_cues(df: DataFrame, keys: Sequence[str], layout: Sequence[str], start:
     cont = (F.col("_no") == 1) & (F.col("start_ms") == F.col("_b") * bucket_ms) & (F.col("_before") == F.col("_shown"))
     opens = stage(opens.select(*by, "_no", "start_ms", "end_ms", F.col("_shown").alias("text"), "last", F.coalesce(cont, F.lit(False)).alias("cont")), "safe-pieces")
     cues = stitch(opens, ["_k"], "_b", "_no", "cont", "last", {"start_ms": F.min("start_ms"), "end_ms": F.max("end_ms"), "text": F.first("text")})
-    cues = cues.withColumn("_b", bucket_of("start_ms", bucket_ms * 60))
+    cues = cues.withColumn("_b", bucket_of("start_ms", bucket_ms * 180))
     return numbered(cues, ["_k"], "_b", ["start_ms"], "cue_index").select("_k.*", "cue_index", "start_ms", "end_ms", "text")
 
 
