@@ -35,20 +35,23 @@ def round_robin(df: DataFrame, group: str, order: Sequence[Column], group_order:
     """Rows interleaved over groups: all first ones, then all second ones; ``slot`` counts from 1.
 
     With ``limit``, as many slots stay; with ``reserved``, the last of them goes
-    to the first row it holds for, if none is among them already. Groups are
-    candidate lists of a few rows each.
+    to the first row it holds for, if none is among them already. Slots come
+    from the rows of each turn and the turns before, not from one sort of all.
     """
-    turn = F.row_number().over(Window.partitionBy(group).orderBy(*order))
-    slots = df.withColumn("_turn", turn)
-    slots = slots.withColumn("slot", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy("_turn", group_order))).drop("_turn")
+    turns = df.withColumn("_turn", F.row_number().over(Window.partitionBy(group).orderBy(*order)))
+    before = Window.partitionBy(F.lit(1)).orderBy("_turn").rowsBetween(Window.unboundedPreceding, -1)
+    shift = turns.groupBy("_turn").agg(F.count("*").alias("_n")).select("_turn", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_shift"))
+    within = F.row_number().over(Window.partitionBy("_turn").orderBy(group_order))
+    slots = turns.join(shift, "_turn").withColumn("slot", F.col("_shift") + within).drop("_turn", "_shift")
     if limit is None:
         return slots
     if reserved is None:
         return slots.where(F.col("slot") <= limit)
-    inside = slots.where(F.col("slot") <= limit)
-    kept = slots.withColumn("_held", F.min(F.when(reserved, F.col("slot"))).over(Window.partitionBy(F.lit(1))))
-    moved = kept.where((F.col("slot") < limit) | ((F.col("slot") == limit) & (F.coalesce("_held", F.lit(0)) <= limit)) | ((F.col("slot") == F.col("_held")) & (F.col("_held") > limit)))
-    return moved.withColumn("slot", F.least("slot", F.lit(limit))).select(*inside.columns)
+    held = slots.agg(F.min(F.when(reserved, F.col("slot"))).alias("_held"))  # one row
+    near = slots.join(F.broadcast(held), F.lit(True))
+    late = F.coalesce(F.col("_held") > limit, F.lit(False))
+    kept = near.where((F.col("slot") < limit) | ((F.col("slot") == limit) & ~late) | (late & (F.col("slot") == F.col("_held"))))
+    return kept.withColumn("slot", F.least("slot", F.lit(limit))).drop("_held")
 
 
 def budgeted(df: DataFrame, group: str, order: Sequence[Column], budget: str, total: int) -> DataFrame:

@@ -26,8 +26,8 @@ def carry_in(rows: DataFrame, keys: Sequence[str], bucket: str, summary: Column,
     """For each (keys, bucket) what the buckets before it hand over, as ``carry``.
 
     ``summary`` is an aggregate per bucket, combined map-side before the shuffle.
-    ``combine`` is ``max`` (running maximum of the summaries) or ``last`` (the
-    summary of the nearest earlier bucket).
+    ``combine`` is ``max`` (running maximum of the summaries), ``last`` (the
+    summary of the nearest earlier bucket) or ``next`` (of the nearest later one).
     """
     per_bucket = rows.groupBy(*keys, bucket).agg(summary.alias("_s"))
     order = Window.partitionBy(*keys).orderBy(bucket)
@@ -35,6 +35,8 @@ def carry_in(rows: DataFrame, keys: Sequence[str], bucket: str, summary: Column,
         carried = F.max("_s").over(order.rowsBetween(Window.unboundedPreceding, -1))
     elif combine == "last":
         carried = F.lag("_s").over(order)
+    elif combine == "next":
+        carried = F.lead("_s").over(order)
     else:
         raise ValueError(f"unknown combine {combine!r}")
     return per_bucket.select(*keys, bucket, carried.alias("carry"))
@@ -62,6 +64,20 @@ def packed_keys(keys: Sequence[str]) -> Column:
     return F.struct(*[F.col(k) for k in keys]).alias("_k")
 
 
+def with_neighbour(rows: DataFrame, keys: Sequence[str], bucket: str, order: Sequence[str], fields: Sequence[str], name: str, ahead: bool = False) -> DataFrame:
+    """``rows`` with ``order`` and ``fields`` of the row before (or ahead) of their keys as a struct.
+
+    Within a bucket that is a window; the first (or last) row of a bucket takes
+    the last (or first) row of the nearest bucket with rows. ``order`` must rise
+    with the bucket and tell rows apart.
+    """
+    row = F.struct(*dict.fromkeys([*order, *fields]))
+    carries = carry_in(rows, keys, bucket, F.min(row) if ahead else F.max(row), "next" if ahead else "last")
+    scan = Window.partitionBy(*keys, bucket).orderBy(*order)
+    inside = F.lead(row).over(scan) if ahead else F.lag(row).over(scan)
+    return with_carry(rows, carries, keys, bucket).withColumn(name, F.coalesce(inside, F.col("carry"))).drop("carry")
+
+
 def stitch(pieces: DataFrame, keys: Sequence[str], bucket: str, order: str, cont: str, last: str, aggregates: Mapping[str, Column]) -> DataFrame:
     """Join pieces across bucket borders.
 

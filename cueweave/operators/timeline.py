@@ -16,7 +16,7 @@ from pyspark.sql.window import Window
 
 from ..functions.text import strip_blanks
 from ..session import stage
-from .scan import bucket_of, numbered, packed_keys, stitch
+from .scan import bucket_of, numbered, packed_keys, stitch, with_carry, with_neighbour
 
 EOF_PTS = 180_000
 LEAST_PTS = 90
@@ -25,50 +25,70 @@ ISLAND_GAP_PTS = 180
 SAFE_BUCKET_MS = 20_000
 
 
-def next_start_end(df: DataFrame, keys: Sequence[str], order: Sequence[str], start: str, keep: Column | None = None, end: str = "end_pts") -> DataFrame:
+def _bucketed(df: DataFrame, keys: Sequence[str], bucket: tuple[str, int]) -> DataFrame:
+    return df.withColumns({"_k": F.struct(*[F.col(k) for k in keys]), "_b": bucket_of(*bucket)})
+
+
+def next_start_end(df: DataFrame, keys: Sequence[str], order: Sequence[str], start: str, keep: Column | None = None, end: str = "end_pts", bucket: tuple[str, int] | None = None) -> DataFrame:
     """End of each row: the start of the next row of its keys, its own start for the last.
 
     ``keep`` filters after the look-ahead, so that blank rows still end the row
-    before them.
+    before them. ``bucket``, the first column of ``order`` and a width, scans
+    long entities in parts.
     """
-    ahead = F.lead(start).over(Window.partitionBy(*keys).orderBy(*order))
-    out = df.withColumn(end, F.coalesce(ahead, F.col(start)))
+    if bucket is None:
+        out = df.withColumn(end, F.coalesce(F.lead(start).over(Window.partitionBy(*keys).orderBy(*order)), F.col(start)))
+    else:
+        near = with_neighbour(_bucketed(df, keys, bucket), ["_k"], "_b", order, [start], "_next", ahead=True)
+        out = near.withColumn(end, F.coalesce(F.col(f"_next.{start}"), F.col(start))).drop("_next", "_k", "_b")
     return out if keep is None else out.where(keep)
 
 
-def repair_zero_duration(df: DataFrame, keys: Sequence[str], order: Sequence[str], start: str = "start_pts", end: str = "end_pts", first_n: int | None = None) -> DataFrame:
+def repair_zero_duration(df: DataFrame, keys: Sequence[str], order: Sequence[str], start: str = "start_pts", end: str = "end_pts", first_n: int | None = None, bucket: tuple[str, int] | None = None) -> DataFrame:
     """Ends not after their starts repaired from the next candidate; the first ``first_n`` kept.
 
     The last candidate gets a fixed length, others end a millisecond before the
     next start, a millisecond after their own at least. The limit looks ahead
-    over all candidates first.
+    over all candidates first. ``bucket`` as in ``next_start_end``.
     """
+    if first_n is not None and first_n <= 0:
+        raise ValueError("first_n must be positive")
     scan = Window.partitionBy(*keys).orderBy(*order)
-    ahead = F.lead(start).over(scan)
+    if bucket is None:
+        rows, ahead = df, F.lead(start).over(scan)
+    else:
+        rows, ahead = with_neighbour(_bucketed(df, keys, bucket), ["_k"], "_b", order, [start], "_next", ahead=True), F.col(f"_next.{start}")
     repaired = F.when(ahead.isNull(), F.col(start) + EOF_PTS).otherwise(F.greatest(F.col(start) + LEAST_PTS, F.greatest(F.lit(0), ahead - LEAST_PTS)))
-    out = df.withColumn(end, F.when(F.col(end) <= F.col(start), repaired).otherwise(F.col(end)))
+    out = rows.withColumn(end, F.when(F.col(end) <= F.col(start), repaired).otherwise(F.col(end))).drop("_next", "_k", "_b")
     if first_n is None:
         return out
-    if first_n <= 0:
-        raise ValueError("first_n must be positive")
+    # Spark keeps no more than first_n rows of a group in each task before the shuffle.
     return out.withColumn("_place", F.row_number().over(scan)).where(F.col("_place") <= first_n).drop("_place")
 
 
-def islands(df: DataFrame, keys: Sequence[str], order: Sequence[str], same: str, start: str, end: str, max_gap: int | None = ISLAND_GAP_PTS, aggregates: dict[str, Column] | None = None) -> DataFrame:
+def islands(df: DataFrame, keys: Sequence[str], order: Sequence[str], same: str, start: str, end: str, max_gap: int | None = ISLAND_GAP_PTS, bucket: tuple[str, int] | None = None) -> DataFrame:
     """Consecutive rows of a track with the same ``same`` merged: keys, same, first ordinal, start, end, rows.
 
     A row goes on with the island before it if the gap to the previous end is at
-    most ``max_gap`` (any, if null). Exact where the ends of a track do not
-    fall; ``fold_islands`` holds for all input.
+    most ``max_gap`` (any, if null). The first ordinal is the last column of
+    ``order`` at the island's first row. Exact where the ends of a track do not
+    fall; ``fold_islands`` holds for more input. ``bucket`` as in
+    ``next_start_end``: islands that cross buckets are stitched.
     """
-    scan = Window.partitionBy(*keys).orderBy(*order)
-    joins = F.col(same).eqNullSafe(F.lag(same).over(scan)) & (F.row_number().over(scan) > 1)
+    rows = _bucketed(df, keys, bucket) if bucket else df.withColumns({"_k": F.struct(*[F.col(k) for k in keys]), "_b": F.lit(0)})
+    rows = with_neighbour(rows, ["_k"], "_b", order, [same, end], "_prev")
+    goes_on = F.col("_prev").isNotNull() & F.col(same).eqNullSafe(F.col(f"_prev.{same}"))
     if max_gap is not None:
-        joins &= F.greatest(F.lit(0), F.col(start) - F.lag(end).over(scan)) <= max_gap
-    marked = df.withColumn("_new", F.when(joins, 0).otherwise(1)).withColumn("_island", F.sum("_new").over(scan))
-    more = [a.alias(n) for n, a in (aggregates or {}).items()]
-    out = marked.groupBy(*keys, "_island", same).agg(F.min(order[-1]).alias("first_ordinal"), F.min(start).alias(start), F.max(end).alias(end), F.count("*").alias("rows"), *more)
-    return out.drop("_island")
+        goes_on &= F.greatest(F.lit(0), F.col(start) - F.col(f"_prev.{end}")) <= max_gap
+    whole = Window.partitionBy("_k", "_b")
+    marked = rows.withColumn("_no", F.sum(F.when(goes_on, 0).otherwise(1)).over(whole.orderBy(*order)))
+    place = F.struct(*order)
+    pieces = marked.groupBy("_k", "_b", "_no").agg(F.min(place).alias("_first"), F.min(start).alias("_start"), F.max(end).alias("_end"), F.count("*").alias("rows"), F.first(same).alias("_same"))
+    pieces = pieces.withColumn("last", F.col("_no") == F.max("_no").over(whole)).withColumn("cont", F.col("_no") == 0)
+    if bucket:
+        pieces = stage(pieces, "island-pieces")
+        pieces = stitch(pieces, ["_k"], "_b", "_no", "cont", "last", {"_first": F.min("_first"), "_start": F.min("_start"), "_end": F.max("_end"), "rows": F.sum("rows"), "_same": F.first("_same")})
+    return pieces.select("_k.*", F.col("_same").alias(same), F.col(f"_first.{order[-1]}").alias("first_ordinal"), F.col("_start").alias(start), F.col("_end").alias(end), "rows")
 
 
 def fold_islands(df: DataFrame, keys: Sequence[str], order: Sequence[str], same: str, start: str, end: str, max_gap: int = ISLAND_GAP_PTS) -> DataFrame:
@@ -158,14 +178,30 @@ def cues(df: DataFrame, policy: str, keys: Sequence[str], layout: Sequence[str],
     raise ValueError(f"unsupported srt policy: {policy}")
 
 
-def frame_and_segment(df: DataFrame, keys: Sequence[str], order: Sequence[str], frame: Sequence[str]) -> DataFrame:
-    """Frame number, one up whenever ``frame`` changes from the row before, and place in the frame."""
-    scan = Window.partitionBy(*keys).orderBy(*order)
-    changed = F.row_number().over(scan) == 1
+def frame_and_segment(df: DataFrame, keys: Sequence[str], order: Sequence[str], frame: Sequence[str], bucket: tuple[str, int] | None = None) -> DataFrame:
+    """Frame number, one up whenever ``frame`` changes from the row before, and place in the frame.
+
+    ``bucket`` as in ``next_start_end``; its column must be one of ``frame``, so
+    that no frame crosses a border.
+    """
+    if bucket is None:
+        rows = df.withColumns({"_k": F.struct(*[F.col(k) for k in keys]), "_b": F.lit(0)})
+    elif bucket[0] not in frame:
+        raise ValueError("the bucket's column must be part of the frame")
+    else:
+        rows = _bucketed(df, keys, bucket)
+    rows = with_neighbour(rows, ["_k"], "_b", order, list(frame), "_prev")
+    changed = F.col("_prev").isNull()
     for c in frame:
-        changed = changed | ~F.col(c).eqNullSafe(F.lag(c).over(scan))
-    out = df.withColumn("_new", F.when(changed, 1).otherwise(0)).withColumn("frame_index", F.sum("_new").over(scan)).drop("_new")
-    return out.withColumn("segment_index", F.row_number().over(Window.partitionBy(*keys, "frame_index").orderBy(*order)))
+        changed = changed | ~F.col(c).eqNullSafe(F.col(f"_prev.{c}"))
+    rows = rows.withColumn("_new", F.when(changed, 1).otherwise(0))
+    counts = rows.groupBy("_k", "_b").agg(F.sum("_new").alias("_n"))
+    before = Window.partitionBy("_k").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    shift = counts.select("_k", "_b", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("carry"))
+    scan = Window.partitionBy("_k", "_b").orderBy(*order)
+    out = with_carry(rows, shift, ["_k"], "_b").withColumn("frame_index", F.col("carry") + F.sum("_new").over(scan))
+    out = out.withColumn("segment_index", F.row_number().over(Window.partitionBy("_k", "_b", "frame_index").orderBy(*order)))
+    return out.drop("_k", "_b", "_prev", "_new", "carry")
 
 
 def srt_blocks(df: DataFrame, index: str = "cue_index", start: str = "start_ms", end: str = "end_ms", text: str = "text", compat: bool = True) -> Column:

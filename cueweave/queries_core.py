@@ -12,6 +12,7 @@ from .operators import asof, correct, dedupe, detect, intervals, ranking, relate
 from .session import load
 
 SEGMENT = ["segment_id", "source_id", "ord", "start_ms", "end_ms", "text", "window_id", "box_left", "box_top", "box_right", "box_bottom"]
+WEEK_US = 7 * 86_400_000_000
 LAYOUT = ["box_top", "box_left", "box_right", "window_id"]
 
 
@@ -60,7 +61,7 @@ def query(sql: str | None = None):
 @query(f"""WITH {_EV}, l AS (SELECT *, coalesce(lead(us) OVER (PARTITION BY user_id ORDER BY us, event_id), us) AS end_us FROM e)
 SELECT event_id, user_id, us, end_us FROM l WHERE event_type <> 'view'""")
 def next_start_end(spark, sf_dir):
-    out = timeline.next_start_end(events(spark, sf_dir), ["user_id"], ["us", "event_id"], "us", F.col("event_type") != "view", "end_us")
+    out = timeline.next_start_end(events(spark, sf_dir), ["user_id"], ["us", "event_id"], "us", F.col("event_type") != "view", "end_us", ("us", WEEK_US))
     return out.select("event_id", "user_id", "us", "end_us")
 
 
@@ -78,7 +79,7 @@ def _days(spark, sf_dir):
 
 @query(_REPAIR)
 def zero_duration_repair(spark, sf_dir):
-    return timeline.repair_zero_duration(_days(spark, sf_dir), ["user_id"], ["start_pts", "event_id"]).select("event_id", "user_id", "start_pts", "end_pts")
+    return timeline.repair_zero_duration(_days(spark, sf_dir), ["user_id"], ["start_pts", "event_id"], bucket=("start_pts", 30 * 7_776_000_000)).select("event_id", "user_id", "start_pts", "end_pts")
 
 
 @query(f"{_REPAIR} WHERE place <= 5")
@@ -96,15 +97,14 @@ FROM {table} WINDOW w AS (PARTITION BY {keys} ORDER BY {order})), i AS (SELECT *
 SELECT user_id, event_type, arg_min(event_id, (us, event_id)) AS first_ordinal, min(us) AS us, max(us) AS end_us, count(*) AS rows FROM i GROUP BY user_id, island, event_type""")
 def track_islands(spark, sf_dir):
     rows = events(spark, sf_dir).withColumn("end_us", F.col("us"))
-    found = timeline.islands(rows, ["user_id"], ["us", "event_id"], "event_type", "us", "end_us", None, {"first_event": F.min_by("event_id", F.struct("us", "event_id"))})
-    return found.drop("first_ordinal").withColumnRenamed("first_event", "first_ordinal")
+    return timeline.islands(rows, ["user_id"], ["us", "event_id"], "event_type", "us", "end_us", None, ("us", WEEK_US))
 
 
 @query(f"""WITH {_EV}, {_islands_sql('e', 'user_id', 'us, event_id', 'event_type', 'us', 'us', 'AND greatest(0, us - lag(us) OVER w) <= 3600000000')}
 SELECT user_id, event_type, min(us) AS us, max(us) AS end_us, count(*) AS rows FROM i GROUP BY user_id, island, event_type""")
 def gap_islands(spark, sf_dir):
     rows = events(spark, sf_dir).withColumn("end_us", F.col("us"))
-    return timeline.islands(rows, ["user_id"], ["us", "event_id"], "event_type", "us", "end_us", 3_600_000_000).drop("first_ordinal")
+    return timeline.islands(rows, ["user_id"], ["us", "event_id"], "event_type", "us", "end_us", 3_600_000_000, ("us", WEEK_US)).drop("first_ordinal")
 
 
 @query()
@@ -404,7 +404,7 @@ f AS (SELECT *, sum(new) OVER (PARTITION BY source_id ORDER BY start_ms, segment
 SELECT segment_id, CAST(frame_index AS BIGINT) AS frame_index, row_number() OVER (PARTITION BY source_id, frame_index ORDER BY start_ms, segment_id) AS segment_index FROM f""")
 def frame_segment_index(spark, sf_dir):
     rows = segments(spark, sf_dir).where("start_ms is not null")
-    return timeline.frame_and_segment(rows, ["source_id"], ["start_ms", "segment_id"], ["start_ms"]).select("segment_id", "frame_index", F.col("segment_index").cast("long").alias("segment_index"))
+    return timeline.frame_and_segment(rows, ["source_id"], ["start_ms", "segment_id"], ["start_ms"], ("start_ms", 3_600_000)).select("segment_id", "frame_index", F.col("segment_index").cast("long").alias("segment_index"))
 
 
 @query(f"WITH {_SEG} SELECT segment_id FROM s WHERE (source_id, start_ms) IN (SELECT (source_id, start_ms) FROM s WHERE box_left IS NULL AND start_ms IS NOT NULL)")

@@ -175,3 +175,23 @@ def test_as_of_against_brute_force(spark):
         got = {r.i: r.v for r in as_of(left, right, ["k"], "t", ["v"], width).collect()}
         want = {i: max(((st, v) for sk, st, v in states if sk == k and t is not None and st <= t), default=(0, None))[1] for k, t, i in rows}
         assert got == want
+
+
+def test_bucketed_scans_equal_whole_ones(spark):
+    rnd = random.Random(9)
+    rows = [(rnd.choice(["hot", "hot", "x", None]), rnd.randrange(3000), i, rnd.choice(["a", "b", None]), rnd.choice([0, 0, 50])) for i in range(400)]
+    df = spark.createDataFrame(rows, "k string, s long, n long, v string, d long").withColumn("e", F.col("s") + F.col("d"))
+    order, bucket = ["s", "n"], ("s", 37)
+
+    def same(make):
+        whole, cut = make(None), make(bucket)
+        assert whole.columns == cut.columns
+        assert sorted(map(tuple, whole.collect()), key=repr) == sorted(map(tuple, cut.collect()), key=repr)
+
+    same(lambda b: timeline.next_start_end(df, ["k"], order, "s", F.col("v").isNotNull(), "end", b))
+    same(lambda b: timeline.repair_zero_duration(df, ["k"], order, "s", "e", bucket=b))
+    same(lambda b: timeline.islands(df, ["k"], order, "v", "s", "e", 20, b))
+    same(lambda b: timeline.islands(df, ["k"], order, "v", "s", "e", None, b))
+    same(lambda b: timeline.frame_and_segment(df, ["k"], order, ["s", "v"], b))
+    with pytest.raises(ValueError):
+        timeline.frame_and_segment(df, ["k"], order, ["v"], bucket)
