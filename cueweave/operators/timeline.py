@@ -91,8 +91,8 @@ def islands(df: DataFrame, keys: Sequence[str], order: Sequence[str], same: str,
     return pieces.select("_k.*", F.col("_same").alias(same), F.col(f"_first.{order[-1]}").alias("first_ordinal"), F.col("_start").alias(start), F.col("_end").alias(end), "rows")
 
 
-def fold_islands(df: DataFrame, keys: Sequence[str], order: Sequence[str], same: str, start: str, end: str, max_gap: int = ISLAND_GAP_PTS) -> DataFrame:
-    """Islands whose end is the latest of their rows: keys, same, first ordinal, start, end, rows.
+def fold_islands(df: DataFrame, keys: Sequence[str], order: Sequence[str], same: str, start: str, end: str, max_gap: int = ISLAND_GAP_PTS, aggregates: dict[str, Column] | None = None) -> DataFrame:
+    """Islands whose end is the latest of their rows: keys, same, first ordinal, start, end, rows, ``aggregates``.
 
     The gap is measured to the latest end of the island so far, which is the
     latest of the run of equal rows, as an island only breaks where that lies
@@ -104,7 +104,7 @@ def fold_islands(df: DataFrame, keys: Sequence[str], order: Sequence[str], same:
     latest = F.max(end).over(Window.partitionBy(*keys, "_run").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1))
     opens = latest.isNull() | (F.col(start) - latest > max_gap)
     rows = rows.withColumn("_island", F.sum(opens.cast("long")).over(Window.partitionBy(*keys, "_run").orderBy(*order)))
-    out = rows.groupBy(*keys, "_run", "_island", same).agg(F.min(order[-1]).alias("first_ordinal"), F.min(start).alias(start), F.max(end).alias(end), F.count("*").alias("rows"))
+    out = rows.groupBy(*keys, "_run", "_island", same).agg(F.min(order[-1]).alias("first_ordinal"), F.min(start).alias(start), F.max(end).alias(end), F.count("*").alias("rows"), *[a.alias(n) for n, a in (aggregates or {}).items()])
     return out.drop("_run", "_island")
 
 

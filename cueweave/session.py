@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -58,3 +60,21 @@ def stage(df: DataFrame, label: str) -> DataFrame:
 
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make this package importable by the executors, once per context.
+
+    The driver serves it as an archive, so nothing has to be installed on the
+    executors or on their path.
+    """
+    context = spark.sparkContext
+    if getattr(context, "_cueweave_shipped", False):
+        return
+    root = Path(__file__).resolve().parent
+    archive = Path(tempfile.mkdtemp(prefix="cueweave-package-"), "cueweave.zip")
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as out:
+        for path in sorted(root.rglob("*.py")):
+            out.write(path, Path(root.name, path.relative_to(root)))
+    context.addPyFile(str(archive))
+    context._cueweave_shipped = True

@@ -16,6 +16,7 @@ from struct import unpack_from
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -40,6 +41,10 @@ WINDOW = "struct<window_id:int,left:int,top:int,right:int,bottom:int,width:int,h
 SURFACE = "struct<left:int,top:int,width:int,height:int,image_hash:binary,pixels:binary>"
 DISPLAY_SETS = f"source_id string, raw_index bigint, pts bigint, composition_state int, has_composition boolean, complete boolean, windows array<{WINDOW}>, surface {SURFACE}"
 
+_ARROW_WINDOW = pa.struct([*[(n, pa.int32()) for n in ("window_id", "left", "top", "right", "bottom", "width", "height")], ("object_ids", pa.list_(pa.int32())), ("image_hash", pa.binary()), ("pixels", pa.binary())])
+_ARROW_SURFACE = pa.struct([*[(n, pa.int32()) for n in ("left", "top", "width", "height")], ("image_hash", pa.binary()), ("pixels", pa.binary())])
+ARROW_SETS = pa.schema([("source_id", pa.string()), ("raw_index", pa.int64()), ("pts", pa.int64()), ("composition_state", pa.int32()), ("has_composition", pa.bool_()), ("complete", pa.bool_()), ("windows", pa.list_(_ARROW_WINDOW)), ("surface", _ARROW_SURFACE)])
+
 
 class SupFormatError(ValueError):
     """A stream that is not what its packets claim."""
@@ -311,39 +316,27 @@ def display_sets(packet_rows: DataFrame, surface: bool = False, continued_at: in
     Streams are spread over tasks and sorted; the packets of a stream pass
     through its task, which holds one set and the stream's state at a time.
     """
-    ordered = packet_rows.repartition("source_id").sortWithinPartitions("source_id", "raw_index", "packet_no")
-
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        source, raw, decoder, held, rows = None, None, StreamDecoder(continued_at), [], []
-        columns = ["source_id", "raw_index", "pts", "composition_state", "has_composition", "complete", "windows", "surface"]
-
-        def close() -> None:
-            if held:
-                rows.append({"source_id": source, "raw_index": raw} | decoder.display_set(held, surface))
-                held.clear()
+    ordered = packet_rows.select("source_id", "raw_index", "packet_no", "pts", "segment_type", "payload").repartition("source_id").sortWithinPartitions("source_id", "raw_index", "packet_no")
 
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        source, raw, decoder, held = None, None, StreamDecoder(continued_at), []
+        rows: list[dict] = []
         for part in parts:
-            for s, r, pts, kind, payload in zip(part["source_id"], part["raw_index"], part["pts"], part["segment_type"], part["payload"]):
+            for s, r, _, pts, kind, payload in zip(*(c.to_pylist() for c in part.columns)):
                 if s != source or r != raw:
-                    close()
+                    if held:
+                        rows.append({"source_id": source, "raw_index": raw} | decoder.display_set(held, surface))
+                        held = []
                     if s != source:
                         decoder = StreamDecoder(continued_at)
                     source, raw = s, r
-                held.append((int(pts), int(kind), bytes(payload)))
-            yield _frame(rows, columns)
+                held.append((pts, kind, payload))
+            yield pa.RecordBatch.from_pylist(rows, ARROW_SETS)
             rows = []
-        close()
-        if rows:
-            yield _frame(rows, columns)
-
-    return ordered.mapInPandas(run, DISPLAY_SETS)
-
+        if held:
+            yield pa.RecordBatch.from_pylist([{"source_id": source, "raw_index": raw} | decoder.display_set(held, surface)], ARROW_SETS)
 
-def _frame(rows: list[dict], columns: list[str]) -> pd.DataFrame:
-    frame = pd.DataFrame(rows, columns=columns)
-    for c in ("raw_index", "pts", "composition_state"):
-        frame[c] = frame[c].astype("Int64")
-    return frame
+    return ordered.mapInArrow(run, DISPLAY_SETS)
 
 
 def unique_objects(packet_rows: DataFrame) -> DataFrame:
@@ -365,11 +358,10 @@ def _timed(sets: DataFrame) -> DataFrame:
 
 def _deduplicated(candidates: DataFrame, track: Sequence[str], values: Sequence[str], max_items: int | None) -> DataFrame:
     rows = repair_zero_duration(candidates, ["source_id"], ["ordinal"], first_n=max_items)
-    found = fold_islands(rows.select("source_id", *track, "ordinal", "image_hash", "start_pts", "end_pts"), ["source_id", *track], ["ordinal"], "image_hash", "start_pts", "end_pts")
-    images = rows.select("source_id", F.col("ordinal").alias("first_ordinal"), "raw_index", *values)
+    first = {"_v": F.min_by(F.struct("raw_index", *values), "ordinal")}
+    found = fold_islands(rows, ["source_id", *track], ["ordinal"], "image_hash", "start_pts", "end_pts", aggregates=first)
     start, end = pts_to_ms(F.col("start_pts")), pts_to_ms(F.col("end_pts"))
-    joined = found.join(images, ["source_id", "first_ordinal"])
-    return joined.withColumn("start_ms", start).withColumn("end_ms", least_duration(start, end))
+    return found.select(*[c for c in found.columns if c != "_v"], "_v.*").withColumn("start_ms", start).withColumn("end_ms", least_duration(start, end))
 
 
 def window_frames(sets: DataFrame, max_items: int | None = None) -> DataFrame:
