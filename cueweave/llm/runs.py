@@ -5,6 +5,7 @@ from __future__ import annotations
 import unicodedata
 from collections.abc import Iterator, Sequence
 from functools import lru_cache
+from typing import NamedTuple
 
 import pandas as pd
 import regex
@@ -30,7 +31,9 @@ MISREAD = (
     "lI いり っつ ゃや ゅゆ ょよ ァア ィイ ゥウ ェエ ォオ ッツ ャヤ ュユ ョヨ ヶケ ヵカ カ力 ロ口 ー一 ニ二 ハ八 エ工 タ夕 ト卜 へヘ "
     "待侍 了子 我找 们门 在左 未末 土士 日曰 己已 人入 干千 ソン シツ иниі шщ ьъ 어이 올을 률를 다디 "
 )
-MISREAD_WIDE = {"m": "rn", "h": "li", "d": "cl", "w": "vv"}
+MISREAD_PAIRS = {"rn": "m", "li": "h", "cl": "d", "vv": "w"}
+MISREAD_WIDE = {one: pair for pair, one in MISREAD_PAIRS.items()}
+_PAIR_LETTERS = frozenset("".join(MISREAD_PAIRS) + "".join(MISREAD_WIDE))
 # Negations whose loss changes the line even where it is one character.
 NEGATIONS = frozenset("不 没 未 别 別 無 안 못 n't".split())
 
@@ -51,9 +54,19 @@ def _folds() -> dict[int, str]:
     return table
 
 
+class Reading(NamedTuple):
+    """What of a text is compared: its numbers, letters, and where words start and end."""
+
+    numbers: tuple[str, ...]
+    letters: str
+    starts: frozenset[int]
+    ends: frozenset[int]
+    worded: bool
+
+
 @lru_cache(maxsize=100_000)
-def reading(text: str) -> tuple[tuple[str, ...], str, frozenset[int], frozenset[int], bool]:
-    """Numbers, folded letters, word starts and word ends of ``text``, and whether it has letters.
+def reading(text: str) -> Reading:
+    """Folded letters of a text.
 
     Blanks, line breaks and punctuation are gone, misread characters stand for
     their group, accents and voicing marks are off, doubled characters single.
@@ -70,15 +83,23 @@ def reading(text: str) -> tuple[tuple[str, ...], str, frozenset[int], frozenset[
         starts.add(len(out))
         out += [ch for ch, before in zip(folded, "\0" + folded) if ch != before or ch.isdigit()]
         ends.add(len(out))
-    letters = "".join(out)
-    if any(ch in letters for ch in MISREAD_WIDE):
-        moved, wide = [], []
-        for ch in letters:
-            moved.append(len(wide))
-            wide.extend(MISREAD_WIDE.get(ch, ch))
-        moved.append(len(wide))
-        letters, starts, ends = "".join(wide), {moved[i] for i in starts}, {moved[i] for i in ends}
-    return numbers, letters, frozenset(starts), frozenset(ends), bool(_LETTER.search(text))
+    return Reading(numbers, "".join(out), frozenset(starts), frozenset(ends), bool(_LETTER.search(text)))
+
+
+@lru_cache(maxsize=100_000)
+def apart(text: str, narrow: bool) -> Reading:
+    """A reading with letters that pairs are read for taken apart, or with ``narrow`` the pairs joined."""
+    found = reading(text)
+    letters, moved, changed, i = found.letters, [], [], 0
+    if not (any(pair in letters for pair in MISREAD_PAIRS) if narrow else any(one in letters for one in MISREAD_WIDE)):
+        return found
+    while i < len(letters):
+        one = MISREAD_PAIRS.get(letters[i : i + 2]) if narrow and i + 1 not in found.starts else None
+        moved += [len(changed)] * (2 if one else 1)
+        changed += one or (letters[i] if narrow else MISREAD_WIDE.get(letters[i], letters[i]))
+        i += 2 if one else 1
+    moved.append(len(changed))
+    return found._replace(letters="".join(changed), starts=frozenset(moved[i] for i in found.starts), ends=frozenset(moved[i] for i in found.ends))
 
 
 def _loses_word(letters: str, at: int, count: int, starts: frozenset[int], ends: frozenset[int]) -> bool:
@@ -89,14 +110,14 @@ def _loses_word(letters: str, at: int, count: int, starts: frozenset[int], ends:
     return any(ch in NEGATIONS for ch in lost)
 
 
-def _lost_only(a: tuple, b: tuple, budget: int) -> bool:
+def _lost_only(a: Reading, b: Reading, budget: int) -> bool:
     """Whether a and b are equal but for up to ``budget`` lost characters on either side.
 
     At most ``MAX_LOST`` go missing at one place, and never on both sides of one
     place: that would be another character. Losses with fewer than ``APART``
     equal characters between them are taken together, as they may be another word.
     """
-    x, y = a[1], b[1]
+    x, y = a.letters, b.letters
     n, m = len(x), len(y)
     seen = set()
     todo = [(0, 0, budget, 0, APART, 0)]  # places, errors left, side of the last loss, equal characters since, losses taken together
@@ -112,7 +133,7 @@ def _lost_only(a: tuple, b: tuple, budget: int) -> bool:
         seen.add(state)
         for k in range(min(MAX_LOST, left), 0, -1):
             for s, words, at, text, other, to in ((1, a, i, x, y, j), (2, b, j, y, x, i)):
-                if at + k > len(text) or _loses_word(text, at, k, words[2], words[3]):
+                if at + k > len(text) or _loses_word(text, at, k, words.starts, words.ends):
                     continue
                 ends = at + k == len(text)
                 if ends != (to == len(other)) or not ends and text[at + k] != other[to]:
@@ -134,13 +155,25 @@ def same_line(a: str, b: str) -> bool:
     if a == b:
         return True
     ra, rb = reading(a), reading(b)
-    if not (ra[4] and rb[4]) or ra[0] != rb[0]:
+    if not (ra.worded and rb.worded) or ra.numbers != rb.numbers:
         return False
-    if ra[1] == rb[1]:
+    if ra.letters == rb.letters:
         return True
-    shorter = min(len(ra[1]), len(rb[1]))
-    budget = max(1, int(shorter * ERROR_SHARE)) if shorter > 2 else 0
-    return abs(len(ra[1]) - len(rb[1])) <= budget and _lost_only(ra, rb, budget)
+    # Letters that only one has were lost; taking pairs apart does not touch these.
+    lost = len((set(ra.letters) ^ set(rb.letters)) - _PAIR_LETTERS)
+    if lost > max(1, int(min(len(ra.letters), len(rb.letters)) * ERROR_SHARE * 2)) or abs(len(ra.letters) - len(rb.letters)) > len(ra.letters) * ERROR_SHARE * 2 + 2:
+        return False
+    for narrow in (False, True):
+        one, two = apart(a, narrow), apart(b, narrow)
+        if one.letters == two.letters:
+            return True
+        shorter = min(len(one.letters), len(two.letters))
+        budget = max(1, int(shorter * ERROR_SHARE)) if shorter > 2 else 0
+        if lost > budget:
+            continue
+        if abs(len(one.letters) - len(two.letters)) <= budget and _lost_only(one, two, budget):
+            return True
+    return False
 
 
 @F.pandas_udf(T.BooleanType())
