@@ -36,11 +36,11 @@ HASH_SPACE = 1 << 22
 ALPHA, BETA, L1, L2 = 0.3, 1.0, 0.05, 0.05
 EPOCHS = 12
 #: Score from which a passage counts.
-THRESHOLD = 0.3
+THRESHOLD = 0.25
 #: The most judged and clean sentences the model is fitted on.
 MOST_EXAMPLES = 4_000
-#: Score from which a passage of the corpus is not taken as an ordinary one.
-SURE = 0.75
+#: Scores up to which a passage of the corpus is taken as an ordinary one, and if so many sampled texts hold it.
+UNLIKELY, UNSURE, OFTEN = 0.2, 0.75, 5
 #: Passages whose scores a task keeps.
 KEPT = 200_000
 
@@ -51,6 +51,7 @@ _PASSAGE = regex.compile(r"[^.!?。！？｡\n\r]+[.!?。！？｡]*")
 _LATIN_MARKS = regex.compile(r"(?<=[\p{Latin}\p{Cyrillic}])\p{M}+")
 _APART = regex.compile(r"(?<![\p{L}\p{N}])(?:[\p{Latin}\p{Cyrillic}0-9@$]([ \-_.·]))(?:[\p{Latin}\p{Cyrillic}0-9@$]\1)+[\p{Latin}\p{Cyrillic}0-9@$](?![\p{L}\p{N}])")
 _WORD = regex.compile(r"[\p{Latin}\p{Cyrillic}][\p{Latin}\p{Cyrillic}\p{M}0-9@$!|€*]*|[0-9@$]+[\p{Latin}\p{Cyrillic}][\p{Latin}\p{Cyrillic}0-9@$*]*|\p{Hangul}+|[\p{Han}\p{Hiragana}\p{Katakana}ー]|\d+")
+_DOTTED = regex.compile(r"(?<![\p{L}\p{N}])(?:[\p{Latin}\p{Cyrillic}0-9@$]\.){2,}[\p{Latin}\p{Cyrillic}0-9@$](?![\p{L}\p{N}])")
 _NUMBER = regex.compile(r"\d+")
 _PLAIN_NUMBER = regex.compile(r"(?<![\p{L}\p{M}@$!|€*\d])\d+(?![\p{L}\p{M}@$!|€*\d])|(?<=[\p{Han}\p{Hiragana}\p{Katakana}])\d+(?=[\p{Han}\p{Hiragana}\p{Katakana}])")
 _DRAWN = regex.compile(r"(.)\1+")
@@ -184,12 +185,31 @@ def train(examples: Sequence[tuple[str, str]], epochs: int = EPOCHS) -> Moderati
     return ModerationModel(weights, masks) if harmful else ModerationModel({t: {-1: -30.0} for t in ("any", *VERDICTS)})
 
 
+def ordinary_passages(model: ModerationModel, texts: Sequence[str], most: int) -> list[str]:
+    """Passages that are ordinary in a corpus, numbers aside, at most ``most`` in the order of a hash.
+
+    What a first model finds unlikely to be harmful, or is not sure of but many
+    texts hold. A harmful passage it misses a little is thus not taken.
+    """
+    held: dict[str, list] = {}
+    for text in texts:
+        for kind, passage in {_NUMBER.sub("#", p): p for p in passages(text)}.items():
+            held.setdefault(kind, [passage, 0])[1] += 1
+    found = []
+    for passage, count in sorted(held.values(), key=lambda x: zlib.crc32(x[0].encode("utf-8"))):
+        score = model.score(passage)
+        if score < UNLIKELY or count >= OFTEN and score < UNSURE:
+            found.append(passage)
+            if len(found) == most:
+                break
+    return found
+
+
 def fit(judged: DataFrame, clean: DataFrame | None = None, unlabelled: DataFrame | None = None, most: int = MOST_EXAMPLES) -> ModerationModel:
     """A model from judged passages (text, verdict), clean sentences (text) and the hand-written ones.
 
-    ``unlabelled`` texts (key, text) of the corpus add passages that a first
-    model does not find harmful, as examples of what is ordinary there. Each side
-    is bounded by ``most`` rows.
+    ``unlabelled`` texts (key, text) of the corpus add ordinary passages of it.
+    Each side is bounded by ``most`` rows.
     """
     rows = [tuple(r) for r in judged.select("text", "verdict").dropna().orderBy("text", "verdict").limit(most).collect()]
     if clean is not None:
@@ -198,14 +218,14 @@ def fit(judged: DataFrame, clean: DataFrame | None = None, unlabelled: DataFrame
     model = train(rows)
     if unlabelled is not None:
         texts = bounded_sample(unlabelled, "key", most).select("text").dropna().collect()
-        kinds = {_NUMBER.sub("#", p): p for r in texts for p in passages(r[0])}
-        ordinary = sorted(kinds.values(), key=lambda p: zlib.crc32(p.encode("utf-8")))[:most]
-        model = train([*rows, *((p, "none") for p in ordinary if model.score(p) < SURE)], EPOCHS // 2)
+        model = train([*rows, *((p, "none") for p in ordinary_passages(model, [r[0] for r in texts], most))], EPOCHS // 2)
     return model
 
 
 def passages(text: str) -> list[str]:
-    return [p for p in (m.strip() for m in _PASSAGE.findall(text)) if p]
+    """Sentences and lines of a text; letters set apart by dots are no ends of sentences."""
+    whole = _DOTTED.sub(lambda m: m.group().replace(".", ""), text) if "." in text else text
+    return [p for p in (m.strip() for m in _PASSAGE.findall(whole)) if p]
 
 
 def numberless(passage: str) -> str:

@@ -119,8 +119,10 @@ Eles foderam pelados a noite inteira no tapete.
 Они трахались голыми всю ночь на ковре.
 그녀는 벌거벗은 채 신음했고 그는 가슴을 핥았다.
 두 사람은 알몸으로 밤새 침대에서 섹스를 했다.
+그는 신음하는 여자의 맨가슴을 핥고 만졌다.
 她赤裸着身体，一边呻吟一边被他舔着乳房。
 他们整夜赤裸着在地毯上做爱。
+他舔着她的乳房，她不停地呻吟。
 """
 
 NONE = """

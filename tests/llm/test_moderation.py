@@ -3,7 +3,7 @@ from pathlib import Path
 import pytest
 from pyspark.sql import functions as F
 
-from cueweave.llm.moderation import THRESHOLD, Ftrl, fit, moderate, passages, rates, spelled, train, words_of
+from cueweave.llm.moderation import THRESHOLD, Ftrl, fit, moderate, ordinary_passages, passages, rates, spelled, train, words_of
 from cueweave.llm.moderation_seeds import seed_examples
 
 
@@ -74,4 +74,11 @@ def test_table_and_rates(spark):
     assert moderate(df.limit(0), model, "text", ["doc_id"]).count() == 0
     long = spark.createDataFrame([(1, "word " * 100_000)], "doc_id long, text string")
     assert moderate(long, model, "text", ["doc_id"]).first().score <= 1
-    assert passages("a. b!\n\nc") == ["a.", "b!", "c"]
+    assert passages("a. b!\n\nc") == ["a.", "b!", "c"] and passages("so n.u.d.e. pics v1.2.3 e.g. x") == ["so nude.", "pics v1.", "2.", "3 e.", "g.", "x"]
+
+
+def test_ordinary_passages():
+    model = train(seed_examples())
+    texts = ["The weather is nice.\nYou are a brainless moron, whoever you are."] * 3 + [f"Room {i} is over there." for i in range(9)]
+    found = ordinary_passages(model, texts, 10)
+    assert len(found) == len(set(found)) and not any("moron" in p for p in found) and len(ordinary_passages(model, texts, 1)) <= 1
