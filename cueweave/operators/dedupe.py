@@ -18,13 +18,16 @@ def distinct_plan(df: DataFrame, identity: Sequence[str], ordinal: str) -> DataF
     return df.groupBy(*identity).agg(F.min(ordinal).alias("first_ordinal"), F.count("*").alias("group_size"))
 
 
-def fan_out(df: DataFrame, results: DataFrame, identity: Sequence[str]) -> DataFrame:
-    """Results of distinct rows brought back to every row of ``df``; null identities meet."""
+def fan_out(df: DataFrame, results: DataFrame, identity: Sequence[str], how: str = "inner") -> DataFrame:
+    """Results of distinct rows brought back to every row of ``df``; null identities meet.
+
+    A hot identity is a skewed join, whose side of rows the adaptive plan splits.
+    """
     right = results.select(*[F.col(c).alias(f"_r_{c}") for c in identity], *[c for c in results.columns if c not in identity])
     on = F.lit(True)
     for c in identity:
         on = on & F.col(c).eqNullSafe(F.col(f"_r_{c}"))
-    return df.join(right, on).drop(*[f"_r_{c}" for c in identity])
+    return df.join(right, on, how).drop(*[f"_r_{c}" for c in identity])
 
 
 def recognise_distinct(df: DataFrame, identity: Sequence[str], ordinal: str, recogniser, columns: Sequence[str]) -> DataFrame:
@@ -51,8 +54,11 @@ def upsert(primary: DataFrame, extra: DataFrame, keys: Sequence[str], ordinal: s
     ``ordinal`` give the order.
     """
     values = [c for c in primary.columns if c not in (*keys, tags)]
-    gathered = F.array_distinct(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct(ordinal, F.col(tags).alias("_t")))), lambda x: x["_t"])))
-    once = extra.groupBy(*keys).agg(F.min_by(F.struct(*values), ordinal).alias("_v"), gathered.alias("_tags"))
+    # Each tag's first place is found map-side, so that a list holds different tags only.
+    places = extra.select(*keys, F.posexplode(tags).alias("_p", "_t"), F.col(ordinal).alias("_o")).groupBy(*keys, "_t").agg(F.min(F.struct("_o", "_p")).alias("_at"))
+    tagged = places.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("_at", "_t"))), lambda x: x["_t"]).alias("_tags"))
+    first = extra.groupBy(*keys).agg(F.min_by(F.struct(*values), ordinal).alias("_v"))
+    once = fan_out(first, tagged, keys, "left")
     right = once.select(*[F.col(k).alias(f"_r_{k}") for k in keys], "_v", "_tags")
     on = F.lit(True)
     for k in keys:

@@ -250,3 +250,14 @@ def test_http_plugins(monkeypatch):
 def test_assignments(spark, tmp_path):
     (tmp_path / "env").write_text("# c\nexport A='x y'\nB = \"q\n\nC=1=2\n=z\n")
     assert {(r.name, r.value) for r in manifests.assignments(spark, str(tmp_path / "env")).collect()} == {("A", "x y"), ("B", '"q'), ("C", "1=2")}
+
+
+def test_staged_tables_can_be_cleared(spark):
+    from cueweave.session import clear_staged, stage
+
+    table = stage(spark.range(3), "three")
+    assert table.count() == 3
+    clear_staged(spark)
+    with pytest.raises(Exception, match="staged/three"):
+        table.count()
+    assert stage(spark.range(2), "two").count() == 2
