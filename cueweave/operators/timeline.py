@@ -131,8 +131,8 @@ def safe_cues(df: DataFrame, keys: Sequence[str], layout: Sequence[str], start:
     Time is cut at every start and end. Each piece shows the different texts of
     its active segments in order of ``layout``, one a line; touching pieces of
     the same text are one cue. Segments are cut at bucket borders first, which
-    bounds the range join to one bucket and changes nothing, as the cuts are
-    closed again with the other touching pieces.
+    bounds what is gathered to what shows in one bucket and changes nothing, as
+    the cuts are closed again with the other touching pieces.
     """
     by = ["_k", "_b"]
     rows = clean_segments(df, text, start, end)
@@ -140,10 +140,17 @@ def safe_cues(df: DataFrame, keys: Sequence[str], layout: Sequence[str], start:
     spans = F.sequence(bucket_of(start, bucket_ms), F.call_function("div", last_ms - F.pmod(last_ms, F.lit(bucket_ms)), F.lit(bucket_ms)))
     cut = rows.select(packed_keys(keys), F.explode(spans).alias("_b"), F.struct(*layout).alias("_at"), F.col(text).alias("_text"), F.col(start).cast("long").alias("_s"), F.col(end).cast("long").alias("_e"))
     cut = cut.withColumn("_s", F.greatest("_s", F.col("_b") * bucket_ms)).withColumn("_e", F.least("_e", (F.col("_b") + 1) * bucket_ms))
-    pieces = elementary_intervals(cut, by, "_s", "_e")
-    active = cut.join(pieces, by).where((F.col("_s") < F.col("iv_end")) & (F.col("_e") > F.col("iv_start")))
-    lines = active.groupBy(*by, "iv_start", "iv_end", "_text").agg(F.min("_at").alias("_at"))
-    shown = lines.groupBy(*by, "iv_start", "iv_end").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_at", "_text"))), lambda x: x["_text"]), "\n").alias("_shown"))
+    gathered = cut.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("_at", "_text", "_s", "_e"))).alias("_rows"))
+    points = F.array_sort(F.array_distinct(F.concat(F.transform("_rows", lambda x: x["_s"]), F.transform("_rows", lambda x: x["_e"]))))
+    gathered = gathered.withColumn("_points", points)
+
+    def piece(low: Column, high: Column) -> Column:
+        active = F.filter("_rows", lambda x: (x["_s"] < high) & (x["_e"] > low))
+        return F.struct(low.alias("iv_start"), high.alias("iv_end"), F.array_join(F.array_distinct(F.transform(active, lambda x: x["_text"])), "\n").alias("_shown"))
+
+    count = F.size("_points") - 1
+    pieces = F.zip_with(F.slice("_points", 1, count), F.slice("_points", 2, count), piece)
+    shown = gathered.select(*by, F.inline(F.filter(pieces, lambda x: x["_shown"] != "")))
     whole = Window.partitionBy(*by)
     scan = whole.orderBy("iv_start")
     touches = (F.lag("iv_end").over(scan) == F.col("iv_start")) & (F.lag("_shown").over(scan) == F.col("_shown"))
