@@ -26,6 +26,8 @@ from ..session import stage
 OPEN_WINDOWS = 256
 ROWS_PER_SHARD = 50_000
 LEAST_SHARDS = 12
+#: Full pieces of long items that a task holds before it gives them out.
+FULL_ROWS = 50_000
 #: Shards, and then groups of shards, whose open windows one task merges.
 FAN_IN = 16
 
@@ -59,32 +61,42 @@ class BoundedBestFit:
 def _pack_shards(capacities: Sequence[int], spaces: int):
     """Places of the items of each shard, which come sorted by shard and item."""
 
-    def flush(shard: int, packers: list[BoundedBestFit], rows: list[list]) -> pd.DataFrame:
-        opened = [p.open_windows() for p in packers]
+    def framed(shard: int, rows: list[list], opened: list[dict[int, int]]) -> pd.DataFrame:
         frame = pd.DataFrame(rows, columns=["budget", "window", "item", "piece", "start", "size", "used"])
         frame.insert(0, "shard", shard)
         frame["open"] = [w in opened[b] for b, w in zip(frame["budget"], frame["window"])]
         frame["fill"] = [opened[b].get(w, 0) for b, w in zip(frame["budget"], frame["window"])]
         return frame
 
+    none_open: list[dict[int, int]] = [{} for _ in capacities]
+
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        shard, packers, rows = None, [], []
+        shard, packers = None, []
+        rows: list[list] = []  # placed in windows that may be open at the end: one a row and capacity
+        full_rows: list[list] = []  # containers of their own, given out on the way
         for part in parts:
             for s, item, tokens in zip(part["shard"], part["item"], part["tokens"]):
                 if s != shard:
                     if shard is not None:
-                        yield flush(shard, packers, rows)
-                    shard, packers, rows = s, [BoundedBestFit(c, spaces) for c in capacities], []
+                        if full_rows:
+                            yield framed(shard, full_rows, none_open)
+                        yield framed(shard, rows, [p.open_windows() for p in packers])
+                    shard, packers, rows, full_rows = s, [BoundedBestFit(c, spaces) for c in capacities], [], []
                 for b, packer in enumerate(packers):
                     full, rest = divmod(int(tokens), packer.capacity)
                     for piece in range(full):
-                        rows.append([b, packer.opened, item, piece, piece * packer.capacity, packer.capacity, 0])
+                        full_rows.append([b, packer.opened, item, piece, piece * packer.capacity, packer.capacity, 0])
                         packer.opened += 1
+                        if len(full_rows) >= FULL_ROWS:
+                            yield framed(shard, full_rows, none_open)
+                            full_rows = []
                     if rest or not full:
                         window, used = packer.place(rest)
                         rows.append([b, window, item, full, full * packer.capacity, rest, used])
         if shard is not None:
-            yield flush(shard, packers, rows)
+            if full_rows:
+                yield framed(shard, full_rows, none_open)
+            yield framed(shard, rows, [p.open_windows() for p in packers])
 
     return run
 

@@ -92,6 +92,7 @@ def test_pack_places_everything_once(spark):
     again = checked(spark, sizes, [64, 256], spaces=8, rows_per_shard=40)
     assert sorted(map(tuple, rows)) == sorted(map(tuple, again))
     checked(spark, [], [5])
+    checked(spark, [120_000, 3], [1, 2])
     checked(spark, [5, 5, 7], [5])
     with pytest.raises(ValueError):
         checked(spark, [1], [0])
