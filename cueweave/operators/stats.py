@@ -41,16 +41,19 @@ BANDS = {"main_min_thickness": (3.0, 0.84), "furigana_min_thickness": (2.0, 0.18
 MIN_FLOW_OVERLAP = 0.20
 
 
-def line_stats(lines: DataFrame, groups: Sequence[str], thickness: str = "thickness", area: str = "area") -> DataFrame:
+def line_stats(lines: DataFrame, groups: Sequence[str], thickness: str = "thickness", area: str = "area", repeat: str | None = None) -> DataFrame:
     """Main thickness and bands of each group of lines; no row for groups of fewer than two lines.
 
     The main thickness is the weighted median of lines at or above the weighted
-    pivot quantile.
+    pivot quantile. ``repeat`` names a column of how many lines a row stands for.
     """
+    if repeat is not None:
+        lines = lines.withColumn("_area", F.col(area) * F.col(repeat))
+        area = "_area"
     pivot = weighted_percentile(lines, groups, thickness, area, PIVOT, "_pivot")
     upper = lines.join(pivot, list(groups)).where(F.col(thickness) >= F.col("_pivot"))
     main = weighted_median(upper, groups, thickness, area, "main_thickness")
-    many = lines.groupBy(*groups).agg(F.count("*").alias("lines")).where("lines >= 2")
+    many = lines.groupBy(*groups).agg((F.sum(repeat) if repeat else F.count("*")).alias("lines")).where("lines >= 2")
     out = main.join(many, list(groups)).where("main_thickness > 0")
     for name, (least, factor) in BANDS.items():
         out = out.withColumn(name, F.greatest(F.lit(least), F.col("main_thickness") * factor))

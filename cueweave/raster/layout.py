@@ -17,6 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.dedupe import fan_out, image_key
 from ..operators.stats import line_stats
 from ..session import stage
 from .kernels import BACKGROUND
@@ -432,28 +433,32 @@ def analysed_lines(frames: DataFrame, keys: Sequence[str]) -> DataFrame:
 def masked_frames(frames: DataFrame, keys: Sequence[str], source: str = "source_id") -> DataFrame:
     """Every image with its reading aids masked, by the statistics of all lines of its source.
 
-    Lines are found, aggregated per source and orientation, and the few numbers
-    that gives are joined back before the images are finished.
+    Each different image of a source is analysed once and counts as often as it
+    occurs; the statistics, a few numbers per source and orientation, are joined
+    back before the images are finished, and the results fanned out to all rows.
+    ``frames`` is read twice or three times, so it should be a staged table.
     """
-    stats = line_stats(stage(analysed_lines(frames, [source]), "lines"), [source, "orientation"])
-    by_source = stats.groupBy(source).agg(F.map_from_entries(F.collect_list(F.struct("orientation", F.array("main_thickness", "main_min_thickness", "furigana_min_thickness", "furigana_max_thickness", "max_cross_gap", "min_flow_overlap_ratio")))).alias("_stats"))
     names = list(dict.fromkeys([*keys, source]))
-    rows = frames.select(*names, "width", "height", "pixels").join(by_source, source, "left").select(*names, "width", "height", "pixels", "_stats")
-    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*names).schema.fields)
+    rows = frames.select(*names, "width", "height", "pixels", image_key(F.col("pixels"), F.col("width"), F.col("height")).alias("_key"))
+    images = rows.groupBy(source, "_key").agg(F.first("width").alias("width"), F.first("height").alias("height"), F.first("pixels").alias("pixels"), F.count("*").alias("_n"))
+    lines = stage(analysed_lines(images, [source, "_n"]), "lines")
+    stats = line_stats(lines, [source, "orientation"], repeat="_n")
+    by_source = stats.groupBy(source).agg(F.map_from_entries(F.collect_list(F.struct("orientation", F.array("main_thickness", "main_min_thickness", "furigana_min_thickness", "furigana_max_thickness", "max_cross_gap", "min_flow_overlap_ratio")))).alias("_stats"))
+    asked = images.join(by_source, source, "left").select(source, "_key", "width", "height", "pixels", "_stats")
+    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in asked.select(source, "_key").schema.fields)
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        columns = [*names, "width", "height", "pixels", "mask", "orientation", "component_count", "selected_count", "masked_pixel_count", "lines"]
+        columns = [source, "_key", "width", "height", "pixels", "mask", "orientation", "component_count", "selected_count", "masked_pixel_count", "lines"]
         for part in parts:
             out = []
-            for values in part.itertuples(index=False):
-                width, height, pixels, known = values[-4:]
+            for of, key, width, height, pixels, known in part.itertuples(index=False):
                 grey = _array(pixels, width, height)
                 analysis = analyse(grey)
-                known = dict(known) if known is not None else {}
-                numbers = known.get(analysis.orientation)
+                numbers = (dict(known) if known is not None else {}).get(analysis.orientation)
                 done = finish(grey, analysis, Stats(*numbers) if numbers is not None else stats_of(analysis.lines))
-                lines = [dict(zip(("left", "top", "right", "bottom", "role"), line)) for line in done["lines"]]
-                out.append((*values[:-4], width, height, done["pixels"].tobytes(), (done["mask"] * np.uint8(255)).tobytes(), done["orientation"], done["component_count"], done["selected_count"], done["masked_pixel_count"], lines))
+                found = [dict(zip(("left", "top", "right", "bottom", "role"), line)) for line in done["lines"]]
+                out.append((of, key, width, height, done["pixels"].tobytes(), (done["mask"] * np.uint8(255)).tobytes(), done["orientation"], done["component_count"], done["selected_count"], done["masked_pixel_count"], found))
             yield pd.DataFrame(out, columns=columns)
 
-    return rows.mapInPandas(run, f"{ddl}, width int, height int, pixels binary, mask binary, orientation string, component_count int, selected_count int, masked_pixel_count bigint, lines {_LINES}")
+    finished = asked.mapInPandas(run, f"{ddl}, width int, height int, pixels binary, mask binary, orientation string, component_count int, selected_count int, masked_pixel_count bigint, lines {_LINES}")
+    return fan_out(rows.select(*names, "_key"), finished, [source, "_key"]).drop("_key")
