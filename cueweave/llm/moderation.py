@@ -39,8 +39,8 @@ EPOCHS = 12
 THRESHOLD = 0.25
 #: The most judged and clean sentences the model is fitted on.
 MOST_EXAMPLES = 4_000
-#: Scores up to which a passage of the corpus is taken as an ordinary one, and if so many sampled texts hold it.
-UNLIKELY, UNSURE, OFTEN = 0.2, 0.75, 5
+#: Score under which a passage of the corpus is taken as an ordinary one, clearly below the threshold.
+UNLIKELY = 0.1
 #: Passages whose scores a task keeps.
 KEPT = 200_000
 
@@ -188,17 +188,15 @@ def train(examples: Sequence[tuple[str, str]], epochs: int = EPOCHS) -> Moderati
 def ordinary_passages(model: ModerationModel, texts: Sequence[str], most: int) -> list[str]:
     """Passages that are ordinary in a corpus, numbers aside, at most ``most`` in the order of a hash.
 
-    What a first model finds unlikely to be harmful, or is not sure of but many
-    texts hold. A harmful passage it misses a little is thus not taken.
+    Only what a first model scores under ``UNLIKELY`` is taken. How many texts
+    hold a passage says nothing of it: harmful ones are reposted too.
     """
-    held: dict[str, list] = {}
+    held: dict[str, str] = {}
     for text in texts:
-        for kind, passage in {_NUMBER.sub("#", p): p for p in passages(text)}.items():
-            held.setdefault(kind, [passage, 0])[1] += 1
+        held.update({_NUMBER.sub("#", p): p for p in passages(text)})
     found = []
-    for passage, count in sorted(held.values(), key=lambda x: zlib.crc32(x[0].encode("utf-8"))):
-        score = model.score(passage)
-        if score < UNLIKELY or count >= OFTEN and score < UNSURE:
+    for passage in sorted(held.values(), key=lambda p: zlib.crc32(p.encode("utf-8"))):
+        if model.score(passage) < UNLIKELY:
             found.append(passage)
             if len(found) == most:
                 break

@@ -168,6 +168,25 @@ O aviso no início fala de linguagem grosseira.
 시작할 때 거친 말에 대한 주의가 나온다.
 肉眼看不出两张图的区别。
 片头提示有粗话。
+Hold the rope with both hands.
+Hold on, I will be back with the keys.
+Hold your breath and count to ten.
+The lid is tight, so use a spoon.
+We are nearly at the station.
+It is almost noon and we are hungry.
+傘なんて今日はいらない。
+昔のことなんて、とっくに忘れた。
+注を外したら間違いが少なくなった。
+Une fois la page relue, il reste deux fautes.
+Il y avait beaucoup moins de monde hier.
+Danach blieben nur zwei Fehler im Text.
+Als alles verdeckt war, gingen wir nach Hause.
+Agárrate fuerte, que el barco se mueve.
+Segura a corda com as duas mãos.
+Держись крепче, мы почти на месте.
+꽉 잡아, 거의 다 왔어.
+抓紧绳子，我们快到了。
+他从早到晚都在改这份译稿。
 """
 
 

@@ -82,3 +82,13 @@ def test_ordinary_passages():
     texts = ["The weather is nice.\nYou are a brainless moron, whoever you are."] * 3 + [f"Room {i} is over there." for i in range(9)]
     found = ordinary_passages(model, texts, 10)
     assert len(found) == len(set(found)) and not any("moron" in p for p in found) and len(ordinary_passages(model, texts, 1)) <= 1
+
+
+def test_reposts_stay_harmful(spark):
+    harmful = ["Tribes like that deserve the whip.", "The islanders should drown.", "May the baker rot in a ditch."]
+    texts = [f"The weather is nice. {harmful[i % 3]}" if i % 3 == 0 or i < 30 else "We walk to the market." for i in range(90)]
+    corpus = spark.createDataFrame(list(enumerate(texts)), "key long, text string")
+    judged = spark.createDataFrame([("You idiot.", "abusive")], "text string, verdict string")
+    first, model = fit(judged), fit(judged, None, corpus)
+    assert all(THRESHOLD <= first.score(p) for p in harmful) and all(THRESHOLD <= model.score(p) for p in harmful)
+    assert not set(harmful) & set(ordinary_passages(first, texts, 100))
