@@ -23,7 +23,7 @@ from .recognizers import Settings
 from .operators import dedupe, detect, stats, timeline
 from .session import load, shared_dir, stage
 from .sources import sup, sup_writer
-from .streaming.stateful import stream_islands
+from .streaming.stateful import open_islands, stream_islands
 
 INK = {1: (235, 128, 128, 255), 2: (120, 128, 128, 255)}
 #: Cells of a drawn glyph, and glyphs of a drawn line.
@@ -110,17 +110,18 @@ def recognised_cues(spark, sf_dir):
 
 
 def stateful_islands(spark, sf_dir):
-    """Runs of equal events of each user by a streaming query, but for those still open."""
+    """Runs of equal events of each user by a streaming query, those open at the end of the input read from its state."""
     base = shared_dir(spark)
     schema = load(spark, sf_dir, "events").schema
     us = F.unix_micros(F.col("ts").cast("timestamp"))
     rows = spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parquet*").withColumn("us", us).select("user_id", "event_type", "event_id", "us", F.col("us").alias("end_us"))
     found = stream_islands(rows, ["user_id"], "event_type", "us", "end_us", 1 << 60, order=["us", "event_id"])
     name = uuid.uuid4().hex
-    out = f"{base}/staged/stream-{name}"
-    sink = found.writeStream.format("parquet").option("path", out).option("checkpointLocation", f"{base}/staged/state-{name}").trigger(availableNow=True).start()
+    out, state = f"{base}/staged/stream-{name}", f"{base}/staged/state-{name}"
+    sink = found.writeStream.format("parquet").option("path", out).option("checkpointLocation", state).trigger(availableNow=True).start()
     sink.awaitTermination()
-    return spark.read.schema(found.schema).parquet(out)
+    closed = spark.read.schema(found.schema).parquet(out)
+    return closed.unionByName(open_islands(spark, state, ["user_id"], "event_type", "us", "end_us"))
 
 
 QUERIES = {f.__name__: f for f in (display_sets, window_frames, screen_frames, unique_objects, layout_statistics, masked_layout, recognised_cues, stateful_islands)}

@@ -10,7 +10,8 @@ import pickle
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.timeline import ISLAND_GAP_PTS
@@ -22,7 +23,8 @@ def stream_islands(rows: DataFrame, keys: Sequence[str], same: str, start: str,
 
     State is one open island per track. With ``idle_ms`` an island is also given
     out when its track was silent for so long in processing time. ``order``
-    sorts the rows of each batch.
+    sorts the rows of each batch. ``open_islands`` gives those still open when the
+    input has ended.
     """
     types = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
     ddl = ", ".join(f"`{k}` {types[k]}" for k in keys) + f", `{same}` {types[same]}, `{start}` bigint, `{end}` bigint, rows bigint"
@@ -56,6 +58,13 @@ def stream_islands(rows: DataFrame, keys: Sequence[str], same: str, start: str,
     return rows.groupBy(*keys).applyInPandasWithState(run, ddl, state_ddl, "append", timeout)
 
 
+def open_islands(spark: SparkSession, checkpoint: str, keys: Sequence[str], same: str, start: str, end: str) -> DataFrame:
+    """The island of each track that a stopped query of ``stream_islands`` left open, read from its state."""
+    state = spark.read.format("statestore").load(checkpoint)
+    held = [F.col(f"value.groupState.{c}").alias(n) for c, n in (("same", same), ("start", start), ("end", end), ("rows", "rows"))]
+    return state.select(*[F.col("key").getField(k).alias(k) for k in keys], *held)
+
+
 def stream_display_sets(packets: DataFrame) -> DataFrame:
     """Display sets of streams of packets; a set is given out with its end packet.
 

@@ -1,6 +1,10 @@
+from datetime import datetime, timedelta
+
 import numpy as np
 
 from cueweave.operators.timeline import fold_islands
+from cueweave.queries_core import track_islands
+from cueweave.queries_stream import stateful_islands
 from cueweave.sources import sup
 from cueweave.sources import sup_writer as w
 from cueweave.streaming.stateful import stream_display_sets, stream_islands
@@ -35,3 +39,12 @@ def test_display_sets_over_batches(spark, tmp_path):
     got = played(spark, stream_display_sets(source), "sets").orderBy("raw_index").collect()
     want = sup.display_sets(packets).orderBy("raw_index").collect()
     assert [r.windows[0].left for r in got] == [1, 9] and [r.windows for r in got] == [r.windows for r in want]
+
+
+def test_query_gives_open_islands_too(spark, tmp_path):
+    rows = [(i, u, v, datetime(2026, 1, 1) + timedelta(minutes=i)) for i, (u, v) in enumerate([(1, "a"), (1, "a"), (1, "b"), *[(2, "c")] * 50, (3, None), (None, "d")])]
+    spark.createDataFrame(rows, "event_id long, user_id long, event_type string, ts timestamp_ntz").write.parquet(str(tmp_path / "events.parquet"))
+    columns = ["user_id", "event_type", "us", "end_us", "rows"]
+    got = stateful_islands(spark, str(tmp_path)).select(columns).collect()
+    whole = track_islands(spark, str(tmp_path)).select(columns).collect()
+    assert len(got) == len(whole) == 5 and set(map(tuple, got)) == set(map(tuple, whole))
