@@ -95,7 +95,7 @@ def p7_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p8_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Score, verdict and number of harmful passages of each document."""
     documents = load(spark, sf_dir, "documents")
-    model = fit(load(spark, sf_dir, "moderation_examples"), load(spark, sf_dir, "language_samples"), documents.select(F.col("doc_id").alias("key"), "text"))
+    model = fit(load(spark, sf_dir, "moderation_examples"), load(spark, sf_dir, "language_samples"))
     return moderate(documents, model, "text", ["doc_id", "source"])
 
 

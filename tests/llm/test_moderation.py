@@ -1,15 +1,27 @@
 from pathlib import Path
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from cueweave.llm.moderation import THRESHOLD, Ftrl, fit, moderate, ordinary_passages, passages, rates, spelled, train, words_of
-from cueweave.llm.moderation_seeds import seed_examples
+from cueweave.llm.moderation import THRESHOLD, VERDICTS, Ftrl, features_of, fit, judged_sample, moderate, numberless, passages, rates, spelled, train, words_of
+from cueweave.llm.moderation_phrases import ordinary_sentences, phrases
+
+TABLES = Path("/root/testdata")
+
+
+def table(scale: str, name: str) -> dict:
+    import pyarrow.parquet as pq
+
+    path = TABLES / scale / f"{name}.parquet"
+    if not path.exists():
+        pytest.skip("no tables here")
+    return pq.read_table(path).to_pydict()
 
 
 @pytest.fixture(scope="module")
 def model():
-    return train(seed_examples())
+    return train(list(phrases()), ordinary_sentences())
 
 
 def test_one_spelling():
@@ -25,45 +37,62 @@ def test_masked_words(model):
 
 
 def test_weights_learn_and_stay_sparse():
-    learner = Ftrl(l1=1.0)
+    learner = Ftrl(4, l1=1.0)
     for _ in range(30):
-        learner.learn({1, 2}, 1)
-        learner.learn({2, 3}, 0)
-    weights = learner.weights()
-    assert weights[1] > 0 > weights[3] and abs(weights.get(2, 0)) < weights[1]
-    learner.learn({9}, 1)
-    assert 9 not in learner.weights()
+        learner.learn(np.array([0, 1]), np.array([1.0]))
+        learner.learn(np.array([1, 2]), np.array([0.0]))
+    learner.learn(np.array([3]), np.array([1.0]))
+    weights = learner.weights()[:, 0]
+    assert weights[0] > 0 > weights[2] and abs(weights[1]) < weights[0] and weights[3] == 0
 
 
-def test_held_out_examples():
-    folder = Path("/root/testdata/sf0.001")
-    if not folder.exists():
-        pytest.skip("no tables here")
-    import pyarrow.parquet as pq
+def test_features():
+    row, feature = features_of([["a", "b", "c", "d"], [], ["a", "b"], ["a", "a", "a"]])
+    # four words, three pairs, two triples, two and one skips; two words and a pair; a word, a pair, a triple and a skip
+    assert np.bincount(row, minlength=4).tolist() == [12, 0, 3, 4]
+    assert set(feature[row == 2]) <= set(feature[row == 0])
+    row, _ = features_of([["a", "b"], ["a", "x"]], {"a", "b"})
+    assert np.bincount(row, minlength=2).tolist() == [0, 2]
+
+
+def test_phrases_stand_in_no_table():
+    """What the model is trained on by hand must not come from what it is measured on."""
+    ours = {" ".join(words_of(p)) for p in [*(p for p, _ in phrases()), *ordinary_sentences()]}
+    for scale in ("sf0.001", "sf0.01", "sf0.1"):
+        texts = [t for t in table(scale, "documents")["text"] if t]
+        assert not ours & {" ".join(words_of(p)) for p in {numberless(p) for t in texts for p in passages(t)}}
+
+
+def test_unseen_judged_examples(model):
+    """The phrases alone, without any judged example, tell half of them."""
+    judged = table("sf0.001", "moderation_examples")
+    rows = sorted(set(zip(judged["text"], judged["verdict"])))
+    scores = model.scores([t for t, _ in rows])[0] >= THRESHOLD
+    harmful = np.array([v in VERDICTS for _, v in rows])
+    assert scores[harmful].mean() >= 0.5 and scores[~harmful].mean() <= 0.02
+
+
+def test_threshold_on_other_lines(model):
+    """Lines of subtitles, which are not what is scored: fewer than one in a thousand may reach the threshold."""
+    lines = {numberless(p) for t in table("sf0.01", "cues")["text"] if t for p in passages(t)}
+    assert (model.scores(sorted(lines))[0] >= THRESHOLD).mean() < 0.001
+
 
-    table = pq.read_table(folder / "moderation_examples.parquet").to_pydict()
-    rows = sorted(set(zip(table["text"], table["verdict"])))
-    clean = [(t, "none") for t in pq.read_table(folder / "language_samples.parquet").to_pydict()["text"]]
-    right = total = 0
-    for part in range(3):
-        held = rows[part::3]
-        fitted = train([*[r for r in rows if r not in held], *clean, *seed_examples()])
-        right += sum((fitted.score(t) >= THRESHOLD) == (v != "none") for t, v in held)
-        total += len(held)
-    print("held out", right, total)
-    assert right >= 0.9 * total
+def test_judged_sample(spark):
+    rows = spark.createDataFrame([(f"t{i}", "none" if i % 2 else "abusive") for i in range(400)] + [(None, "none")], "text string, verdict string")
+    some = judged_sample(rows, ["text", "verdict"], 100)
+    assert len(some) == 100 == len(set(some)) and some == judged_sample(rows.orderBy(F.rand()), ["text", "verdict"], 100)
+    assert 30 < sum(v == "none" for _, v in some) < 70 and len(judged_sample(rows, ["text"], 1_000)) == 400
 
 
 def test_harmless_use(model):
-    for text in ("Kill the process and start the job again.", "A bastard title page opens the booklet.", "裸眼では二枚の画像の違いが分からない。"):
-        assert model.score(text) < model.score("You stupid bastard, shut the fuck up and die.")
-        assert model.score(text) < 0.5
+    for text in ("Kill the process and start it once more.", "The bastard title page comes first.", "裸眼では違いが分からない。"):
+        assert model.score(text) < THRESHOLD < model.score("You stupid bastard, shut the fuck up and die.")
 
 
 def test_table_and_rates(spark):
     judged = spark.createDataFrame([("You idiot.", "abusive"), ("Nice weather.", "none"), (None, "none"), ("x", None)], "text string, verdict string")
-    corpus = spark.createDataFrame([(i, "The weather is nice. We walk to the market.") for i in range(50)], "key long, text string")
-    model = fit(judged, corpus.select("text"), corpus)
+    model = fit(judged, spark.createDataFrame([("The weather is nice.",), ("We walk to the market.",), (None,)], "text string"))
     docs = [(1, "We walk to the market.\nShut the fuck up, you worthless idiot.", "a"), (2, "We walk to the market.", "a"), (3, None, "b"), (4, " \n", None), (5, "They fucked naked all night on the carpet. The weather is nice.", None)]
     df = spark.createDataFrame(docs, "doc_id long, text string, source string").withColumns({"score": F.lit("clash"), "_text": F.lit(1), "verdict": F.lit(2)})
     out = moderate(df, model, "text", ["doc_id", "source"])
@@ -77,18 +106,16 @@ def test_table_and_rates(spark):
     assert passages("a. b!\n\nc") == ["a.", "b!", "c"] and passages("so n.u.d.e. pics v1.2.3 e.g. x") == ["so nude.", "pics v1.", "2.", "3 e.", "g.", "x"]
 
 
-def test_ordinary_passages():
-    model = train(seed_examples())
-    texts = ["The weather is nice.\nYou are a brainless moron, whoever you are."] * 3 + [f"Room {i} is over there." for i in range(9)]
-    found = ordinary_passages(model, texts, 10)
-    assert len(found) == len(set(found)) and not any("moron" in p for p in found) and len(ordinary_passages(model, texts, 1)) <= 1
+def test_reposts_change_nothing(spark, model):
+    """A verdict follows from the text alone, however often others hold it."""
+    harmful = "Shut the fuck up, you worthless idiot."
+    one = spark.createDataFrame([(0, harmful)], "doc_id long, text string")
+    many = spark.createDataFrame([(i, harmful) for i in range(300)], "doc_id long, text string")
+    assert moderate(one, model, "text", ["doc_id"]).first().score == moderate(many, model, "text", ["doc_id"]).groupBy("score").count().first().score
 
 
-def test_reposts_stay_harmful(spark):
-    harmful = ["Tribes like that deserve the whip.", "The islanders should drown.", "May the baker rot in a ditch."]
-    texts = [f"The weather is nice. {harmful[i % 3]}" if i % 3 == 0 or i < 30 else "We walk to the market." for i in range(90)]
-    corpus = spark.createDataFrame(list(enumerate(texts)), "key long, text string")
-    judged = spark.createDataFrame([("You idiot.", "abusive")], "text string, verdict string")
-    first, model = fit(judged), fit(judged, None, corpus)
-    assert all(THRESHOLD <= first.score(p) for p in harmful) and all(THRESHOLD <= model.score(p) for p in harmful)
-    assert not set(harmful) & set(ordinary_passages(first, texts, 100))
+def test_order_of_examples():
+    rows = list(phrases())[:200]
+    a, b = train(rows, ["Fine.", "Good."]), train(rows[::-1], ["Good.", "Fine."])
+    assert (a.features == b.features).all() and (a.weights == b.weights).all()
+    assert train([], []).score("anything") < THRESHOLD
