@@ -3,8 +3,9 @@
 Bounded-space online packing: each shard keeps a fixed number of open windows
 per capacity, puts an item into the fullest window it fits, and when none fits
 closes the fullest and opens a new one. The windows left open are then merged
-whole, shard by shard up a tree, so that no task ever sees more than a bounded
-number of them.
+whole up a tree of shards. A group of a level hands on the emptiest of its
+windows only, as many as a shard may hold open, and closes the others: a task
+of the tree sees at most ``FAN_IN`` times as many, whatever the number of shards.
 
 Defined cases: an item longer than a capacity is cut into full pieces, each a
 container of its own, and a rest that is packed like an item; no other item is
@@ -24,8 +25,7 @@ from pyspark.sql import functions as F
 from ..session import stage
 
 OPEN_WINDOWS = 256
-ROWS_PER_SHARD = 50_000
-LEAST_SHARDS = 12
+ROWS_PER_SHARD = 25_000
 #: Full pieces of long items that a task holds before it gives them out.
 FULL_ROWS = 50_000
 #: Shards, and then groups of shards, whose open windows one task merges.
@@ -101,28 +101,33 @@ def _pack_shards(capacities: Sequence[int], spaces: int):
     return run
 
 
-def _merge_group(capacities: Sequence[int]):
-    """Best fit of whole windows, largest first, in one group of one budget."""
+def _merge_group(capacities: Sequence[int], spaces: int):
+    """Best fit of whole windows, largest first, in one group of one budget; the emptiest ``spaces`` stay open."""
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
+        if len(frame) > FAN_IN * spaces:
+            raise ValueError(f"{len(frame)} windows in one group")
         frame = frame.sort_values(["fill", "shard", "window"], ascending=[False, True, True], kind="stable").reset_index(drop=True)
         packer = BoundedBestFit(capacities[int(frame["budget"].iloc[0])], len(frame))
-        placed = [packer.place(int(fill)) for fill in frame["fill"]]
+        fills, shards, windows = (frame[c].tolist() for c in ("fill", "shard", "window"))
+        placed = [packer.place(fill) for fill in fills]
         first: dict[int, int] = {}
         total: dict[int, int] = {}
         for i, (window, used) in enumerate(placed):
             first.setdefault(window, i)
-            total[window] = used + int(frame["fill"].iloc[i])
-        frame["to_shard"] = [frame["shard"].iloc[first[w]] for w, _ in placed]
-        frame["to_window"] = [frame["window"].iloc[first[w]] for w, _ in placed]
+            total[window] = used + fills[i]
+        emptiest = set(sorted(packer.open_windows(), key=lambda w: (total[w], w))[:spaces])
+        frame["to_shard"] = [shards[first[w]] for w, _ in placed]
+        frame["to_window"] = [windows[first[w]] for w, _ in placed]
         frame["base"] = [used for _, used in placed]
         frame["fill"] = [total[w] for w, _ in placed]
-        return frame[["budget", "shard", "window", "to_shard", "to_window", "base", "fill"]]
+        frame["open"] = [w in emptiest for w, _ in placed]
+        return frame[["budget", "shard", "window", "to_shard", "to_window", "base", "fill", "open"]]
 
     return run
 
 
-_MOVES = "budget int, shard bigint, window bigint, to_shard bigint, to_window bigint, base bigint, fill bigint"
+_MOVES = "budget int, shard bigint, window bigint, to_shard bigint, to_window bigint, base bigint, fill bigint, open boolean"
 
 
 def pack(items: DataFrame, item: str, tokens: str, capacities: Sequence[int], spaces: int = OPEN_WINDOWS, rows_per_shard: int = ROWS_PER_SHARD) -> DataFrame:
@@ -139,23 +144,33 @@ def pack(items: DataFrame, item: str, tokens: str, capacities: Sequence[int], sp
         raise ValueError("capacities must be positive")
     kind = items.schema[item].dataType.simpleString()
     sized = stage(items.select(F.col(item).alias("item"), F.greatest(F.coalesce(F.col(tokens), F.lit(0)), F.lit(0)).cast("long").alias("tokens")), "sized-items")
-    shards = max(LEAST_SHARDS, -(-sized.count() // rows_per_shard))
+    shards = max(1, -(-sized.count() // rows_per_shard))
     sharded = sized.withColumn("shard", F.pmod(F.xxhash64("item"), F.lit(shards)))
     sharded = sharded.repartition(shards, "shard").sortWithinPartitions("shard", "item", "tokens")
     places = f"shard bigint, budget int, window bigint, item {kind}, piece bigint, start bigint, size bigint, used bigint, open boolean, fill bigint"
     placed = stage(sharded.select("shard", "item", "tokens").mapInPandas(_pack_shards(capacities, spaces), places), "packed-shards")
     moves = placed.where("open").groupBy("budget", "shard", "window").agg(F.max("fill").alias("fill"))
-    moves = moves.select("budget", "shard", "window", F.col("shard").alias("to_shard"), F.col("window").alias("to_window"), F.lit(0).cast("long").alias("base"), "fill")
+    moves = moves.select("budget", "shard", "window", F.col("shard").alias("to_shard"), F.col("window").alias("to_window"), F.lit(0).cast("long").alias("base"), "fill", F.lit(True).alias("open"))
     span = 1
     while span < shards:
         span *= FAN_IN
-        heads = moves.where("shard = to_shard and window = to_window").select("budget", "shard", "window", "fill")
+        heads = moves.where("open and shard = to_shard and window = to_window").select("budget", "shard", "window", "fill")
         heads = heads.withColumn("part", F.floor(F.col("shard") / span))
-        step = heads.groupBy("budget", "part").applyInPandas(_merge_group(capacities), _MOVES)
-        step = step.select("budget", F.col("shard").alias("to_shard"), F.col("window").alias("to_window"), F.col("to_shard").alias("_s"), F.col("to_window").alias("_w"), F.col("base").alias("_base"), F.col("fill").alias("_fill"))
-        moves = moves.join(step, ["budget", "to_shard", "to_window"]).select("budget", "shard", "window", F.col("_s").alias("to_shard"), F.col("_w").alias("to_window"), (F.col("base") + F.col("_base")).alias("base"), F.col("_fill").alias("fill"))
+        step = heads.groupBy("budget", "part").applyInPandas(_merge_group(capacities, spaces), _MOVES)
+        step = step.select("budget", F.col("shard").alias("to_shard"), F.col("window").alias("to_window"), *[F.col(c).alias(f"_{c}") for c in ("to_shard", "to_window", "base", "fill", "open")])
+        # A window that the level closed keeps its place; the others go on with the one they were put into.
+        moves = moves.join(step, ["budget", "to_shard", "to_window"], "left").select(
+            "budget",
+            "shard",
+            "window",
+            F.coalesce("_to_shard", "to_shard").alias("to_shard"),
+            F.coalesce("_to_window", "to_window").alias("to_window"),
+            (F.col("base") + F.coalesce("_base", F.lit(0))).alias("base"),
+            F.coalesce("_fill", "fill").alias("fill"),
+            F.coalesce("_open", F.lit(False)).alias("open"),
+        )
         moves = stage(moves, "merged-windows")
-    moved = placed.join(moves.drop("fill"), ["budget", "shard", "window"], "left")
+    moved = placed.join(moves.drop("fill", "open"), ["budget", "shard", "window"], "left")
     capacity = F.element_at(F.array(*[F.lit(c) for c in capacities]), F.col("budget") + 1)
     container = F.struct(F.coalesce("to_shard", "shard").alias("shard"), F.coalesce("to_window", "window").alias("window"))
     return moved.select(
@@ -171,10 +186,11 @@ def pack(items: DataFrame, item: str, tokens: str, capacities: Sequence[int], sp
 
 
 def fill_report(packed: DataFrame) -> DataFrame:
-    """Containers, tokens and the share of space used, per capacity."""
+    """Containers, the least that could hold their tokens, tokens and the share of space used, per capacity."""
     containers = packed.groupBy("budget", "capacity", "container_id").agg(F.sum("size").alias("used"))
     return containers.groupBy("budget", "capacity").agg(
         F.count("*").alias("containers"),
+        F.ceil(F.sum("used") / F.first("capacity")).alias("least_containers"),
         F.sum("used").alias("tokens"),
         F.max("used").alias("fullest"),
         (F.sum("used") / (F.count("*") * F.first("capacity"))).alias("fill"),

@@ -1,11 +1,12 @@
 import random
 from collections import defaultdict
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from cueweave.llm.encode import TrieEncoder, encode, read_vocabulary, token_counts, vocabulary_path, word_pattern
-from cueweave.llm.packing import BoundedBestFit, fill_report, pack
+from cueweave.llm.packing import BoundedBestFit, _merge_group, fill_report, pack
 
 public = pytest.importorskip("public_tokenizers")
 
@@ -96,3 +97,18 @@ def test_pack_places_everything_once(spark):
     checked(spark, [5, 5, 7], [5])
     with pytest.raises(ValueError):
         checked(spark, [1], [0])
+
+
+def test_merge_tree_is_bounded(spark):
+    """300 shards: a group that saw more than FAN_IN times the open windows of a shard would raise."""
+    rnd = random.Random(5)
+    sizes = [rnd.randrange(60, 100) for _ in range(2_100)]
+    rows = checked(spark, sizes, [100, 128], spaces=4, rows_per_shard=7)
+    assert len({r.container_id.split("-")[0] for r in rows}) > 200
+    with pytest.raises(ValueError, match="windows in one group"):
+        frame = pd.DataFrame({"budget": 0, "shard": range(65), "window": 0, "fill": 1, "part": 0})
+        _merge_group([100], 4)(frame)
+    left = _merge_group([100], 4)(frame[:64].assign(fill=60))
+    assert left["open"].sum() == 4 and len(left) == 64
+    small = checked(spark, [10] * 400, [1_000], spaces=4, rows_per_shard=7)
+    assert fill_report(spark.createDataFrame(small)).first().containers <= 8
