@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..session import load
 from .encode import encode, token_counts
 from .langid import fit_profiles, label_language, languages_of, mislabelled
-from .lookalike import consistent_form, same_look_pairs
+from .lookalike import consistent_form, same_look_classes, same_look_pairs
 from .moderation import fit, moderate, rates
 from .packing import fill_report, pack
 from .repetition import clean_sentences, repetition_of, select_cutoffs
@@ -28,7 +28,12 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p1_consistent(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text in its consistent form."""
     texts = _screen_texts(spark, sf_dir).dropDuplicates(["tab", "item_id"])
-    return texts.select("tab", "item_id", consistent_form("text").alias("form"))
+    return texts.select("tab", "item_id", consistent_form(spark, "text").alias("form"))
+
+
+def p1_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each row of texts that look the same and differ, with its class and number of links."""
+    return same_look_classes(_screen_texts(spark, sf_dir), ["tab", "source_id"], "item_id", "text").select("tab", F.col("id").alias("item_id"), "class_id", "links")
 
 
 def p3_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -111,6 +116,7 @@ def p8_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "p1_found": p1_found,
     "p1_consistent": p1_consistent,
+    "p1_classes": p1_classes,
     "p3_found": p3_found,
     "p3_runs": p3_runs,
     "p4_found": p4_found,
