@@ -1,14 +1,25 @@
-"""Runs of consecutive rows that hold the same line, collapsed to one event."""
+"""Runs of consecutive rows that hold the same line, collapsed to one event.
+
+Whether neighbours hold one line is decided on their letters, misread ones taken
+as one. Letters may be lost, but not so that another word stands there: a word
+without its first letters is another one if both are frequent in the corpus,
+which a table of word counts of fixed size tells (``WordCounts``); and a
+contracted negation may not be lost.
+"""
 
 from __future__ import annotations
 
 import unicodedata
+from collections import Counter
 from collections.abc import Iterator, Sequence
 from functools import lru_cache
 from typing import NamedTuple
 
+import numpy as np
 import pandas as pd
 import regex
+import xxhash
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -34,14 +45,20 @@ MISREAD = (
 MISREAD_PAIRS = {"rn": "m", "li": "h", "cl": "d", "vv": "w"}
 MISREAD_WIDE = {one: pair for pair, one in MISREAD_PAIRS.items()}
 _PAIR_LETTERS = frozenset("".join(MISREAD_PAIRS) + "".join(MISREAD_WIDE))
-# Negations whose loss changes the line even where it is one character.
-NEGATIONS = frozenset("不 没 未 别 別 無 안 못 n't".split())
+# Negations whose loss changes the line even where it is one character, and contracted ones.
+NEGATIONS = frozenset("不 没 未 别 別 無 안 못".split())
+CONTRACTED_AFTER, CONTRACTED_BEFORE = "'t", "n'"
+#: Slots of the table of word counts.
+WORD_SLOTS = 1 << 17
+#: How often the rarer of two words must stand for each time of the other, for both to be words.
+BOTH_WORDS = 0.1
 
 _MARKS = regex.compile(r"\p{M}+")
 _SPLIT = regex.compile(r"[^\p{L}\p{N}]+")
 _BLANKS = regex.compile(r"[^\p{L}\p{N}]")
 _DIGITS = regex.compile(r"\p{Nd}+")
 _LETTER = regex.compile(r"\p{L}")
+_SPOKEN = regex.compile(r"[\p{L}\p{M}]+(?:'[\p{L}\p{M}]+)*")
 
 
 @lru_cache(maxsize=1)
@@ -145,15 +162,57 @@ def _lost_only(a: Reading, b: Reading, budget: int) -> bool:
     return False
 
 
-def same_line(a: str, b: str) -> bool:
+class WordCounts:
+    """How often words stand in a corpus, added up in ``WORD_SLOTS`` slots by hash: as large for any corpus."""
+
+    def __init__(self, slots: np.ndarray):
+        self._slots = slots
+        #: What other words add to a slot, about.
+        self._noise = float(np.median(slots))
+
+    def __getitem__(self, word: str) -> float:
+        return max(0.0, float(self._slots[xxhash.xxh64_intdigest(word.encode("utf-8"), seed=42) % WORD_SLOTS]) - self._noise)
+
+    def both_words(self, one: str, two: str) -> bool:
+        """Whether neither is so much rarer than the other that it may be a misreading of it."""
+        few, many = sorted((self[one], self[two]))
+        return few >= 2 and few >= many * BOTH_WORDS
+
+
+def count_words(df: DataFrame, text: str) -> WordCounts:
+    """Counts of the words of all texts; each task hands on at most ``WORD_SLOTS`` sums."""
+    words = df.select(F.explode(F.split(F.lower(text), r"[^\p{L}\p{M}]+")).alias("w")).where("w <> ''")
+    slots = np.zeros(WORD_SLOTS)
+    for slot, n in words.groupBy(F.pmod(F.xxhash64("w"), F.lit(WORD_SLOTS)).alias("slot")).agg(F.count("*").alias("n")).collect():
+        slots[slot] = n
+    return WordCounts(slots)
+
+
+def other_word(a: str, b: str, counts: WordCounts | None) -> bool:
+    """Whether a word that only one text has is one of the other without its first letters or its negation, and a word itself."""
+    one, two = (Counter(_SPOKEN.findall(t.lower().replace("’", "'"))) for t in (a, b))
+    for longer, shorter in ((one - two, two - one), (two - one, one - two)):
+        for x in longer:
+            for y in shorter:
+                if x.endswith(CONTRACTED_AFTER) and x.removesuffix(CONTRACTED_AFTER) in (y, y + "n") or x == CONTRACTED_BEFORE + y:
+                    return True
+                if counts is not None and len(y) > 1 and 0 < len(x) - len(y) <= MAX_LOST and x.endswith(y) and counts.both_words(x, y):
+                    return True
+    return False
+
+
+def same_line(a: str, b: str, counts: WordCounts | None = None) -> bool:
     """Whether two texts hold the same line but for recognition errors.
 
     Lost, doubled and misread characters, blanks, line breaks and punctuation
-    may differ; numbers may not, nor may a word, name or negation be another.
-    Texts without letters are the same only if equal.
+    may differ; numbers may not, nor may a word, name or negation be another,
+    as far as ``counts`` of the corpus tell. Texts without letters are the same
+    only if equal.
     """
-    if a == b:
-        return True
+    return a == b or _same_letters(a, b) and not other_word(a, b, counts)
+
+
+def _same_letters(a: str, b: str) -> bool:
     ra, rb = reading(a), reading(b)
     if not (ra.worded and rb.worded) or ra.numbers != rb.numbers:
         return False
@@ -176,10 +235,13 @@ def same_line(a: str, b: str) -> bool:
     return False
 
 
-@F.pandas_udf(T.BooleanType())
-def _same_line(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-    for one, two in parts:
-        yield pd.Series([None if a is None or b is None else same_line(a, b) for a, b in zip(one, two)], dtype="object")
+def _same_line(shared: Broadcast[WordCounts]):
+    @F.pandas_udf(T.BooleanType())
+    def run(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for one, two in parts:
+            yield pd.Series([None if a is None or b is None else same_line(a, b, shared.value) for a, b in zip(one, two)], dtype="object")
+
+    return run
 
 
 def run_pieces(df: DataFrame, keys: Sequence[str], start: str, end: str, row_id: str, text: str, pause_ms: int, bucket_ms: int) -> DataFrame:
@@ -197,7 +259,8 @@ def run_pieces(df: DataFrame, keys: Sequence[str], start: str, end: str, row_id:
     placed = placed.withColumn("_prev", F.coalesce(F.lag(row).over(scan), F.col("carry"))).drop("carry")
     near = F.col("_prev").isNotNull() & (F.col("_start") <= F.col("_prev._end") + pause_ms)
     unsure = near & (F.col("_text") != F.col("_prev._text"))
-    same = F.coalesce(_same_line(F.when(unsure, F.col("_text")), F.when(unsure, F.col("_prev._text"))), near & ~unsure)
+    judge = _same_line(df.sparkSession.sparkContext.broadcast(count_words(df, text)))
+    same = F.coalesce(judge(F.when(unsure, F.col("_text")), F.when(unsure, F.col("_prev._text"))), near & ~unsure)
     marked = placed.withColumn("_cont", F.coalesce(same, F.lit(False)))
     final = F.last(F.struct(F.col("_id"), F.col("_end"), F.col("_pos"))).over(scan.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
     marked = marked.withColumn("_final", final)

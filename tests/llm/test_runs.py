@@ -1,9 +1,10 @@
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from cueweave.llm.runs import collapse_runs, same_line
+from cueweave.llm.runs import WORD_SLOTS, WordCounts, collapse_runs, count_words, same_line
 
 SAME = [
     ("Wer hat die Tur imNordturm geöffnet?", "Wer hat die Tür irn Nordturm geöffnet"),
@@ -39,6 +40,42 @@ def test_other_line(one, two):
     assert not same_line(one, two) and not same_line(two, one)
 
 
+# What one line says that the other does not is a word: by its contraction, or as both are frequent.
+CHANGED = [
+    ("I can't go home.", "I can go home."),
+    ("We don’t know him.", "We do know him."),
+    ("She isn't coming.", "She is coming."),
+    ("He is here now.", "She is here now."),
+    ("It is unlikely today.", "It is likely today."),
+    ("It was hot there.", "It was shot there."),
+    ("Il n'a rien vu.", "Il a rien vu."),
+    ("Das ist keine Frage.", "Das ist eine Frage."),
+]
+
+
+@pytest.fixture(scope="module")
+def counts(spark):
+    lines = [x for pair in CHANGED for x in pair] * 20 + ["ead the book", "We read the book"] + ["We read the book"] * 40 + [None, "", "12 !"]
+    return count_words(spark.createDataFrame([(x,) for x in lines], "t string"), "t")
+
+
+@pytest.mark.parametrize("one,two", CHANGED)
+def test_changed_word(counts, one, two):
+    assert not same_line(one, two, counts) and not same_line(two, one, counts)
+
+
+def test_lost_letters_are_no_other_word(counts):
+    assert same_line("We read the book", "We ead the book", counts) and same_line("It was shot there.", "It was sot there.", counts)
+    for one, two in SAME:
+        assert same_line(one, two, counts)
+
+
+def test_word_counts_are_exact_but_for_slots(counts):
+    assert counts["likely"] == 20 and counts["ead"] == 1 and counts["nowhere"] == 0
+    full = WordCounts(np.full(WORD_SLOTS, 7.0))
+    assert full["any"] == 0 and not full.both_words("any", "many")
+
+
 def test_equal_without_letters_and_long_texts():
     assert same_line("12:30", "12:30") and not same_line("12:30", "12.30")
     long = "ab cd ef " * 5000
