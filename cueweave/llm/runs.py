@@ -2,9 +2,9 @@
 
 Whether neighbours hold one line is decided on their letters, misread ones taken
 as one. Letters may be lost, but not so that another word stands there: a word
-without its first letters is another one if both are frequent in the corpus,
-which a table of word counts of fixed size tells (``WordCounts``); and a
-contracted negation may not be lost.
+without its first letters is another one if both are frequent before the word
+that follows, which a table of counts of fixed size tells (``WordCounts``); and
+a contracted negation may not be lost.
 """
 
 from __future__ import annotations
@@ -48,8 +48,8 @@ _PAIR_LETTERS = frozenset("".join(MISREAD_PAIRS) + "".join(MISREAD_WIDE))
 # Negations whose loss changes the line even where it is one character, and contracted ones.
 NEGATIONS = frozenset("不 没 未 别 別 無 안 못".split())
 CONTRACTED_AFTER, CONTRACTED_BEFORE = "'t", "n'"
-#: Slots of the table of word counts.
-WORD_SLOTS = 1 << 17
+#: Slots of the table of word counts: 4 MB.
+WORD_SLOTS = 1 << 19
 #: How often the rarer of two words must stand for each time of the other, for both to be words.
 BOTH_WORDS = 0.1
 
@@ -58,6 +58,7 @@ _SPLIT = regex.compile(r"[^\p{L}\p{N}]+")
 _BLANKS = regex.compile(r"[^\p{L}\p{N}]")
 _DIGITS = regex.compile(r"\p{Nd}+")
 _LETTER = regex.compile(r"\p{L}")
+_WORD = regex.compile(r"[\p{L}\p{M}]+")
 _SPOKEN = regex.compile(r"[\p{L}\p{M}]+(?:'[\p{L}\p{M}]+)*")
 
 
@@ -163,41 +164,53 @@ def _lost_only(a: Reading, b: Reading, budget: int) -> bool:
 
 
 class WordCounts:
-    """How often words stand in a corpus, added up in ``WORD_SLOTS`` slots by hash: as large for any corpus."""
+    """How often words stand before each other in a corpus, added up in ``WORD_SLOTS`` slots by hash: as large for any corpus."""
 
     def __init__(self, slots: np.ndarray):
         self._slots = slots
         #: What other words add to a slot, about.
         self._noise = float(np.median(slots))
 
-    def __getitem__(self, word: str) -> float:
-        return max(0.0, float(self._slots[xxhash.xxh64_intdigest(word.encode("utf-8"), seed=42) % WORD_SLOTS]) - self._noise)
+    def __getitem__(self, pair: tuple[str, str]) -> float:
+        return max(0.0, float(self._slots[xxhash.xxh64_intdigest(" ".join(pair).encode("utf-8"), seed=42) % WORD_SLOTS]) - self._noise)
 
-    def both_words(self, one: str, two: str) -> bool:
+    def both_words(self, one: tuple[str, str], two: tuple[str, str]) -> bool:
         """Whether neither is so much rarer than the other that it may be a misreading of it."""
         few, many = sorted((self[one], self[two]))
         return few >= 2 and few >= many * BOTH_WORDS
 
 
 def count_words(df: DataFrame, text: str) -> WordCounts:
-    """Counts of the words of all texts; each task hands on at most ``WORD_SLOTS`` sums."""
-    words = df.select(F.explode(F.split(F.lower(text), r"[^\p{L}\p{M}]+")).alias("w")).where("w <> ''")
-    slots = np.zeros(WORD_SLOTS)
-    for slot, n in words.groupBy(F.pmod(F.xxhash64("w"), F.lit(WORD_SLOTS)).alias("slot")).agg(F.count("*").alias("n")).collect():
+    """Counts of each word of all texts with the one after it; each task hands on at most ``WORD_SLOTS`` sums."""
+    words = F.filter(F.split(F.lower(text), r"[^\p{L}\p{M}]+"), lambda w: w != "")
+    rows = df.select(words.alias("w")).where("size(w) > 0")
+    pairs = F.zip_with("w", F.slice("w", F.lit(2), F.size("w")), lambda w, after: F.concat(w, F.lit(" "), F.coalesce(after, F.lit(""))))
+    slots = np.zeros(WORD_SLOTS, dtype=np.int64)
+    for slot, n in rows.select(F.explode(pairs).alias("p")).groupBy(F.pmod(F.xxhash64("p"), F.lit(WORD_SLOTS)).alias("slot")).agg(F.count("*").alias("n")).collect():
         slots[slot] = n
     return WordCounts(slots)
 
 
 def other_word(a: str, b: str, counts: WordCounts | None) -> bool:
-    """Whether a word that only one text has is one of the other without its first letters or its negation, and a word itself."""
-    one, two = (Counter(_SPOKEN.findall(t.lower().replace("’", "'"))) for t in (a, b))
-    for longer, shorter in ((one - two, two - one), (two - one, one - two)):
-        for x in longer:
-            for y in shorter:
-                if x.endswith(CONTRACTED_AFTER) and x.removesuffix(CONTRACTED_AFTER) in (y, y + "n") or x == CONTRACTED_BEFORE + y:
-                    return True
-                if counts is not None and len(y) > 1 and 0 < len(x) - len(y) <= MAX_LOST and x.endswith(y) and counts.both_words(x, y):
-                    return True
+    """Whether a word of one text is one of the other without its negation, or without its first letters and yet frequent there."""
+    a, b = a.lower().replace("’", "'"), b.lower().replace("’", "'")
+    if "'" in a or "'" in b:
+        one, two = Counter(_SPOKEN.findall(a)), Counter(_SPOKEN.findall(b))
+        for longer, shorter in ((one - two, two - one), (two - one, one - two)):
+            for x in longer:
+                if CONTRACTED_AFTER in x or CONTRACTED_BEFORE in x:
+                    if any(x.endswith(CONTRACTED_AFTER) and x.removesuffix(CONTRACTED_AFTER) in (y, y + "n") or x == CONTRACTED_BEFORE + y for y in shorter):
+                        return True
+    if counts is None:
+        return False
+    x, y = _WORD.findall(a), _WORD.findall(b)
+    if len(x) != len(y):
+        return False
+    for i, (v, w) in enumerate(zip(x, y)):
+        if 0 < abs(len(v) - len(w)) <= MAX_LOST and min(len(v), len(w)) > 1 and (v.endswith(w) or w.endswith(v)):
+            longer = max(v, w, key=len)
+            if set(longer[: abs(len(v) - len(w)) + 1]) != {longer[0]} and counts.both_words((v, "".join(x[i + 1 : i + 2])), (w, "".join(y[i + 1 : i + 2]))):
+                return True
     return False
 
 

@@ -71,9 +71,9 @@ def test_lost_letters_are_no_other_word(counts):
 
 
 def test_word_counts_are_exact_but_for_slots(counts):
-    assert counts["likely"] == 20 and counts["ead"] == 1 and counts["nowhere"] == 0
+    assert counts["likely", "today"] == 20 and counts["ead", "the"] == 1 and counts["today", ""] == 40 and counts["likely", "is"] == 0
     full = WordCounts(np.full(WORD_SLOTS, 7.0))
-    assert full["any"] == 0 and not full.both_words("any", "many")
+    assert full["any", ""] == 0 and not full.both_words(("any", ""), ("many", ""))
 
 
 def test_equal_without_letters_and_long_texts():
