@@ -1,9 +1,11 @@
 """Languages of texts and of their stretches by rank-order n-gram profiles.
 
-A text is cut into sentences and lines. The script of a sentence leaves its
-candidate languages; among them decides the out-of-place distance between the
-sentence's n-grams, ordered by frequency, and the profile of each language. All
-steps run over whole Arrow batches as NumPy arrays, with no loop over texts.
+A text is cut into sentences and lines. The script of a sentence leaves as
+candidates the languages with a profile in it; among them, and against a language
+that nobody knows, decides the out-of-place distance between the sentence's
+n-grams, ordered by frequency, and the profile of each, which also gives the
+confidence. All steps run over whole Arrow batches as NumPy arrays, with no loop
+over texts.
 
 Defined cases: null, empty and blank texts and texts without words have no
 stretches. Names, titles and terms inside a sentence do not make a stretch; a
@@ -29,8 +31,6 @@ from .lookalike import shape_pairs
 SLICE_BYTES = 1 << 20
 #: The most labelled rows that profiles are fitted on.
 MAX_SAMPLES = 20_000
-#: Places of a profile; an n-gram beyond them is out of place by as many.
-PLACES = {2: 300, 3: 1500, 4: 3000, 5: 3000}
 #: How far beyond the nearest language a labelled sentence may be for its label to count.
 NEAR = 1.12
 #: Longer n-grams are hashed to this many bits.
@@ -46,12 +46,13 @@ LABELS = (
 _OTHER, _LATIN, _CYRILLIC, _KANA, _HAN, _HANGUL, _DIGIT, _SPACE, _END, _BREAK, _EDGE, _HIDDEN, _DOT, _SLASH = range(14)
 #: Weight of a letter by script: an ideograph or syllable says more than a letter.
 _WEIGHT = np.array([0, 1, 1, 2.5, 2.5, 2.0])
-#: Share of kana among kana and ideographs from which a sentence is Japanese.
-KANA_SHARE = 0.2
+#: Places of a profile by script and size of n-gram; an n-gram beyond them is out of place by as many.
+#: Size 0 are three letters in a row by their scripts only, kana or ideograph.
+PLACES = {_LATIN: {2: 300, 3: 1500, 4: 3000, 5: 3000}, _CYRILLIC: {2: 600, 3: 3000}, _HAN: {0: 30, 1: 2000, 2: 3000}, _HANGUL: {1: 1000, 2: 3000}}
 #: Letters a sentence needs to be judged on its own, by script.
 LEAST = {_LATIN: 8, _CYRILLIC: 5, _KANA: 2, _HAN: 2, _HANGUL: 2}
-_SCRIPT_ONLY = {_CYRILLIC: "ru", _HANGUL: "ko"}
-_JOIN = 6
+#: Bits of a Latin symbol in an n-gram, of another one, and of the hash of an n-gram of others.
+_JOIN, _WIDE, OTHER_BITS = 6, 18, 18
 _MIX = 0x1E3779B97F4A7C15
 
 
@@ -69,7 +70,7 @@ def label_language(label: Column) -> Column:
 
 @lru_cache(maxsize=1)
 def _tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Class, folded code point, and Latin symbol of each code point."""
+    """Class, folded code point, and symbol of each code point: a number up to 63 for Latin, the folded code point for others."""
     kinds = np.zeros(0x110000, dtype=np.uint8)
     folded = np.arange(0x110000, dtype=np.uint32)
     for c in range(0x20000):
@@ -107,6 +108,8 @@ def _tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     for other, becomes in shape_pairs().items():  # a look-alike in a Latin word
         if kinds[ord(other)] == _CYRILLIC and symbols[ord(becomes.lower())]:
             symbols[ord(other)] = symbols[int(folded[ord(other)])] = symbols[ord(becomes.lower())]
+    others = (kinds >= _CYRILLIC) & (kinds <= _HANGUL) & (symbols == 0)
+    symbols[others] = folded[others]
     return kinds, folded, symbols
 
 
@@ -146,29 +149,37 @@ class Sentences:
         self.words = np.bincount(self.sentence[opens_word], minlength=self.count)
         self._letter = letter
 
-    def ngrams(self, which: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-        """Sentence and code of each Latin n-gram of the chosen sentences; 0 is a word border."""
+    def ngrams(self, which: np.ndarray, size: int, latin: bool) -> tuple[np.ndarray, np.ndarray, int]:
+        """Sentence and code of each n-gram of the chosen sentences, and the bits of a code; 0 is a word border."""
         keep = which[self.sentence]
         sentence, symbol = self.sentence[keep], np.where(self._letter[keep], self._symbols[self.chars[keep]], 0)
+        if latin:
+            symbol = np.where(symbol < 1 << _JOIN, symbol, 0)
+        elif not size:
+            symbol, size = np.where(symbol != 0, _tables()[0][self.chars[keep]].astype(np.int64), 0), 3
+        bits = min(_JOIN * size, HASH_BITS) if latin else OTHER_BITS
+        none = np.empty(0, dtype=np.int64)
         if not len(symbol):
-            return np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64)
+            return none, none, bits
         inner = np.append(True, (symbol[1:] != 0) | (symbol[:-1] != 0) | (sentence[1:] != sentence[:-1]))
         sentence, symbol = sentence[inner], symbol[inner]
         n = len(symbol) - size + 1
         if n <= 0:
-            return np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64)
+            return none, none, bits
         code = symbol[:n].copy()
         for k in range(1, size):
-            code = code << _JOIN | symbol[k : n + k]
-        if _JOIN * size > HASH_BITS:
-            code = ((code * _MIX) & ((1 << 62) - 1)) >> (62 - HASH_BITS)
+            code = code << (_JOIN if latin else _WIDE) | symbol[k : n + k]
         same = sentence[:n] == sentence[size - 1 :]
-        return sentence[:n][same], code[same]
+        if size == 1:
+            same = same & (symbol != 0)
+        sentence, code = sentence[:n][same], code[same]
+        if not latin or _JOIN * size > bits:
+            code = ((code * _MIX) & ((1 << 62) - 1)) >> (62 - bits)
+        return sentence, code, bits
 
 
-def _ordered(sentence: np.ndarray, code: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _ordered(sentence: np.ndarray, code: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Each sentence's n-grams once, with their places in order of frequency, ties by code."""
-    bits = min(_JOIN * size, HASH_BITS)
     keys = np.sort(sentence << bits | code)
     first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.empty(0, dtype=np.int64)
     counts = np.diff(np.append(first, len(keys)))
@@ -183,26 +194,38 @@ def _ordered(sentence: np.ndarray, code: np.ndarray, size: int) -> tuple[np.ndar
 
 
 class Profiles:
-    """Places of the most frequent n-grams of each language of Latin script."""
+    """Places of the most frequent n-grams of each language, by the script most of its sentences are in."""
 
     def __init__(self, samples: Sequence[tuple[str, str]]):
         by: dict[str, list[str]] = {}
         for lang, text in samples:
             by.setdefault(lang, []).append(text)
-        own = {lang: Sentences(texts) for lang, texts in sorted(by.items())}
-        latin = {lang: s for lang, s in own.items() if (s.script == _LATIN).sum() * 2 > (s.script > 0).sum()}
-        self.languages = list(latin)
-        self._fit([(s, s.script == _LATIN) for s in latin.values()])
-
-    def _fit(self, chosen: list[tuple[Sentences, np.ndarray]]) -> None:
-        self.places: dict[int, np.ndarray] = {}
-        for size, most in PLACES.items():
-            table = np.full((len(chosen), 1 << min(_JOIN * size, HASH_BITS)), most, dtype=np.int16)
-            for i, (s, which) in enumerate(chosen):
-                _, code = s.ngrams(which, size)
-                _, code, place = _ordered(np.zeros(len(code), dtype=np.int64), code, size)
-                table[i, code[:most]] = place[:most]
-            self.places[size] = table
+        #: Languages with a profile in each script.
+        self.candidates: dict[int, list[str]] = {script: [] for script in PLACES}
+        chosen: dict[int, list[tuple[Sentences, np.ndarray]]] = {script: [] for script in PLACES}
+        for lang, texts in sorted(by.items()):
+            s = Sentences(texts)
+            script = int(np.bincount(s.script, minlength=_HANGUL + 1)[1:].argmax()) + 1
+            if script in PLACES:
+                self.candidates[script].append(lang)
+                chosen[script].append((s, s.script == script))
+        self.places = {script: self._fitted(script, rows) for script, rows in chosen.items()}
+
+    @property
+    def languages(self) -> list[str]:
+        return sorted(lang for names in self.candidates.values() for lang in names)
+
+    @staticmethod
+    def _fitted(script: int, chosen: list[tuple[Sentences, np.ndarray]]) -> dict[int, np.ndarray]:
+        places = {}
+        for size, most in PLACES[script].items():
+            rows = [s.ngrams(which, size, script == _LATIN) for s, which in chosen]
+            if rows:
+                places[size] = np.full((len(rows), 1 << rows[0][2]), most, dtype=np.int16)
+            for i, (_, code, bits) in enumerate(rows):
+                _, code, place = _ordered(np.zeros(len(code), dtype=np.int64), code, bits)
+                places[size][i, code[:most]] = place[:most]
+        return places
 
     def refine(self, samples: Sequence[tuple[str, str]], labelled: Sequence[tuple[str, str]]) -> None:
         """Fit again on clean samples and on the sentences of labelled texts that may be in their language.
@@ -210,50 +233,57 @@ class Profiles:
         A sentence counts if its label's distance is within ``NEAR`` of the least
         one: that leaves out texts with a wrong label and foreign sentences.
         """
-        chosen = []
-        for i, lang in enumerate(self.languages):
-            s = Sentences([text for name, text in [*samples, *labelled] if name == lang])
-            latin = s.script == _LATIN
-            far = self.distances(s, latin)
-            chosen.append((s, latin & (far[i] <= far.min(axis=0) * NEAR)))
-        self._fit(chosen)
-
-    def distances(self, sentences: Sentences, which: np.ndarray) -> np.ndarray:
-        """Mean out-of-place distance, as a share of the most, of chosen sentences to each language."""
-        total = np.zeros((len(self.languages), sentences.count))
+        for script, languages in self.candidates.items():
+            chosen = []
+            for i, lang in enumerate(languages):
+                s = Sentences([text for name, text in [*samples, *labelled] if name == lang])
+                mine = s.script == script
+                far = self.distances(s, mine, script)
+                chosen.append((s, mine & (far[i] <= far.min(axis=0) * NEAR)))
+            self.places[script] = self._fitted(script, chosen)
+
+    def distances(self, sentences: Sentences, which: np.ndarray, script: int) -> np.ndarray:
+        """Mean out-of-place distance, as a share of the most, of chosen sentences to each candidate of their script."""
+        names = self.candidates[script]
+        total = np.zeros((len(names), sentences.count))
         number = np.zeros(sentences.count)
-        for size, table in self.places.items():
-            sentence, code, place = _ordered(*sentences.ngrams(which, size), size)
+        for size, table in self.places[script].items():
+            sentence, code, bits = sentences.ngrams(which, size, script == _LATIN)
+            sentence, code, place = _ordered(sentence, code, bits)
+            most = PLACES[script][size]
             number += np.bincount(sentence, minlength=sentences.count)
-            for i in range(len(self.languages)):
+            for i in range(len(names)):
                 known = table[i][code]
-                out = np.where(known == PLACES[size], PLACES[size], np.abs(known - place)) / PLACES[size]
+                out = np.where(known == most, most, np.abs(known - place)) / most
                 total[i] += np.bincount(sentence, weights=out, minlength=sentences.count)
-        return total / np.maximum(number, 1)
+        return np.where(number > 0, total / np.maximum(number, 1), 1.0)
 
 
 def classify(profiles: Profiles, texts: Sequence[str | None]) -> tuple[Sentences, np.ndarray, np.ndarray, np.ndarray]:
-    """Sentences, the language of each ('' for none), its confidence, and whether it stands on its own."""
+    """Sentences, the language of each ('' for none), its confidence, and whether it stands on its own.
+
+    The confidence grows with the lead of the nearest profile over the next one,
+    or over no language at all, which is as far as can be.
+    """
     s = Sentences(texts)
-    latin = s.script == _LATIN
     lang = np.full(s.count, "", dtype="<U3")
     confidence = s.clear.copy()
-    for script, name in _SCRIPT_ONLY.items():
-        lang[s.script == script] = name
-    east = s.script == _HAN
-    kana = s.letters[:, _KANA] / np.maximum(s.letters[:, _KANA] + s.letters[:, _HAN], 1)
-    lang[east] = np.where(kana[east] >= KANA_SHARE, "ja", "zh")
-    confidence[east] *= np.where(kana[east] >= KANA_SHARE, np.minimum(1, 0.6 + kana[east]), 1 - kana[east])
-    far = profiles.distances(s, latin)
-    order = np.argsort(far[:, latin], axis=0)
-    near, second = np.take_along_axis(far[:, latin], order[:2], axis=0)
-    lang[latin] = np.array(profiles.languages)[order[0]]
-    margin = (second - near) / np.maximum(second, 1e-9)
-    confidence[latin] *= np.clip(0.5 + 5 * margin, 0, 1)
+    for script, names in profiles.candidates.items():
+        which = s.script == script
+        if not names or not which.any():
+            continue
+        far = np.vstack([profiles.distances(s, which, script)[:, which], np.ones(which.sum())])
+        order = np.argsort(far[:-1], axis=0, kind="stable")[0]
+        near = far[order, np.arange(far.shape[1])]
+        second = np.sort(far, axis=0)[1]
+        lang[which] = np.array(names)[order]
+        confidence[which] *= np.clip(0.5 + 5 * (second - near) / np.maximum(second, 1e-9), 0, 1)
     own = s.letters[np.arange(s.count), s.script]
+    east = s.script == _HAN
     own = np.where(east, s.letters[:, _KANA] + s.letters[:, _HAN], own)
     least = np.array([1 << 30] + [LEAST[k] for k in (_LATIN, _CYRILLIC, _KANA, _HAN, _HANGUL)])
-    strong = (own >= least[s.script]) & (~latin | ((s.words >= 2) & (confidence >= 0.55)))
+    latin = s.script == _LATIN
+    strong = (lang != "") & (own >= least[s.script]) & (~latin | ((s.words >= 2) & (confidence >= 0.55)))
     return s, lang, confidence, strong
 
 
@@ -311,7 +341,8 @@ def fit_profiles(samples: DataFrame, labelled: DataFrame | None = None, most: in
 
     Each side is bounded by ``most`` rows.
     """
-    clean = [tuple(r) for r in samples.select("lang", "text").dropna().orderBy("lang", "text").limit(most).collect()]
+    rows = samples.select("lang", "text").dropna()
+    clean = sorted(tuple(r) for r in rows.orderBy(F.xxhash64("lang", "text"), "lang", "text").limit(most).collect())
     profiles = Profiles(clean)
     if labelled is not None:
         rows = bounded_sample(labelled, "key", most).select("lang", "text").dropna()

@@ -18,7 +18,7 @@ SAMPLES = [(lang, text) for lang, texts in CLEAN.items() for text in texts]
 @pytest.fixture(scope="module")
 def profiles():
     found = Profiles(SAMPLES)
-    assert found.languages == ["de", "en", "fr"]
+    assert found.languages == sorted(CLEAN) and sum(map(len, found.candidates.values())) == len(CLEAN)
     return found
 
 
@@ -72,6 +72,16 @@ def test_refined_profiles_ignore_wrong_labels(profiles):
     assert [x for _, x in found(again, CLEAN["fr"][1])] == ["fr"]
 
 
+def test_distances_decide_in_every_script():
+    """Ideographs alone are told apart; a script without a profile has no language; a strange language is less sure."""
+    samples = [("ja", "彼女は東京駅前の図書館で新聞を毎日読む。"), ("zh", "她每天在北京图书馆看报纸，这是她说的。"), ("ru", CLEAN["ru"][0]), ("ru", "Она каждый день читает газету в библиотеке.")]
+    fitted = Profiles(samples)
+    assert [x for t in ("東京駅前図書館", "她说这是报纸") for _, x in found(fitted, t)] == ["ja", "zh"]
+    assert found(fitted, "누가 옛 역에서 문을 열었지?") == []
+    sure = [stretches(fitted, [t])[1]["confidence"][0] for t in (CLEAN["ru"][0], "Її їжачок їв ґречні ґудзики, щоб з’їсти їх.")]
+    assert sure[0] > sure[1] < 1
+
+
 def test_bounded_sample(spark):
     df = spark.range(5000).withColumnRenamed("id", "key")
     taken = bounded_sample(df, "key", 100)
