@@ -8,6 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..session import stage
+from .scan import with_carry
+
 
 def sole_best(df: DataFrame, order: Sequence[Column]) -> DataFrame:
     """The row that leads by ``order``, or none if it ties with the next.
@@ -25,24 +28,35 @@ def top_per_group(df: DataFrame, groups: Sequence[str], order: Sequence[Column],
     return df.withColumn("_rn", F.row_number().over(Window.partitionBy(*groups).orderBy(*order))).where(F.col("_rn") <= n).drop("_rn")
 
 
+def placed(df: DataFrame, groups: Sequence[str], order: Sequence[Column], name: str) -> DataFrame:
+    """``df`` with a place from 1 in each group, by an order of any kind, however large a group is.
+
+    The rows are cut into ranges of (groups, order) and staged with the number
+    of their range; each range is numbered apart and shifted by the rows of the
+    group in the ranges before it. ``order`` must tell rows apart.
+    """
+    keys = [F.col(g) for g in groups]
+    ranges = stage(df.repartitionByRange(*keys, *order).withColumns({"_range": F.spark_partition_id(), "_k": F.struct(*groups) if groups else F.struct(F.lit(0))}), "ranges")
+    counts = ranges.groupBy("_k", "_range").agg(F.count("*").alias("_n"))
+    before = Window.partitionBy("_k").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    shift = counts.select("_k", "_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("carry"))
+    inside = F.row_number().over(Window.partitionBy("_k", "_range").orderBy(*order))
+    return with_carry(ranges, shift, ["_k"], "_range").withColumn(name, (F.col("carry") + inside).cast("long")).drop("carry", "_k", "_range")
+
+
 def ranked_attempts(df: DataFrame, groups: Sequence[str], attempts: str, position: str) -> DataFrame:
     """Place in each group: untried first, then fewest attempts, then list order."""
-    order = [F.coalesce(F.col(attempts), F.lit(0)), F.col(position)]
-    return df.withColumn("place", F.row_number().over(Window.partitionBy(*groups).orderBy(*order)))
+    return placed(df, groups, [F.coalesce(F.col(attempts), F.lit(0)), F.col(position)], "place")
 
 
 def round_robin(df: DataFrame, group: str, order: Sequence[Column], group_order: Column, limit: int | None = None, reserved: Column | None = None) -> DataFrame:
     """Rows interleaved over groups: all first ones, then all second ones; ``slot`` counts from 1.
 
     With ``limit``, as many slots stay; with ``reserved``, the last of them goes
-    to the first row it holds for, if none is among them already. Slots come
-    from the rows of each turn and the turns before, not from one sort of all.
+    to the first row it holds for, if none is among them already. Neither a
+    group nor a turn need fit one task.
     """
-    turns = df.withColumn("_turn", F.row_number().over(Window.partitionBy(group).orderBy(*order)))
-    before = Window.partitionBy(F.lit(1)).orderBy("_turn").rowsBetween(Window.unboundedPreceding, -1)
-    shift = turns.groupBy("_turn").agg(F.count("*").alias("_n")).select("_turn", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_shift"))
-    within = F.row_number().over(Window.partitionBy("_turn").orderBy(group_order))
-    slots = turns.join(shift, "_turn").withColumn("slot", F.col("_shift") + within).drop("_turn", "_shift")
+    slots = placed(placed(df, [group], order, "_turn"), [], [F.col("_turn"), group_order], "slot").drop("_turn")
     if limit is None:
         return slots
     if reserved is None:

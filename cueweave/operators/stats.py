@@ -27,12 +27,21 @@ def weighted_median(df: DataFrame, groups: Sequence[str], value: str, weight: st
 
 
 def histogram_percentile(df: DataFrame, groups: Sequence[str], value: str, percents: dict[str, float], count: str | None = None) -> DataFrame:
-    """Percentiles by rank with linear interpolation, of values or of counted values."""
-    if count is None:
-        aggs = [F.percentile(value, p / 100).alias(n) for n, p in percents.items()]
-    else:
-        aggs = [F.percentile(value, p / 100, F.col(count)).alias(n) for n, p in percents.items()]
-    return df.groupBy(*groups).agg(*aggs)
+    """Percentiles by rank with linear interpolation, of values or of counted values; null values do not count.
+
+    Equal values are added up first; a running sum over the different ones, which
+    spills where they are many, gives the values at the two ranks around each
+    percentile.
+    """
+    summed = df.groupBy(*groups, value).agg((F.count("*") if count is None else F.sum(count)).alias("_n"))
+    scan = Window.partitionBy(*groups).orderBy(value)
+    present = F.when(F.col(value).isNotNull(), F.col("_n")).otherwise(0)
+    running = summed.withColumn("_run", F.sum(present).over(scan)).withColumn("_all", F.sum(present).over(Window.partitionBy(*groups)))
+    at = {n: (F.col("_all") - 1) * F.lit(p / 100) for n, p in percents.items()}
+    reached = [F.min(F.when(F.col(value).isNotNull() & (F.col("_run") > f(rank)), F.col(value))).cast("double").alias(f"_{side}_{n}") for n, rank in at.items() for side, f in (("low", F.floor), ("high", F.ceil))]
+    found = running.groupBy(*groups).agg(F.first("_all").alias("_all"), *reached)
+    share = {n: rank - F.floor(rank) for n, rank in at.items()}
+    return found.select(*groups, *[(F.col(f"_low_{n}") + (F.col(f"_high_{n}") - F.col(f"_low_{n}")) * part).alias(n) for n, part in share.items()])
 
 
 # Quantile of the pivot and the bands around the main thickness.

@@ -1,9 +1,8 @@
 """Timeline operators: ends from next starts, islands, and the two cue policies.
 
-Every table carries ``keys`` (the source, mostly) and an ordinal; all windows
-are partitioned by the keys. Where one source may be very long, the scan is cut
-into time buckets (see ``scan``); the per-source windows below are those whose
-order is the packet order of one stream, which is read by one task anyway.
+Every table carries ``keys`` (the source, mostly) and an ordinal. With
+``bucket`` a scan is cut into buckets of its order (see ``scan``), so that no
+task holds a whole source; without, its windows are partitioned by the keys.
 """
 
 from __future__ import annotations
@@ -53,17 +52,23 @@ def repair_zero_duration(df: DataFrame, keys: Sequence[str], order: Sequence[str
     """
     if first_n is not None and first_n <= 0:
         raise ValueError("first_n must be positive")
-    scan = Window.partitionBy(*keys).orderBy(*order)
     if bucket is None:
-        rows, ahead = df, F.lead(start).over(scan)
+        rows, ahead = df, F.lead(start).over(Window.partitionBy(*keys).orderBy(*order))
     else:
         rows, ahead = with_neighbour(_bucketed(df, keys, bucket), ["_k"], "_b", order, [start], "_next", ahead=True), F.col(f"_next.{start}")
     repaired = F.when(ahead.isNull(), F.col(start) + EOF_PTS).otherwise(F.greatest(F.col(start) + LEAST_PTS, F.greatest(F.lit(0), ahead - LEAST_PTS)))
     out = rows.withColumn(end, F.when(F.col(end) <= F.col(start), repaired).otherwise(F.col(end))).drop("_next", "_k", "_b")
-    if first_n is None:
-        return out
-    # Spark keeps no more than first_n rows of a group in each task before the shuffle.
-    return out.withColumn("_place", F.row_number().over(scan)).where(F.col("_place") <= first_n).drop("_place")
+    return out if first_n is None else first_rows(out, keys, order, first_n, bucket)
+
+
+def first_rows(df: DataFrame, keys: Sequence[str], order: Sequence[str], n: int, bucket: tuple[str, int] | None = None) -> DataFrame:
+    """The first ``n`` rows of each of ``keys``; with ``bucket`` the first of each bucket, and then of those."""
+    if bucket is None:
+        rows = df.withColumn("_place", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
+    else:
+        near = _bucketed(df, keys, bucket).withColumn("_near", F.row_number().over(Window.partitionBy("_k", "_b").orderBy(*order))).where(F.col("_near") <= n)
+        rows = numbered(near, ["_k"], "_b", order, "_place").drop("_near", "_k", "_b")
+    return rows.where(F.col("_place") <= n).drop("_place")
 
 
 def islands(df: DataFrame, keys: Sequence[str], order: Sequence[str], same: str, start: str, end: str, max_gap: int | None = ISLAND_GAP_PTS, bucket: tuple[str, int] | None = None) -> DataFrame:
@@ -91,21 +96,38 @@ def islands(df: DataFrame, keys: Sequence[str], order: Sequence[str], same: str,
     return pieces.select("_k.*", F.col("_same").alias(same), F.col(f"_first.{order[-1]}").alias("first_ordinal"), F.col("_start").alias(start), F.col("_end").alias(end), "rows")
 
 
-def fold_islands(df: DataFrame, keys: Sequence[str], order: Sequence[str], same: str, start: str, end: str, max_gap: int = ISLAND_GAP_PTS, aggregates: dict[str, Column] | None = None) -> DataFrame:
-    """Islands whose end is the latest of their rows: keys, same, first ordinal, start, end, rows, ``aggregates``.
+def fold_islands(df: DataFrame, keys: Sequence[str], order: Sequence[str], same: str, start: str, end: str, max_gap: int = ISLAND_GAP_PTS, first: Sequence[str] = (), bucket: tuple[str, int] | None = None) -> DataFrame:
+    """Islands whose end is the latest of their rows: keys, same, first ordinal, start, end, rows, ``first``.
 
     The gap is measured to the latest end of the island so far, which is the
     latest of the run of equal rows, as an island only breaks where that lies
     behind. Starts may not fall along the order, nor ends lie before starts.
+    ``first`` are columns of the first row. ``bucket`` as in ``next_start_end``:
+    a bucket takes over the latest end of the run that was open before it.
     """
-    scan = Window.partitionBy(*keys).orderBy(*order)
-    changed = ~F.col(same).eqNullSafe(F.lag(same).over(scan)) | (F.row_number().over(scan) == 1)
-    rows = df.withColumn("_run", F.sum(changed.cast("long")).over(scan))
-    latest = F.max(end).over(Window.partitionBy(*keys, "_run").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1))
-    opens = latest.isNull() | (F.col(start) - latest > max_gap)
-    rows = rows.withColumn("_island", F.sum(opens.cast("long")).over(Window.partitionBy(*keys, "_run").orderBy(*order)))
-    out = rows.groupBy(*keys, "_run", "_island", same).agg(F.min(order[-1]).alias("first_ordinal"), F.min(start).alias(start), F.max(end).alias(end), F.count("*").alias("rows"), *[a.alias(n) for n, a in (aggregates or {}).items()])
-    return out.drop("_run", "_island")
+    rows = _bucketed(df, keys, bucket) if bucket else df.withColumns({"_k": F.struct(*[F.col(k) for k in keys]), "_b": F.lit(0)})
+    rows = with_neighbour(rows, ["_k"], "_b", order, [same], "_prev")
+    whole = Window.partitionBy("_k", "_b")
+    changed = F.col("_prev").isNull() | ~F.col(same).eqNullSafe(F.col(f"_prev.{same}"))
+    rows = rows.withColumn("_changed", changed).withColumn("_run", F.sum(F.col("_changed").cast("long")).over(whole.orderBy(*order))).drop("_prev")
+    latest = F.max(end).over(Window.partitionBy("_k", "_b", "_run").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1))
+    if bucket:
+        tails = rows.groupBy("_k", "_b", "_run").agg(F.max(end).alias("_latest")).groupBy("_k", "_b").agg(F.max_by("_latest", "_run").alias("_latest"), F.max("_run").alias("_changes"))
+        by_bucket = Window.partitionBy("_k").orderBy("_b")
+        tails = tails.withColumn("_chain", F.sum((F.col("_changes") > 0).cast("long")).over(by_bucket))
+        tails = tails.withColumn("_open", F.max("_latest").over(Window.partitionBy("_k", "_chain").orderBy("_b")))
+        carries = tails.select("_k", "_b", F.lag("_open").over(by_bucket).alias("carry"))
+        rows = with_carry(rows, carries, ["_k"], "_b").withColumn("_latest", F.greatest(latest, F.when(F.col("_run") == 0, F.col("carry")))).drop("carry")
+    else:
+        rows = rows.withColumn("_latest", latest)
+    opens = F.col("_changed") | (F.col(start) - F.col("_latest") > max_gap)
+    rows = rows.withColumn("_no", F.sum(opens.cast("long")).over(whole.orderBy(*order)))
+    place = F.struct(*order)
+    pieces = rows.groupBy("_k", "_b", "_no").agg(F.min(place).alias("_first"), F.min(start).alias("_start"), F.max(end).alias("_end"), F.count("*").alias("rows"), F.min_by(F.struct(F.col(same).alias("same"), *first), place).alias("_v"))
+    if bucket:
+        pieces = pieces.withColumn("last", F.col("_no") == F.max("_no").over(whole)).withColumn("cont", F.col("_no") == 0)
+        pieces = stitch(stage(pieces, "fold-pieces"), ["_k"], "_b", "_no", "cont", "last", {"_v": F.min_by("_v", "_first"), "_start": F.min("_start"), "_end": F.max("_end"), "rows": F.sum("rows"), "_first": F.min("_first")})
+    return pieces.select("_k.*", F.col("_v.same").alias(same), F.col(f"_first.{order[-1]}").alias("first_ordinal"), F.col("_start").alias(start), F.col("_end").alias(end), "rows", *[F.col(f"_v.{c}").alias(c) for c in first])
 
 
 def clean_segments(df: DataFrame, text: str = "text", start: str = "start_ms", end: str = "end_ms") -> DataFrame:
@@ -118,11 +140,12 @@ def text_segments(df: DataFrame, text: str = "text", start: str = "start_ms", en
     return df.where(F.col(text) != "").withColumn(end, F.when(F.col(end) <= F.col(start), F.col(start) + 1).otherwise(F.col(end)))
 
 
-def elementary_intervals(df: DataFrame, keys: Sequence[str], start: str, end: str) -> DataFrame:
+def elementary_intervals(df: DataFrame, keys: Sequence[str], start: str, end: str, bucket_ms: int = 3_600_000) -> DataFrame:
     """Pairs of neighbouring boundaries per keys: keys, iv_start, iv_end."""
-    points = df.select(*keys, F.explode(F.array(start, end)).alias("iv_start")).distinct()
-    pairs = points.withColumn("iv_end", F.lead("iv_start").over(Window.partitionBy(*keys).orderBy("iv_start")))
-    return pairs.where("iv_end is not null")
+    points = df.select(packed_keys(keys), F.explode(F.array(start, end)).alias("iv_start")).withColumn("_b", bucket_of("iv_start", bucket_ms))
+    points = points.repartition("_k", "_b").dropDuplicates(["_k", "_b", "iv_start"])
+    pairs = with_neighbour(points, ["_k"], "_b", ["iv_start"], [], "_next", ahead=True)
+    return pairs.where("_next is not null").select("_k.*", "iv_start", F.col("_next.iv_start").alias("iv_end"))
 
 
 def safe_cues(df: DataFrame, keys: Sequence[str], layout: Sequence[str], start: str = "start_ms", end: str = "end_ms", text: str = "text", bucket_ms: int = SAFE_BUCKET_MS) -> DataFrame:

@@ -85,7 +85,7 @@ def zero_duration_repair(spark, sf_dir):
 @query(f"{_REPAIR} WHERE place <= 5")
 def candidate_limit(spark, sf_dir):
     """The first five candidates of each track, repaired with all of them in sight."""
-    return timeline.repair_zero_duration(_days(spark, sf_dir), ["user_id"], ["start_pts", "event_id"], first_n=5).select("event_id", "user_id", "start_pts", "end_pts")
+    return timeline.repair_zero_duration(_days(spark, sf_dir), ["user_id"], ["start_pts", "event_id"], first_n=5, bucket=("start_pts", 30 * 7_776_000_000)).select("event_id", "user_id", "start_pts", "end_pts")
 
 
 def _islands_sql(table: str, keys: str, order: str, same: str, start: str, end: str, gap: str) -> str:
@@ -107,12 +107,23 @@ def gap_islands(spark, sf_dir):
     return timeline.islands(rows, ["user_id"], ["us", "event_id"], "event_type", "us", "end_us", 3_600_000_000, ("us", WEEK_US)).drop("first_ordinal")
 
 
-@query()
+def fold_sql(table: str, keys: str, order: str, same: str, start: str, end: str, gap: int) -> str:
+    """Islands by the fold, as CTEs from ``table`` to ``fi``, with ``run`` and ``island`` numbers per keys."""
+    return f"""fc AS (SELECT *, CASE WHEN row_number() OVER o > 1 AND {same} IS NOT DISTINCT FROM lag({same}) OVER o THEN 0 ELSE 1 END AS fresh FROM {table} WINDOW o AS (PARTITION BY {keys} ORDER BY {order})),
+fr AS (SELECT *, sum(fresh) OVER (PARTITION BY {keys} ORDER BY {order}) AS run FROM fc),
+fm AS (SELECT *, max({end}) OVER (PARTITION BY {keys}, run ORDER BY {order} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS latest FROM fr),
+fi AS (SELECT *, sum(CASE WHEN latest IS NULL OR {start} - latest > {gap} THEN 1 ELSE 0 END) OVER (PARTITION BY {keys}, run ORDER BY {order}) AS island FROM fm)"""
+
+
+_TRACK = ["source_id", "window_id", "box_left", "box_top", "box_right", "box_bottom"]
+
+
+@query(f"""WITH {_SEG}, t AS (SELECT * FROM s WHERE start_ms IS NOT NULL AND end_ms IS NOT NULL), {fold_sql('t', ', '.join(_TRACK), 'start_ms, segment_id', 'text', 'start_ms', 'end_ms', 2000)}
+SELECT {', '.join(_TRACK)}, text, arg_min(segment_id, (start_ms, segment_id)) AS first_ordinal, min(start_ms) AS start_ms, max(end_ms) AS end_ms, count(*) AS rows FROM fi GROUP BY {', '.join(_TRACK)}, run, island, text""")
 def fold_islands(spark, sf_dir):
     """Islands of each window and box of a source by the fold, for ends in any order."""
     rows = segments(spark, sf_dir).where("start_ms is not null and end_ms is not null")
-    keys = ["source_id", "window_id", "box_left", "box_top", "box_right", "box_bottom"]
-    return timeline.fold_islands(rows, keys, ["start_ms", "segment_id"], "text", "start_ms", "end_ms", 2_000)
+    return timeline.fold_islands(rows, _TRACK, ["start_ms", "segment_id"], "text", "start_ms", "end_ms", 2_000, bucket=("start_ms", 3_600_000))
 
 
 _BLANKS = r"[\s\x1c-\x1f\p{Z}\x85]"

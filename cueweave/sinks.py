@@ -16,8 +16,10 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .operators.scan import bucket_of, numbered
 from .operators.timeline import frame_and_segment, srt_blocks
 from .raster.kernels import bmp, outlined, png
+from .sources.sup import SETS_PER_BUCKET
 
 ENCODERS = {"png": lambda p: png(p), "png-fast": lambda p: png(p, 1), "bmp": bmp}
 _SUFFIX = {"png": "png", "png-fast": "png", "bmp": "bmp"}
@@ -70,16 +72,10 @@ def write_records(records: DataFrame, path: str) -> None:
 
 def manifest(frames: DataFrame, order: Sequence[str] = ("first_ordinal",)) -> DataFrame:
     """Manifest rows of window frames: index, frame and segment numbers, box, times and image name."""
-    rows = frame_and_segment(frames, ["source_id"], list(order), ["raw_index", "start_ms"])
-    place = F.row_number().over(_by_source(order))
+    rows = frame_and_segment(frames, ["source_id"], list(order), ["raw_index", "start_ms"], ("raw_index", SETS_PER_BUCKET))
+    rows = numbered(rows.withColumn("_b", bucket_of("raw_index", SETS_PER_BUCKET)), ["source_id"], "_b", list(order), "index")
     name = F.format_string("%06d_w%d.png", F.col("frame_index"), F.col("window_id"))
-    return rows.select("source_id", place.alias("index"), "frame_index", "segment_index", "raw_index", "window_id", F.array("left", "top", "right", "bottom").alias("bbox"), "start_ms", "end_ms", name.alias("name"), *[c for c in rows.columns if c in ("width", "height", "pixels", "first_ordinal")])
-
-
-def _by_source(order: Sequence[str]):
-    from pyspark.sql.window import Window
-
-    return Window.partitionBy("source_id").orderBy(*order)
+    return rows.select("source_id", "index", "frame_index", "segment_index", "raw_index", "window_id", F.array("left", "top", "right", "bottom").alias("bbox"), "start_ms", "end_ms", name.alias("name"), *[c for c in rows.columns if c in ("width", "height", "pixels", "first_ordinal")])
 
 
 def _write_images(rows: DataFrame, folder: str, columns: dict[str, Callable[[tuple], np.ndarray]], used: Sequence[str], encoding: str) -> DataFrame:

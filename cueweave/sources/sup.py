@@ -33,6 +33,8 @@ PALETTE, OBJECT, COMPOSITION, WINDOWS, END = 0x14, 0x15, 0x16, 0x17, 0x80
 NORMAL, ACQUISITION, EPOCH = 0x00, 0x40, 0x80
 #: Decoded displays a stream keeps for repeats.
 KEPT_DISPLAYS = 4096
+#: Display sets of a bucket of the scans over a stream.
+SETS_PER_BUCKET = 4096
 #: Where the data of a continued object begins.
 CONTINUED_AT = 7
 
@@ -353,15 +355,15 @@ def unique_objects(packet_rows: DataFrame) -> DataFrame:
 def _timed(sets: DataFrame) -> DataFrame:
     """Complete sets with the start of the next complete one as their end; blank ones end others, too."""
     complete = sets.where("has_composition and complete")
-    return next_start_end(complete, ["source_id"], ["raw_index"], "pts").withColumnRenamed("pts", "start_pts")
+    return next_start_end(complete, ["source_id"], ["raw_index"], "pts", bucket=("raw_index", SETS_PER_BUCKET)).withColumnRenamed("pts", "start_pts")
 
 
 def _deduplicated(candidates: DataFrame, track: Sequence[str], values: Sequence[str], max_items: int | None) -> DataFrame:
-    rows = repair_zero_duration(candidates, ["source_id"], ["ordinal"], first_n=max_items)
-    first = {"_v": F.min_by(F.struct("raw_index", *values), "ordinal")}
-    found = fold_islands(rows, ["source_id", *track], ["ordinal"], "image_hash", "start_pts", "end_pts", aggregates=first)
+    bucket = ("ordinal", SETS_PER_BUCKET * 256)
+    rows = repair_zero_duration(candidates, ["source_id"], ["ordinal"], first_n=max_items, bucket=bucket)
+    found = fold_islands(rows, ["source_id", *track], ["ordinal"], "image_hash", "start_pts", "end_pts", first=["raw_index", *values], bucket=bucket)
     start, end = pts_to_ms(F.col("start_pts")), pts_to_ms(F.col("end_pts"))
-    return found.select(*[c for c in found.columns if c != "_v"], "_v.*").withColumn("start_ms", start).withColumn("end_ms", least_duration(start, end))
+    return found.withColumn("start_ms", start).withColumn("end_ms", least_duration(start, end))
 
 
 def window_frames(sets: DataFrame, max_items: int | None = None) -> DataFrame:

@@ -191,7 +191,43 @@ def test_bucketed_scans_equal_whole_ones(spark):
     same(lambda b: timeline.next_start_end(df, ["k"], order, "s", F.col("v").isNotNull(), "end", b))
     same(lambda b: timeline.repair_zero_duration(df, ["k"], order, "s", "e", bucket=b))
     same(lambda b: timeline.islands(df, ["k"], order, "v", "s", "e", 20, b))
+    same(lambda b: timeline.repair_zero_duration(df, ["k"], order, "s", "e", first_n=7, bucket=b))
     same(lambda b: timeline.islands(df, ["k"], order, "v", "s", "e", None, b))
+    same(lambda b: timeline.fold_islands(df, ["k"], order, "v", "s", "e", 5, ["d"], b))
+    same(lambda b: timeline.fold_islands(df.withColumn("v", F.lit("one")), ["k"], order, "v", "s", "e", 20, [], b))
     same(lambda b: timeline.frame_and_segment(df, ["k"], order, ["s", "v"], b))
     with pytest.raises(ValueError):
         timeline.frame_and_segment(df, ["k"], order, ["v"], bucket)
+
+
+def test_no_scan_holds_a_whole_source(spark):
+    """A source with nine tenths of the rows: what a window of the plan takes in at once stays far below it."""
+    rows = spark.range(20_000).select(F.when(F.col("id") % 10 > 0, "hot").otherwise("x").alias("k"), "id", (F.col("id") * 10).alias("s"), (F.col("id") % 3).cast("string").alias("v")).withColumn("e", F.col("s") + 12)
+    bucketed = rows.withColumn("_b", bucket_of("s", 2_000))
+    assert bucketed.groupBy("k", "_b").count().agg(F.max("count")).first()[0] <= 200
+    folded = timeline.fold_islands(rows, ["k"], ["s", "id"], "v", "s", "e", 5, bucket=("s", 2_000))
+    assert folded.count() == timeline.fold_islands(rows, ["k"], ["s", "id"], "v", "s", "e", 5).count()
+    assert timeline.elementary_intervals(rows, ["k"], "s", "e", 2_000).count() == timeline.elementary_intervals(rows, ["k"], "s", "e", 10**9).count()
+    ranges = ranking.placed(rows, ["k"], [F.desc("s")], "place")
+    assert ranges.where("place <> case when k = 'hot' then 18000 - (id - floor(id / 10) - 1) else 2000 - id / 10 end").count() == 0
+    from cueweave.session import clear_staged, shared_dir  # noqa: F401
+
+    sizes = rows.repartitionByRange(8, "k", F.desc("s")).groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0]
+    assert sizes < 6_000
+
+
+def test_histogram_percentiles(spark):
+    rnd = random.Random(4)
+    rows = [(rnd.choice(["a", "b", None]), rnd.choice([None, *range(9)]), rnd.randrange(1, 4)) for _ in range(200)] + [("none", None, 1), ("one", 5, 1)]
+    df = spark.createDataFrame(rows, "g string, v int, n int")
+    for count in (None, "n"):
+        got = {r.g: (r.p15, r.p85) for r in stats.histogram_percentile(df, ["g"], "v", {"p15": 15.0, "p85": 85.0}, count).collect()}
+        for g in ("a", "b", None, "none", "one"):
+            values = sorted(v for h, v, n in rows for _ in range(1 if count is None else n) if h == g and v is not None)
+            if not values:
+                assert got[g] == (None, None)
+                continue
+            for p, found in zip((0.15, 0.85), got[g]):
+                at = (len(values) - 1) * p
+                low, high = values[int(at)], values[min(len(values) - 1, -int(-at // 1))]
+                assert found == pytest.approx(low + (high - low) * (at - int(at)))
