@@ -40,8 +40,8 @@ def histogram_percentile(df: DataFrame, groups: Sequence[str], value: str, perce
     at = {n: (F.col("_all") - 1) * F.lit(p / 100) for n, p in percents.items()}
     reached = [F.min(F.when(F.col(value).isNotNull() & (F.col("_run") > f(rank)), F.col(value))).cast("double").alias(f"_{side}_{n}") for n, rank in at.items() for side, f in (("low", F.floor), ("high", F.ceil))]
     found = running.groupBy(*groups).agg(F.first("_all").alias("_all"), *reached)
-    share = {n: rank - F.floor(rank) for n, rank in at.items()}
-    return found.select(*groups, *[(F.col(f"_low_{n}") + (F.col(f"_high_{n}") - F.col(f"_low_{n}")) * part).alias(n) for n, part in share.items()])
+    between = {n: F.when(F.col(f"_low_{n}") == F.col(f"_high_{n}"), F.col(f"_low_{n}")).otherwise((F.ceil(rank) - rank) * F.col(f"_low_{n}") + (rank - F.floor(rank)) * F.col(f"_high_{n}")) for n, rank in at.items()}
+    return found.select(*groups, *[c.alias(n) for n, c in between.items()])
 
 
 # Quantile of the pivot and the bands around the main thickness.

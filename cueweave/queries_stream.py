@@ -17,9 +17,11 @@ from pyspark.sql import functions as F
 
 from .operators.scan import bucket_of, numbered
 from .plans.convert import read_texts
-from .queries_core import segments
+from .queries_core import _SEG, fold_sql, segments
+from .queries_core import SQL as SQL_CORE
 from .raster.layout import analysed_lines, masked_frames
-from .recognizers import Settings
+from .raster.kernels import BACKGROUND
+from .recognizers import Answer, Settings, register
 from .operators import dedupe, detect, stats, timeline
 from .session import load, shared_dir, stage
 from .sources import sup, sup_writer
@@ -60,38 +62,98 @@ def drawn_packets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.mapInPandas(run, sup.PACKETS)
 
 
+class GlyphReader:
+    """Recogniser of the drawn glyphs: for each, the height and ink of its block and the width of the small one above."""
+
+    def __init__(self, options: dict):
+        pass
+
+    def recognise(self, pixels: np.ndarray, prompt: str) -> Answer:
+        inked, read = pixels != BACKGROUND, ""
+        for x in range(0, GLYPHS * CELL, CELL):
+            height = int(inked[:, x + 3].sum())
+            above = int(inked[:, x].sum() > height) + int(inked[:, x + 2].sum() > height)
+            read += f"{height - CELL + 1}{1 if pixels[-1, x] == 255 - INK[1][0] else 2}{above}"
+        return Answer(read)
+
+    def close(self) -> None:
+        pass
+
+
+register("glyphs", GlyphReader)
+
+
 def drawn_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sup.window_frames(sup.display_sets(drawn_packets(spark, sf_dir)))
 
 
+def _byte(i: int) -> str:
+    return f"CAST('0x' || substr(h, {2 * i + 1}, 2) AS INTEGER)"
+
+
+# The drawn streams are a function of the segments: what is drawn, where, when, and what a reader of it says.
+_LOOK = " || ".join(f"CAST({_byte(i)} % 3 AS VARCHAR) || CAST(1 + {_byte(4 + i)} % 2 AS VARCHAR) || CASE WHEN {_byte(8 + i)} % 2 = 1 THEN CAST(1 + {_byte(12 + i)} % 2 AS VARCHAR) ELSE '0' END" for i in range(GLYPHS))
+_ABOVE = " OR ".join(f"{_byte(8 + i)} % 2 = 1" for i in range(GLYPHS))
+_TALLEST = f"greatest({', '.join(f'{_byte(i)} % 3' for i in range(GLYPHS))})"
+_SETS = f"""{_SEG}, v AS (SELECT *, md5(text) AS h FROM s WHERE start_ms IS NOT NULL AND end_ms > start_ms AND text IS NOT NULL AND source_id IS NOT NULL),
+n AS (SELECT source_id, row_number() OVER (PARTITION BY source_id ORDER BY start_ms, segment_id) AS raw_index, start_ms * 90 % 4294967296 AS pts, coalesce(window_id, 0) AS window_id,
+coalesce(box_left, 0) % 1920 + 1 AS l, coalesce(box_top, 0) % 1080 + CASE WHEN {_ABOVE} THEN 2 ELSE {CELL * 2} - {_TALLEST} END AS t, coalesce(box_top, 0) % 1080 + {CELL * 3 - 2} AS b, {_LOOK} AS look FROM v)"""
+_TIMED = f"""{_SETS}, x AS (SELECT *, raw_index * 256 + window_id AS ordinal, lead(pts) OVER (PARTITION BY source_id ORDER BY raw_index) AS nxt FROM n),
+t AS (SELECT *, CASE WHEN coalesce(nxt, pts) > pts THEN nxt WHEN nxt IS NULL THEN pts + 180000 ELSE greatest(pts + 90, greatest(0, nxt - 90)) END AS e FROM x)"""
+_FRAMES = f"""{_TIMED}, {fold_sql('t', 'source_id, window_id, l, t, b', 'ordinal', 'look', 'pts', 'e', 180)},
+frames AS (SELECT source_id, min(ordinal) AS first_ordinal, window_id, l, t, b, look, (min(pts) + 45) // 90 AS start_ms, greatest((max(e) + 45) // 90, (min(pts) + 45) // 90 + 1) AS end_ms, count(*) AS rows FROM fi GROUP BY source_id, window_id, l, t, b, run, island, look)"""
+
+QUERIES = {}
+SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(function):
+        QUERIES[function.__name__] = function
+        if sql:
+            SQL[function.__name__] = sql
+        return function
+
+    return add
+
+
+@query(f"WITH {_SETS} SELECT source_id, raw_index, TRUE AS complete, {CELL * GLYPHS - 2} AS surface_width, window_id, l AS left, t AS top, l + {CELL * GLYPHS - 3} AS right, b AS bottom FROM n")
 def display_sets(spark, sf_dir):
     """Decoded windows of all display sets, with composed surfaces."""
     sets = sup.display_sets(drawn_packets(spark, sf_dir), surface=True)
     shown = sets.select("source_id", "raw_index", "complete", F.col("surface.width").alias("surface_width"), F.explode_outer("windows").alias("w"))
-    return shown.select("source_id", "raw_index", "complete", "surface_width", "w.window_id", "w.left", "w.top", F.hex("w.image_hash").alias("image_hash"))
+    return shown.select("source_id", "raw_index", "complete", "surface_width", "w.window_id", "w.left", "w.top", "w.right", "w.bottom")
 
 
+@query(f"WITH {_FRAMES} SELECT source_id, first_ordinal, window_id, l AS left, t AS top, start_ms, end_ms, rows, min(first_ordinal) OVER (PARTITION BY source_id, look) AS first_alike FROM frames")
 def window_frames(spark, sf_dir):
-    frames = drawn_frames(spark, sf_dir)
-    return frames.select("source_id", "first_ordinal", "window_id", "left", "top", "start_ms", "end_ms", "rows", F.hex("image_hash").alias("image_hash"))
+    """Images of windows with their times, and the first one of the source that looks alike."""
+    frames = stage(drawn_frames(spark, sf_dir).drop("pixels"), "window-frames")
+    alike = frames.groupBy("source_id", "image_hash").agg(F.min("first_ordinal").alias("first_alike"))
+    return frames.join(alike, ["source_id", "image_hash"]).select("source_id", "first_ordinal", "window_id", "left", "top", "start_ms", "end_ms", "rows", "first_alike")
 
 
+@query(f"""WITH {_TIMED}, {fold_sql('t', 'source_id', 'raw_index', 'look', 'pts', 'e', 180)}
+SELECT source_id, min(raw_index) AS first_ordinal, (min(pts) + 45) // 90 AS start_ms, greatest((max(e) + 45) // 90, (min(pts) + 45) // 90 + 1) AS end_ms, {CELL * GLYPHS - 2} AS width, arg_min(b - t + 1, raw_index) AS height FROM fi GROUP BY source_id, run, island""")
 def screen_frames(spark, sf_dir):
     frames = sup.frames(sup.display_sets(drawn_packets(spark, sf_dir), surface=True))
     return frames.select("source_id", "first_ordinal", "start_ms", "end_ms", "width", "height")
 
 
+@query(f"WITH {_SETS} SELECT {CELL * GLYPHS} AS width, {CELL * 3} AS height, count(DISTINCT look) AS objects FROM n")
 def unique_objects(spark, sf_dir):
-    """Different bitmaps of all streams."""
-    return sup.unique_objects(drawn_packets(spark, sf_dir)).select("width", "height", "digest")
+    """Number of different bitmaps of all streams, by size."""
+    return sup.unique_objects(drawn_packets(spark, sf_dir)).groupBy("width", "height").agg(F.count("*").alias("objects"))
 
 
+@query()
 def layout_statistics(spark, sf_dir):
     """Statistics of text lines per source and orientation."""
     frames = drawn_frames(spark, sf_dir)
     return stats.line_stats(stage(analysed_lines(frames, ["source_id"]), "lines"), ["source_id", "orientation"])
 
 
+@query()
 def masked_layout(spark, sf_dir):
     """Roles and masked pixels of every drawn image."""
     frames = stage(drawn_frames(spark, sf_dir).select("source_id", "first_ordinal", "width", "height", "pixels"), "drawn")
@@ -100,15 +162,26 @@ def masked_layout(spark, sf_dir):
     return masked.select("source_id", "first_ordinal", "orientation", "component_count", "selected_count", "masked_pixel_count", F.array_join(roles, ",").alias("roles"))
 
 
+@query(f"""WITH {_FRAMES}, bounds AS (SELECT DISTINCT source_id, unnest([start_ms, end_ms]) AS p FROM frames),
+iv AS (SELECT source_id, p AS s0, lead(p) OVER (PARTITION BY source_id ORDER BY p) AS e0 FROM bounds),
+a AS (SELECT iv.source_id, s0, e0, q.look, min((q.t, q.l, q.window_id, q.first_ordinal)) AS place FROM iv JOIN frames q ON q.source_id = iv.source_id AND q.start_ms < e0 AND q.end_ms > s0 GROUP BY ALL),
+y AS (SELECT source_id, s0, e0, string_agg(look, chr(10) ORDER BY place) AS text FROM a GROUP BY ALL),
+f AS (SELECT *, CASE WHEN lag(e0) OVER o = s0 AND lag(text) OVER o = text THEN 0 ELSE 1 END AS new FROM y WINDOW o AS (PARTITION BY source_id ORDER BY s0)),
+z AS (SELECT *, sum(new) OVER (PARTITION BY source_id ORDER BY s0) AS cue_index FROM f)
+SELECT source_id, CAST(cue_index AS BIGINT) AS cue_index, min(s0) AS start_ms, max(e0) AS end_ms, any_value(text) AS text FROM z GROUP BY source_id, cue_index""")
 def recognised_cues(spark, sf_dir):
     """Streams to cues: each different image read once, its text fanned out, the safe policy."""
     frames = detect.with_shape(drawn_frames(spark, sf_dir)).withColumn("image_key", dedupe.image_key(F.col("pixels"), F.col("width"), F.col("height")))
     frames = stage(frames, "drawn")
-    read = read_texts(frames, Settings("table"))
+    read = read_texts(frames, Settings("glyphs"))
     rows = dedupe.strict_zip(frames.drop("pixels"), read, ["source_id", "first_ordinal"])
     return timeline.cues(timeline.text_segments(rows), "safe", ["source_id"], ["top", "left", "right", "window_id"], "first_ordinal")
 
 
+_RUNS = SQL_CORE["track_islands"]
+
+
+@query(f"SELECT user_id, event_type, us, end_us, rows FROM ({_RUNS})")
 def stateful_islands(spark, sf_dir):
     """Runs of equal events of each user by a streaming query, those open at the end of the input read from its state."""
     base = shared_dir(spark)
@@ -122,7 +195,3 @@ def stateful_islands(spark, sf_dir):
     sink.awaitTermination()
     closed = spark.read.schema(found.schema).parquet(out)
     return closed.unionByName(open_islands(spark, state, ["user_id"], "event_type", "us", "end_us"))
-
-
-QUERIES = {f.__name__: f for f in (display_sets, window_frames, screen_frames, unique_objects, layout_statistics, masked_layout, recognised_cues, stateful_islands)}
-SQL: dict[str, str] = {}

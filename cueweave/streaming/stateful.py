@@ -21,7 +21,8 @@ from ..sources.sup import DISPLAY_SETS, END, StreamDecoder
 def stream_islands(rows: DataFrame, keys: Sequence[str], same: str, start: str, end: str, max_gap: int = ISLAND_GAP_PTS, idle_ms: int | None = None, order: Sequence[str] = ()) -> DataFrame:
     """Islands of each track, given out when the next one opens.
 
-    State is one open island per track. With ``idle_ms`` an island is also given
+    State is one open island per track; null values are equal to each other,
+    rows without start or end are left out. With ``idle_ms`` an island is also given
     out when its track was silent for so long in processing time. ``order``
     sorts the rows of each batch. ``open_islands`` gives those still open when the
     input has ended.
@@ -40,7 +41,8 @@ def stream_islands(rows: DataFrame, keys: Sequence[str], same: str, start: str,
         held = list(state.get) if state.exists else None
         done = []
         for part in [pd.concat(list(parts)).sort_values(list(order), kind="stable")] if order else parts:
-            for value, a, b in zip(part[same], part[start], part[end]):
+            part = part.dropna(subset=[start, end])
+            for value, a, b in zip(part[same].astype(object).where(part[same].notna(), None), part[start], part[end]):
                 if held is not None and held[0] == value and max(0, a - held[2]) <= max_gap:
                     held[2], held[3] = max(held[2], int(b)), held[3] + 1
                     continue
