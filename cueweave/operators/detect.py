@@ -87,7 +87,10 @@ def family_agreement(agreeing: DataFrame, families: DataFrame, text: str = "base
     Rows and families meet on their characters, not each with each.
     """
     chars = families.select("family", F.explode(F.array(F.substring("family", 1, 1), F.substring("family", 2, 1))).alias("_c")).distinct()
-    rows = agreeing.select(F.array_distinct(F.split(F.col(text), "")).alias("_cs")).withColumn("_row", F.monotonically_increasing_id())
+    # One row: the characters of all families, of which there are no more than ideographs; texts go on with theirs only.
+    wanted = chars.agg(F.concat_ws("", F.collect_set("_c")).alias("_all"))
+    held = F.filter(F.array_distinct(F.split(F.col(text), "")), lambda c: F.contains(F.col("_all"), c))
+    rows = agreeing.join(F.broadcast(wanted), F.lit(True)).select(held.alias("_cs")).where("size(_cs) > 0").withColumn("_row", F.monotonically_increasing_id())
     hits = rows.select("_row", F.explode("_cs").alias("_c")).join(chars, "_c").groupBy("_row", "family").agg(F.count("*").alias("_n"))
     return hits.where("_n = 1").groupBy("family").agg(F.count("*").alias("agreement_rows"))
 

@@ -264,26 +264,62 @@ def member_counts(spark, sf_dir):
     return detect.member_counts(sets, "flags", "flag")
 
 
-@query()
+#: Ideographs of the segments and what another reading puts for them in window 0.
+PLANTED = ("船般", "駅訳", "手毛", "塔搭")
+
+
+def _planted(spark, sf_dir):
+    """Segments of window 0 whose other reading has ideographs exchanged."""
+    rows = segments(spark, sf_dir).where("window_id = 0").withColumn("baseline_text", F.col("text"))
+    return rows.withColumn("option_text", F.translate("text", "".join(p[0] for p in PLANTED), "".join(p[1] for p in PLANTED))).where("baseline_text <> option_text")
+
+
+_PAIRS = ", ".join(f"('{p[0]}', '{p[1]}', '{min(p)}{max(p)}')" for p in PLANTED)
+_FAMILIES = f"""{_SEG}, p(one, two, family) AS (VALUES {_PAIRS}),
+m AS (SELECT segment_id, family, count(*) OVER (PARTITION BY segment_id) AS n FROM s JOIN p ON contains(text, one) WHERE window_id = 0),
+c AS (SELECT family, count(*) AS support_rows, count(*) FILTER (n = 1) AS pure_rows, count(*) FILTER (n > 1) AS mixed_rows FROM m GROUP BY family)"""
+_LEADING = f"""{_FAMILIES}, agree AS (SELECT segment_id, text FROM s WHERE text <> '' AND segment_id NOT IN (SELECT segment_id FROM m)),
+g AS (SELECT family, count(*) AS agreement_rows FROM agree JOIN p ON contains(text, one) <> contains(text, two) GROUP BY family),
+k AS (SELECT c.*, agreement_rows, rank() OVER (ORDER BY support_rows DESC, pure_rows DESC, mixed_rows, agreement_rows) AS place FROM c JOIN g ON c.family = g.family WHERE support_rows >= 2 AND pure_rows >= 1 AND agreement_rows <= support_rows * 10),
+lead AS (SELECT k.* EXCLUDE (place) FROM k WHERE place = 1 AND (SELECT count(*) FROM k WHERE place = 1) = 1)"""
+
+
+@query(f"WITH {_FAMILIES} SELECT * FROM c")
 def kanji_family_counts(spark, sf_dir):
-    """Exchanged ideographs between the readings of corrections, with support, pure and mixed rows."""
-    return detect.family_counts(corrections(spark, sf_dir).where("baseline_text <> option_text"))
+    """Exchanged ideographs between two readings, with support, pure and mixed rows."""
+    return detect.family_counts(_planted(spark, sf_dir))
 
 
-@query()
+@query(f"WITH {_LEADING} SELECT * FROM lead")
 def dominant_family(spark, sf_dir):
-    """The leading family of exchanged ideographs over corrections and segments, if one leads."""
-    surface = corrections(spark, sf_dir).where("baseline_text <> option_text")
+    """The leading family of exchanged ideographs over all segments, if one leads."""
     rows = segments(spark, sf_dir).withColumn("baseline_text", F.col("text"))
-    return detect.dominant_family(surface, rows, ["segment_id"])
+    return detect.dominant_family(_planted(spark, sf_dir), rows, ["segment_id"])
 
 
-@query()
+@query(f"""WITH {_LEADING} SELECT segment_id, text AS baseline_text, CASE WHEN contains(text, one) THEN replace(text, one, two) ELSE replace(text, two, one) END AS option_text, 'meaningful_difference' AS diff_label,
+CASE WHEN contains(text, one) THEN one ELSE two END AS family_current_char, CASE WHEN contains(text, one) THEN two ELSE one END AS family_alternate_char
+FROM agree, lead JOIN p ON p.family = lead.family WHERE contains(text, one) <> contains(text, two)""")
 def family_addon(spark, sf_dir):
     """Agreeing segments with the leading family's other character as their option."""
-    surface = corrections(spark, sf_dir).where("baseline_text <> option_text")
     rows = segments(spark, sf_dir).select("segment_id", F.col("text").alias("baseline_text"))
-    return detect.family_addon(surface, rows, ["segment_id"]).select("segment_id", "baseline_text", "option_text", "diff_label", "family_current_char", "family_alternate_char")
+    return detect.family_addon(_planted(spark, sf_dir), rows, ["segment_id"]).select("segment_id", "baseline_text", "option_text", "diff_label", "family_current_char", "family_alternate_char")
+
+
+_FORM = r"regexp_replace(regexp_replace({0}, '\s+', '', 'g'), '-{{2,}}', '-', 'g')"
+_NO_MARKS = r"regexp_replace({0}, '[\p{{P}}\p{{S}}\p{{Z}}]', '', 'g')"
+
+
+@query(f"""WITH v AS (SELECT p_partkey, p_name AS a, unnest([p_type, p_name, replace(p_name, ' ', '  '), p_name || '--!', p_name || p_size]) AS b, unnest([0, 1, 2, 3, 4]) AS variant FROM part),
+f AS (SELECT *, {_FORM.format('a')} AS x, {_FORM.format('b')} AS y FROM v),
+d AS (SELECT *, CASE WHEN a = b THEN 'exact_match' WHEN x = y THEN 'normalized_equivalent' WHEN {_NO_MARKS.format('x')} = {_NO_MARKS.format('y')} THEN 'punctuation_equivalent' ELSE 'meaningful_difference' END AS label, CASE WHEN x = y THEN 0 ELSE levenshtein(x, y) END AS edit_distance FROM f)
+SELECT p_partkey, variant, label, label = 'meaningful_difference' AS meaningful, edit_distance, edit_distance::DOUBLE / greatest(length(x), 1) AS char_error_rate FROM d""")
+def char_error_rate(spark, sf_dir):
+    """Label and rate of several readings of the names of parts, which are ASCII."""
+    variants = [F.col("p_type"), F.col("p_name"), F.replace(F.col("p_name"), F.lit(" "), F.lit("  ")), F.concat("p_name", F.lit("--!")), F.concat("p_name", F.col("p_size").cast("string"))]
+    rows = load(spark, sf_dir, "part").select("p_partkey", "p_name", F.posexplode(F.array(*variants)).alias("variant", "b"))
+    found = rows.withColumn("d", assess_difference(F.col("p_name"), F.col("b")))
+    return found.select("p_partkey", "variant", "d.label", "d.meaningful", "d.edit_distance", "d.char_error_rate")
 
 
 @query()
@@ -297,6 +333,46 @@ def detector_surface(spark, sf_dir):
     return out.select("segment_id", "shape", "detector_branch", "diff_label", "meaningful", "char_error_rate", F.array_join("source_tags", ",").alias("tags"))
 
 
+@query(f"""WITH {_SEG}, m AS (SELECT segment_id, window_id, box_right - box_left + 1 > 0 AND (box_bottom - box_top + 1)::DOUBLE / (box_right - box_left + 1) >= 2.0 AS tall FROM s
+WHERE box_left IS NOT NULL AND box_top IS NOT NULL AND box_right IS NOT NULL AND box_bottom IS NOT NULL AND text IS NOT NULL)
+SELECT segment_id, CASE WHEN tall THEN 'tall' ELSE 'wide' END AS shape, CASE WHEN NOT tall AND window_id = 0 THEN 'alternate_read_non_tall' WHEN tall THEN 'repeat_drift_tall' ELSE 'p2_meaningful_temp0' END AS detector_branch,
+'meaningful_difference' AS diff_label, TRUE AS meaningful, CASE WHEN NOT tall AND window_id = 0 THEN 'hybrid_detector' WHEN tall THEN 'hybrid_detector,p2_meaningful_temp0' ELSE 'p2_meaningful_temp0' END AS tags
+FROM m WHERE window_id = 1 OR (window_id = 0 AND NOT tall)""")
+def planted_surface(spark, sf_dir):
+    """The wider surface of readings that say more: the fast one in window 0, the repeated one in window 1."""
+    boxes = segments(spark, sf_dir).dropna(subset=["box_left", "box_right", "box_top", "box_bottom"])
+    boxes = boxes.select("segment_id", "window_id", F.col("text").alias("baseline_text"), (F.col("box_right") - F.col("box_left") + 1).alias("width"), (F.col("box_bottom") - F.col("box_top") + 1).alias("height"))
+    more = lambda w, x: boxes.select("segment_id", F.when(F.col("window_id") == w, F.concat("baseline_text", F.lit(x))).otherwise(F.col("baseline_text")).alias("option_text"))
+    prepared = detect.with_shape(boxes).withColumn("ordinal", F.col("segment_id"))
+    out = detect.detector_surface(prepared, more(0, "x"), more(1, "y"), ["segment_id"], "ordinal", wider=True)
+    return out.select("segment_id", "shape", "detector_branch", "diff_label", "meaningful", F.array_join("source_tags", ",").alias("tags"))
+
+
+def _readings(spark, sf_dir):
+    """Names of parts in a baseline, another reading that differs in one sign, and a text that changes this and adds one."""
+    part = load(spark, sf_dir, "part")
+    read = lambda sign, end="": F.concat("p_name", F.lit(sign), F.col("p_partkey").cast("string"), F.lit(end))
+    return part.select("p_partkey", "p_size", read("#").alias("baseline_text"), read("@").alias("option_text"), read("%", "!").alias("corrector_text"))
+
+
+@query("SELECT p_partkey, p_name || '%' || p_partkey AS merged_text, 1 AS applied, length(p_name) AS left_start, '#' AS was, '%' AS becomes FROM part")
+def planted_merges(spark, sf_dir):
+    """Only the edit of the candidate where the readings differ is taken."""
+    rows = _readings(spark, sf_dir).withColumn("m", anchor_merge(F.col("baseline_text"), F.col("option_text"), F.col("corrector_text")))
+    op = F.col("m.applied_ops")[0]
+    return rows.select("p_partkey", "m.merged_text", F.size("m.applied_ops").alias("applied"), op["left_start"].cast("long").alias("left_start"), op["left"].alias("was"), op["right"].alias("becomes"))
+
+
+@query("""SELECT p_partkey, 1 AS anchor_count, CASE WHEN p_size % 5 = 0 THEN p_name || '#' || p_partkey ELSE p_name || '%' || p_partkey END AS conservative_merged_text, CASE WHEN p_size % 5 = 0 THEN 0 ELSE 1 END AS applied_op_count,
+p_size % 5 <> 0 AS raw_changed, p_size % 5 <> 0 AS merged_changed, CASE WHEN p_size % 5 = 0 THEN 'fallback_baseline' ELSE 'applied' END AS corrector_status, CASE WHEN p_size % 5 = 0 THEN 'refused' ELSE '' END AS corrector_error FROM part""")
+def planted_corrections(spark, sf_dir):
+    """Records of a corrector that fails on some parts and says too much on the others."""
+    fails = F.col("p_size") % 5 == 0
+    answers = _readings(spark, sf_dir).withColumn("corrector_text", F.when(~fails, F.col("corrector_text"))).withColumn("corrector_error", F.when(fails, "refused"))
+    out = correct.correction_records(answers, "planted", "text")
+    return out.select("p_partkey", "anchor_count", "conservative_merged_text", "applied_op_count", "raw_changed", "merged_changed", "corrector_status", "corrector_error")
+
+
 @query("""WITH g AS (SELECT p_type, count(*) AS n, sum(p_size) AS size FROM part GROUP BY 1), r AS (SELECT *, rank() OVER (ORDER BY n DESC, size) AS place FROM g)
 SELECT p_type, n, size FROM r WHERE place = 1 AND (SELECT count(*) FROM r WHERE place = 1) = 1""")
 def rank_tie_reject(spark, sf_dir):
