@@ -23,7 +23,7 @@ from .raster.layout import analysed_lines, masked_frames
 from .raster.kernels import BACKGROUND
 from .recognizers import Answer, Settings, register
 from .operators import dedupe, detect, stats, timeline
-from .session import load, shared_dir, stage
+from .session import load, shared_dir, spread, stage
 from .sources import sup, sup_writer
 from .streaming.stateful import open_islands, stream_islands
 
@@ -49,7 +49,7 @@ def drawn_packets(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = segments(spark, sf_dir).where("start_ms is not null and end_ms > start_ms and text is not null and source_id is not null")
     rows = rows.withColumn("_b", bucket_of("start_ms", 3_600_000))
     rows = numbered(rows, ["source_id"], "_b", ["start_ms", "segment_id"], "raw_index")
-    rows = rows.select("source_id", "raw_index", "start_ms", F.coalesce("window_id", F.lit(0)).alias("window_id"), F.coalesce("box_left", F.lit(0)).alias("x"), F.coalesce("box_top", F.lit(0)).alias("y"), "text")
+    rows = spread(rows, "source_id", "raw_index").select("source_id", "raw_index", "start_ms", F.coalesce("window_id", F.lit(0)).alias("window_id"), F.coalesce("box_left", F.lit(0)).alias("x"), F.coalesce("box_top", F.lit(0)).alias("y"), "text")
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from ..operators.dedupe import fan_out, image_key
 from ..operators.stats import line_stats
-from ..session import stage
+from ..session import spread, stage
 from .kernels import BACKGROUND
 
 HORIZONTAL, VERTICAL = "horizontal", "vertical"
@@ -361,15 +361,15 @@ def boxes_of(lines: Sequence[Line], ink: np.ndarray, orientation: str) -> list[t
     return out
 
 
-def finish(grey: np.ndarray, analysis: Analysis, stats: Stats | None) -> dict:
-    """Masked image, mask and lines with their roles."""
-    lines, roles, boxes = list(analysis.lines), [], []
+def finish(grey: np.ndarray, orientation: str | None, found: Sequence[Line], stats: Stats | None) -> dict:
+    """Masked image, mask and lines with their roles, from the lines found in an image."""
+    lines, roles, boxes = list(found), [], []
     ink = grey < BACKGROUND
-    if analysis.orientation is not None and lines:
+    if orientation is not None and lines:
         if stats is not None:
-            lines = coalesced(lines, analysis.orientation, stats)
-        boxes = boxes_of(lines, ink, analysis.orientation)
-        roles = roles_of(lines, analysis.orientation, stats) if stats is not None else [OTHER] * len(lines)
+            lines = coalesced(lines, orientation, stats)
+        boxes = boxes_of(lines, ink, orientation)
+        roles = roles_of(lines, orientation, stats) if stats is not None else [OTHER] * len(lines)
     mask = np.zeros(grey.shape, dtype=bool)
     for (left, top, right, bottom), role in zip(boxes, roles):
         if role == AID:
@@ -380,8 +380,6 @@ def finish(grey: np.ndarray, analysis: Analysis, stats: Stats | None) -> dict:
     return {
         "pixels": masked,
         "mask": mask,
-        "orientation": analysis.orientation,
-        "component_count": len(analysis.components),
         "selected_count": len(chosen),
         "masked_pixel_count": int(mask.sum()),
         "lines": [(*box, role) for box, role in zip(boxes, roles)],
@@ -404,7 +402,8 @@ def stats_of(lines: Sequence[Line]) -> Stats | None:
 def mask_image(grey: np.ndarray) -> dict:
     """One image by its own statistics."""
     analysis = analyse(grey)
-    return finish(grey, analysis, stats_of(analysis.lines))
+    done = finish(grey, analysis.orientation, analysis.lines, stats_of(analysis.lines))
+    return done | {"orientation": analysis.orientation, "component_count": len(analysis.components)}
 
 
 _LINES = "array<struct<left:int,top:int,right:int,bottom:int,role:string>>"
@@ -414,51 +413,61 @@ def _array(pixels: bytes, width: int, height: int) -> np.ndarray:
     return np.frombuffer(pixels, dtype=np.uint8).reshape(int(height), int(width))
 
 
-def analysed_lines(frames: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Lines of all images: keys, orientation, thickness and area."""
-    rows = frames.select(*keys, "width", "height", "pixels")
-    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*keys).schema.fields)
+_LINE = "struct<start:int,end:int,left:int,top:int,right:int,bottom:int,owners:array<int>,area:bigint,thickness:double>"
+
+
+def analysed(images: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """``images`` (keys, width, height, pixels) with orientation, number of components and lines of each."""
+    rows = spread(images.select(*keys, "width", "height", "pixels"), *keys)
+    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
+    names = Line.__dataclass_fields__
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
-            out = []
-            for values in part.itertuples(index=False):
-                found = analyse(_array(values[-1], values[-3], values[-2]))
-                out += [(*values[:-3], found.orientation, line.thickness, line.area) for line in found.lines]
-            yield pd.DataFrame(out, columns=[*keys, "orientation", "thickness", "area"])
+            found = [analyse(_array(p, w, h)) for w, h, p in zip(part["width"], part["height"], part["pixels"])]
+            lines = [[{n: list(v) if n == "owners" else v for n in names for v in [getattr(line, n)]} for line in a.lines] for a in found]
+            yield part.assign(orientation=[a.orientation for a in found], component_count=[len(a.components) for a in found], found=lines)
 
-    return rows.mapInPandas(run, f"{ddl}, orientation string, thickness double, area bigint")
+    return rows.mapInPandas(run, f"{ddl}, orientation string, component_count int, found array<{_LINE}>")
+
+
+def analysed_lines(frames: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Lines of all images: keys, orientation, thickness and area."""
+    return analysed(frames, keys).select(*keys, "orientation", F.explode("found").alias("l")).select(*keys, "orientation", "l.thickness", "l.area")
 
 
 def masked_frames(frames: DataFrame, keys: Sequence[str], source: str = "source_id") -> DataFrame:
     """Every image with its reading aids masked, by the statistics of all lines of its source.
 
-    Each different image of a source is analysed once and counts as often as it
-    occurs; the statistics, a few numbers per source and orientation, are joined
-    back before the images are finished, and the results fanned out to all rows.
-    ``frames`` is read twice or three times, so it should be a staged table.
+    Each different image is analysed once, whatever sources show it, and its
+    analysis staged with it; in the statistics of a source it counts as often as
+    it occurs there. These, a few numbers per source and orientation, are joined
+    to the analyses, each image of a source is finished once, and the results
+    are fanned out to all rows. ``frames`` is read twice, so it should be a
+    staged table.
     """
     names = list(dict.fromkeys([*keys, source]))
     rows = frames.select(*names, "width", "height", "pixels", image_key(F.col("pixels"), F.col("width"), F.col("height")).alias("_key"))
-    images = rows.groupBy(source, "_key").agg(F.first("width").alias("width"), F.first("height").alias("height"), F.first("pixels").alias("pixels"), F.count("*").alias("_n"))
-    lines = stage(analysed_lines(images, [source, "_n"]), "lines")
+    different = rows.groupBy("_key").agg(F.first(F.struct("width", "height", "pixels")).alias("_i")).select("_key", "_i.*")
+    images = stage(analysed(different, ["_key"]), "analysed")
+    uses = rows.groupBy(source, "_key").agg(F.count("*").alias("_n"))
+    lines = uses.join(images.select("_key", "orientation", F.explode("found").alias("l")), "_key").select(source, "_n", "orientation", "l.thickness", "l.area")
     stats = line_stats(lines, [source, "orientation"], repeat="_n")
     by_source = stats.groupBy(source).agg(F.map_from_entries(F.collect_list(F.struct("orientation", F.array("main_thickness", "main_min_thickness", "furigana_min_thickness", "furigana_max_thickness", "max_cross_gap", "min_flow_overlap_ratio")))).alias("_stats"))
-    asked = images.join(by_source, source, "left").select(source, "_key", "width", "height", "pixels", "_stats")
+    asked = uses.drop("_n").join(images, "_key").join(by_source, source, "left").select(source, "_key", "width", "height", "pixels", "orientation", "component_count", "found", "_stats")
     ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in asked.select(source, "_key").schema.fields)
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         columns = [source, "_key", "width", "height", "pixels", "mask", "orientation", "component_count", "selected_count", "masked_pixel_count", "lines"]
         for part in parts:
             out = []
-            for of, key, width, height, pixels, known in part.itertuples(index=False):
-                grey = _array(pixels, width, height)
-                analysis = analyse(grey)
-                numbers = (dict(known) if known is not None else {}).get(analysis.orientation)
-                done = finish(grey, analysis, Stats(*numbers) if numbers is not None else stats_of(analysis.lines))
-                found = [dict(zip(("left", "top", "right", "bottom", "role"), line)) for line in done["lines"]]
-                out.append((of, key, width, height, done["pixels"].tobytes(), (done["mask"] * np.uint8(255)).tobytes(), done["orientation"], done["component_count"], done["selected_count"], done["masked_pixel_count"], found))
+            for of, key, width, height, pixels, orientation, components, known_lines, known in part.itertuples(index=False):
+                found = tuple(Line(**{**line, "owners": tuple(int(o) for o in line["owners"])}) for line in known_lines)
+                numbers = (dict(known) if known is not None else {}).get(orientation)
+                done = finish(_array(pixels, width, height), orientation, found, Stats(*numbers) if numbers is not None else stats_of(found))
+                shown = [dict(zip(("left", "top", "right", "bottom", "role"), line)) for line in done["lines"]]
+                out.append((of, key, width, height, done["pixels"].tobytes(), (done["mask"] * np.uint8(255)).tobytes(), orientation, components, done["selected_count"], done["masked_pixel_count"], shown))
             yield pd.DataFrame(out, columns=columns)
 
-    finished = asked.mapInPandas(run, f"{ddl}, width int, height int, pixels binary, mask binary, orientation string, component_count int, selected_count int, masked_pixel_count bigint, lines {_LINES}")
+    finished = spread(asked, source, "_key").mapInPandas(run, f"{ddl}, width int, height int, pixels binary, mask binary, orientation string, component_count int, selected_count int, masked_pixel_count bigint, lines {_LINES}")
     return fan_out(rows.select(*names, "_key"), finished, [source, "_key"]).drop("_key")

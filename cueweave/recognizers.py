@@ -17,6 +17,7 @@ import urllib.request
 from base64 import b64encode
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, field
+from email.utils import parsedate_to_datetime
 from typing import Protocol
 
 import numpy as np
@@ -99,6 +100,29 @@ class TableRecogniser:
         pass
 
 
+def asked_wait(header: str | None, body: bytes = b"", now: float | None = None) -> float | None:
+    """Seconds a server asks to wait, by its header (seconds or a date) or else its error's details; null if it asks for none."""
+    header = (header or "").strip()
+    try:
+        return max(0.0, float(header))
+    except ValueError:
+        pass
+    try:
+        return max(0.0, parsedate_to_datetime(header).timestamp() - (time.time() if now is None else now))
+    except (TypeError, ValueError):
+        pass
+    try:
+        delays = [str(d["retryDelay"]).strip() for d in json.loads(body)["error"]["details"] if "retryDelay" in d]
+    except (KeyError, TypeError, ValueError):
+        return None
+    for delay in delays:
+        try:
+            return max(0.0, float(delay.removesuffix("s")))
+        except ValueError:
+            continue
+    return None
+
+
 class HttpRecogniser:
     """Chat completions over HTTP with the image as a data URL."""
 
@@ -122,9 +146,8 @@ class HttpRecogniser:
             with urllib.request.urlopen(request, timeout=self.timeout) as response:
                 return json.load(response)
         except urllib.error.HTTPError as e:
-            after = e.headers.get("Retry-After") or ""
             if e.code in (408, 429) or e.code >= 500:
-                raise Retryable(f"HTTP {e.code}", float(after) if after.replace(".", "", 1).isdigit() else None) from e
+                raise Retryable(f"HTTP {e.code}", asked_wait(e.headers.get("Retry-After"), e.read())) from e
             raise
         except (urllib.error.URLError, TimeoutError) as e:
             raise Retryable(str(e)) from e

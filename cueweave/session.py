@@ -58,6 +58,15 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame, *columns: str) -> DataFrame:
+    """``df`` in as many partitions as shuffles have, by ``columns`` if any.
+
+    For work that is heavy for its bytes: adaptive execution joins small
+    partitions by their bytes, unless their number was asked for.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *columns)
+
+
 def clear_staged(spark: SparkSession) -> None:
     """Delete the staged tables of the shared folder, once no query that reads them is left."""
     jvm = spark.sparkContext._jvm

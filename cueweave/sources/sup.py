@@ -24,6 +24,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from ..functions.scalar import least_duration, pts_to_ms
 from ..operators.timeline import fold_islands, next_start_end, repair_zero_duration
 from ..raster.kernels import blend, compose, data_digest, decode_runs, palette_tables, pixel_hash
+from ..session import spread, stage
 
 # Packet header and segment types.
 MAGIC = b"PG"
@@ -318,7 +319,7 @@ def display_sets(packet_rows: DataFrame, surface: bool = False, continued_at: in
     Streams are spread over tasks and sorted; the packets of a stream pass
     through its task, which holds one set and the stream's state at a time.
     """
-    ordered = packet_rows.select("source_id", "raw_index", "packet_no", "pts", "segment_type", "payload").repartition("source_id").sortWithinPartitions("source_id", "raw_index", "packet_no")
+    ordered = spread(packet_rows.select("source_id", "raw_index", "packet_no", "pts", "segment_type", "payload"), "source_id").sortWithinPartitions("source_id", "raw_index", "packet_no")
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         source, raw, decoder, held = None, None, StreamDecoder(continued_at), []
@@ -352,18 +353,24 @@ def unique_objects(packet_rows: DataFrame) -> DataFrame:
     return rows.groupBy("width", "height", "digest").agg(F.first("data").alias("data"))
 
 
-def _timed(sets: DataFrame) -> DataFrame:
-    """Complete sets with the start of the next complete one as their end; blank ones end others, too."""
-    complete = sets.where("has_composition and complete")
-    return next_start_end(complete, ["source_id"], ["raw_index"], "pts", bucket=("raw_index", SETS_PER_BUCKET)).withColumnRenamed("pts", "start_pts")
+def _frames_of(shown: DataFrame, track: Sequence[str], max_items: int | None) -> DataFrame:
+    """Frames of the images of complete sets (source_id, raw_index, pts, ordinal, box, image_hash, pixels), those of blank sets null.
 
-
-def _deduplicated(candidates: DataFrame, track: Sequence[str], values: Sequence[str], max_items: int | None) -> DataFrame:
+    A set ends with the next complete one, blank or not. The images are staged
+    once; all scans run over their numbers, and the first image of each frame is
+    joined to it at the end.
+    """
+    images = stage(shown, "images")
+    sets = images.select("source_id", "raw_index", "pts").distinct()
+    timed = next_start_end(sets, ["source_id"], ["raw_index"], "pts", bucket=("raw_index", SETS_PER_BUCKET)).withColumnRenamed("pts", "start_pts")
+    numbers = images.where("image_hash is not null").select("source_id", "raw_index", "ordinal", *track, "image_hash")
     bucket = ("ordinal", SETS_PER_BUCKET * 256)
-    rows = repair_zero_duration(candidates, ["source_id"], ["ordinal"], first_n=max_items, bucket=bucket)
-    found = fold_islands(rows, ["source_id", *track], ["ordinal"], "image_hash", "start_pts", "end_pts", first=["raw_index", *values], bucket=bucket)
+    rows = repair_zero_duration(stage(numbers.join(timed, ["source_id", "raw_index"]), "timed-images"), ["source_id"], ["ordinal"], first_n=max_items, bucket=bucket)
+    found = fold_islands(rows, ["source_id", *track], ["ordinal"], "image_hash", "start_pts", "end_pts", first=["raw_index"], bucket=bucket)
     start, end = pts_to_ms(F.col("start_pts")), pts_to_ms(F.col("end_pts"))
-    return found.withColumn("start_ms", start).withColumn("end_ms", least_duration(start, end))
+    found = found.withColumn("start_ms", start).withColumn("end_ms", least_duration(start, end))
+    values = [c for c in images.columns if c not in ("raw_index", "pts", "image_hash", *track)]
+    return found.join(images.select(*values).withColumnRenamed("ordinal", "first_ordinal"), ["source_id", "first_ordinal"])
 
 
 def window_frames(sets: DataFrame, max_items: int | None = None) -> DataFrame:
@@ -371,13 +378,13 @@ def window_frames(sets: DataFrame, max_items: int | None = None) -> DataFrame:
 
     ``max_items`` counts candidates before equal neighbours are merged.
     """
-    exploded = _timed(sets).select("source_id", "raw_index", "start_pts", "end_pts", F.explode("windows").alias("w"))
-    candidates = exploded.select("source_id", "raw_index", "start_pts", "end_pts", (F.col("raw_index") * 256 + F.col("w.window_id")).alias("ordinal"), "w.*")
-    return _deduplicated(candidates, ["window_id", "left", "top", "right", "bottom"], ["width", "height", "pixels"], max_items)
+    shown = sets.where("has_composition and complete").select("source_id", "raw_index", "pts", F.explode_outer("windows").alias("w"))
+    ordinal = F.col("raw_index") * 256 + F.coalesce("w.window_id", F.lit(0))
+    shown = shown.select("source_id", "raw_index", "pts", ordinal.alias("ordinal"), "w.*").drop("object_ids")
+    return _frames_of(shown, ["window_id", "left", "top", "right", "bottom"], max_items)
 
 
 def frames(sets: DataFrame, max_items: int | None = None) -> DataFrame:
     """One row per composed screen; ``sets`` must have surfaces."""
-    shown = _timed(sets).where("surface is not null")
-    candidates = shown.select("source_id", "raw_index", "start_pts", "end_pts", F.col("raw_index").alias("ordinal"), "surface.*")
-    return _deduplicated(candidates, [], ["left", "top", "width", "height", "pixels"], max_items)
+    shown = sets.where("has_composition and complete").select("source_id", "raw_index", "pts", F.col("raw_index").alias("ordinal"), "surface.*")
+    return _frames_of(shown, [], max_items)

@@ -261,3 +261,12 @@ def test_staged_tables_can_be_cleared(spark):
     with pytest.raises(Exception, match="staged/three"):
         table.count()
     assert stage(spark.range(2), "two").count() == 2
+
+
+def test_waits_that_a_server_asks_for():
+    from cueweave.recognizers import asked_wait
+
+    body = b'{"error": {"details": [{"reason": "busy"}, {"retryDelay": "x"}, {"retryDelay": "1.5s"}]}}'
+    assert [asked_wait(h, b"", 1_000_000_000.0) for h in ("7", " 2.5 ", "-1", "Sun, 09 Sep 2001 01:46:50 GMT", "Sun, 09 Sep 2001 01:46:00 GMT")] == [7, 2.5, 0, 10, 0]
+    assert asked_wait(None, body) == asked_wait("soon", body) == 1.5
+    assert asked_wait(None) is asked_wait("", b"[]") is asked_wait("x", b"{broken") is None
