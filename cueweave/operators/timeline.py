@@ -22,6 +22,8 @@ LEAST_PTS = 90
 ISLAND_GAP_PTS = 180
 #: Width of a bucket of the safe policy: bounds the rows that are joined with each other.
 SAFE_BUCKET_MS = 20_000
+#: Buckets up to which a segment of the safe policy is cut at each.
+SHORT_SPANS = 16
 
 
 def _bucketed(df: DataFrame, keys: Sequence[str], bucket: tuple[str, int]) -> DataFrame:
@@ -148,45 +150,75 @@ def elementary_intervals(df: DataFrame, keys: Sequence[str], start: str, end: st
     return pairs.where("_next is not null").select("_k.*", "iv_start", F.col("_next.iv_start").alias("iv_end"))
 
 
+def _cut(rows: DataFrame, start: str, end: str, bucket_ms: int) -> DataFrame:
+    """Rows (_k, start, end and more) cut where cells of time begin, with the cell as ``_b`` and the cut as ``_s`` and ``_e``.
+
+    A row of up to ``SHORT_SPANS`` buckets is cut at each. A longer one is cut
+    only at the buckets that others or its own ends touch, so that its length in
+    time costs nothing: a cell of it reaches to the next such bucket.
+    """
+    first, last = bucket_of(start, bucket_ms), F.call_function("div", F.col(end) - 1 - F.pmod(F.col(end) - 1, F.lit(bucket_ms)), F.lit(bucket_ms))
+    rows = rows.withColumns({"_first": first, "_last": last})
+    short = rows.where(F.col("_last") - F.col("_first") < SHORT_SPANS).withColumn("_b", F.explode(F.sequence("_first", "_last"))).withColumn("_next", F.col("_b") + 1)
+    long = rows.where(F.col("_last") - F.col("_first") >= SHORT_SPANS)
+    ends = long.select("_k", F.explode(F.array("_first", "_last")).alias("_b"))
+    touched = short.select("_k", "_b").unionByName(ends).distinct().withColumn("_next", F.lead("_b").over(Window.partitionBy("_k").orderBy("_b")))
+    far = long.join(touched, "_k").where(F.col("_b").between(F.col("_first"), F.col("_last"))).withColumn("_next", F.coalesce("_next", F.col("_last") + 1))
+    cut = short.unionByName(far)
+    return cut.withColumn("_s", F.greatest(start, F.col("_b") * bucket_ms)).withColumn("_e", F.least(end, F.col("_next") * bucket_ms)).drop("_first", "_last", "_next")
+
+
+def _runs_of(pieces: str) -> Column:
+    """Pieces (s, e, t) of a cell with touching ones of the same text joined."""
+    piece = lambda i: F.get(pieces, i)
+    opens = F.filter(F.transform(pieces, lambda x, i: i), lambda i: (i == 0) | (piece(i - 1)["e"] != piece(i)["s"]) | (piece(i - 1)["t"] != piece(i)["t"]))
+    return F.transform(opens, lambda i, n: F.struct(piece(i)["s"].alias("s"), piece(F.coalesce(F.get(opens, n + 1), F.size(pieces)) - 1)["e"].alias("e"), piece(i)["t"].alias("t")))
+
+
 def safe_cues(df: DataFrame, keys: Sequence[str], layout: Sequence[str], start: str = "start_ms", end: str = "end_ms", text: str = "text", bucket_ms: int = SAFE_BUCKET_MS) -> DataFrame:
     """Cues that never overlap: keys, cue_index, start_ms, end_ms, text.
 
     Time is cut at every start and end. Each piece shows the different texts of
     its active segments in order of ``layout``, one a line; touching pieces of
-    the same text are one cue. Segments are cut at bucket borders first, which
-    bounds what is gathered to what shows in one bucket and changes nothing, as
-    the cuts are closed again with the other touching pieces.
+    the same text are one cue. Segments are cut into cells first, which bounds
+    what is gathered to what shows in one cell and changes nothing: runs of
+    pieces are found within a cell, and a summary of one row a cell tells which
+    go on over borders, where those end, and how many cues lie before.
     """
-    by = ["_k", "_b"]
     rows = clean_segments(df, text, start, end)
-    last_ms = F.col(end).cast("long") - 1
-    spans = F.sequence(bucket_of(start, bucket_ms), F.call_function("div", last_ms - F.pmod(last_ms, F.lit(bucket_ms)), F.lit(bucket_ms)))
-    cut = rows.select(packed_keys(keys), F.explode(spans).alias("_b"), F.struct(*layout).alias("_at"), F.col(text).alias("_text"), F.col(start).cast("long").alias("_s"), F.col(end).cast("long").alias("_e"))
-    cut = cut.withColumn("_s", F.greatest("_s", F.col("_b") * bucket_ms)).withColumn("_e", F.least("_e", (F.col("_b") + 1) * bucket_ms))
-    gathered = cut.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("_at", "_text", "_s", "_e"))).alias("_rows"))
-    points = F.array_sort(F.array_distinct(F.concat(F.transform("_rows", lambda x: x["_s"]), F.transform("_rows", lambda x: x["_e"]))))
-    gathered = gathered.withColumn("_points", points)
+    rows = rows.select(packed_keys(keys), F.struct(*layout).alias("_at"), F.col(text).alias("_text"), F.col(start).cast("long").alias("_from"), F.col(end).cast("long").alias("_to"))
+    cut = _cut(rows, "_from", "_to", bucket_ms)
+    cells = cut.groupBy("_k", "_b").agg(F.array_sort(F.collect_list(F.struct("_at", "_text", "_s", "_e"))).alias("_rows"))
+    cells = cells.withColumn("_points", F.array_sort(F.array_distinct(F.concat(F.transform("_rows", lambda x: x["_s"]), F.transform("_rows", lambda x: x["_e"])))))
 
     def piece(low: Column, high: Column) -> Column:
         active = F.filter("_rows", lambda x: (x["_s"] < high) & (x["_e"] > low))
-        return F.struct(low.alias("iv_start"), high.alias("iv_end"), F.array_join(F.array_distinct(F.transform(active, lambda x: x["_text"])), "\n").alias("_shown"))
+        return F.struct(low.alias("s"), high.alias("e"), F.array_join(F.array_distinct(F.transform(active, lambda x: x["_text"])), "\n").alias("t"))
 
     count = F.size("_points") - 1
-    pieces = F.zip_with(F.slice("_points", 1, count), F.slice("_points", 2, count), piece)
-    shown = gathered.select(*by, F.inline(F.filter(pieces, lambda x: x["_shown"] != "")))
-    whole = Window.partitionBy(*by)
-    scan = whole.orderBy("iv_start")
-    touches = (F.lag("iv_end").over(scan) == F.col("iv_start")) & (F.lag("_shown").over(scan) == F.col("_shown"))
-    runs = shown.withColumn("_no", F.sum(F.when(touches, 0).otherwise(1)).over(scan)).groupBy(*by, "_no", "_shown").agg(F.min("iv_start").alias("start_ms"), F.max("iv_end").alias("end_ms"))
-    runs = stage(runs.withColumn("last", F.col("_no") == F.max("_no").over(whole)), "safe-runs")
-    # A run goes on from the bucket before only where that ended, so only those ends are carried.
-    ends = runs.where(F.col("last") & (F.col("end_ms") == (F.col("_b") + 1) * bucket_ms)).select("_k", (F.col("_b") + 1).alias("_b"), F.col("_shown").alias("_before"))
-    opens = runs.join(ends, by, "left")
-    cont = (F.col("_no") == 1) & (F.col("start_ms") == F.col("_b") * bucket_ms) & (F.col("_before") == F.col("_shown"))
-    opens = stage(opens.select(*by, "_no", "start_ms", "end_ms", F.col("_shown").alias("text"), "last", F.coalesce(cont, F.lit(False)).alias("cont")), "safe-pieces")
-    cues = stitch(opens, ["_k"], "_b", "_no", "cont", "last", {"start_ms": F.min("start_ms"), "end_ms": F.max("end_ms"), "text": F.first("text")})
-    cues = cues.withColumn("_b", bucket_of("start_ms", bucket_ms * 180))
-    return numbered(cues, ["_k"], "_b", ["start_ms"], "cue_index").select("_k.*", "cue_index", "start_ms", "end_ms", "text")
+    pieces = F.filter(F.zip_with(F.slice("_points", 1, count), F.slice("_points", 2, count), piece), lambda x: x["t"] != "")
+    cells = stage(cells.withColumn("_pieces", pieces).select("_k", "_b", _runs_of("_pieces").alias("_runs")), "safe-cells")
+    first, last = F.get("_runs", F.lit(0)), F.element_at("_runs", -1)
+    borders = cells.select("_k", "_b", F.size("_runs").alias("_n"), first["s"].alias("_s"), first["e"].alias("_e"), first["t"].alias("_t"), last["e"].alias("_last_e"), last["t"].alias("_last_t"))
+    scan = Window.partitionBy("_k").orderBy("_b")
+    before = lambda c: F.lag(c).over(scan)
+    cont = F.coalesce((before("_last_e") == F.col("_s")) & (before("_last_t") == F.col("_t")), F.lit(False))
+    borders = borders.withColumn("_cont", cont).withColumn("_link", F.sum(F.when(F.col("_cont") & (before("_n") == 1), 0).otherwise(1)).over(scan))
+    # Links in a row over cells of one run are one cue, which ends where the last of them does.
+    borders = borders.withColumn("_link_e", F.max(F.when(F.col("_cont"), F.col("_e"))).over(Window.partitionBy("_k", "_link")))
+    goes_on = F.coalesce(F.lead("_cont").over(scan), F.lit(False))
+    own = F.col("_n") - F.col("_cont").cast("int")
+    borders = borders.select(
+        "_k",
+        "_b",
+        "_cont",
+        F.when(goes_on, F.lead("_link_e").over(scan)).otherwise(F.col("_last_e")).alias("_end"),
+        F.coalesce(F.sum(own).over(scan.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_shift"),
+    )
+    found = cells.join(borders, ["_k", "_b"]).select("_k", "_cont", "_end", "_shift", F.size("_runs").alias("_n"), F.posexplode("_runs").alias("_pos", "_r"))
+    found = found.where(~F.col("_cont") | (F.col("_pos") > 0))
+    index = F.col("_shift") + F.col("_pos") + 1 - F.col("_cont").cast("int")
+    return found.select("_k.*", index.cast("long").alias("cue_index"), F.col("_r.s").alias("start_ms"), F.when(F.col("_pos") == F.col("_n") - 1, F.col("_end")).otherwise(F.col("_r.e")).alias("end_ms"), F.col("_r.t").alias("text"))
 
 
 def overlap_cues(df: DataFrame, keys: Sequence[str], order: Sequence[str], start: str = "start_ms", end: str = "end_ms", text: str = "text", bucket_ms: int = 3_600_000) -> DataFrame:

@@ -51,6 +51,18 @@ def test_safe_policy_against_intervals(spark):
     assert [c[1:] for c in got] == plain_safe(rows) and [c[0] for c in got] == list(range(1, len(got) + 1))
 
 
+def test_safe_policy_with_endless_segments(spark):
+    """A wrong end of 10^12 ms costs no more than any other."""
+    rnd = random.Random(3)
+    rows = [("a", 1000, 5_000, 10**12, "endless", 0, 9, 0, 9), ("a", 1001, 90_000, 4_000_000, "long", 0, 8, 0, 9)]
+    for n in range(60):
+        s = rnd.randrange(0, 3_000_000)
+        rows.append(("a", n, s, s + rnd.choice([10, 5_000, 40_000, 400_000]), rnd.choice(["x", "y"]), rnd.randrange(3), rnd.randrange(3), 0, 9))
+    for part in (rows, rows[:1], rows[:2]):
+        got = cues_of(spark, part)
+        assert [c[1:] for c in got] == plain_safe(part) and [c[0] for c in got] == list(range(1, len(got) + 1))
+
+
 def test_zero_repair_and_limit(spark):
     df = spark.createDataFrame([("s", 1, 100, 100), ("s", 2, 200, 260), ("t", 1, 100, 100), ("u", 1, 100, 100), ("u", 2, 1_000_100, 1_000_200)], "k string, n int, start_pts long, end_pts long")
     got = {(r.k, r.n): r.end_pts for r in timeline.repair_zero_duration(df, ["k"], ["n"]).collect()}
