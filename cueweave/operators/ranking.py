@@ -89,3 +89,12 @@ def first_matching(assets: DataFrame, patterns: DataFrame, group: str, name: str
     """First asset of each group whose name fits each pattern of the group."""
     met = assets.join(patterns, group).where(F.expr(f"{name} rlike {pattern}"))
     return met.groupBy(group, pattern).agg(F.min_by(name, ordinal).alias(name), F.min(ordinal).alias(ordinal))
+
+
+def complete_selection(assets: DataFrame, patterns: DataFrame, group: str, name: str, pattern: str, ordinal: str, digest: str) -> DataFrame:
+    """The assets of ``first_matching`` with their digests, for groups in which each pattern met one and all of these have a digest."""
+    met = assets.join(patterns, group).where(F.expr(f"{name} rlike {pattern}"))
+    chosen = met.groupBy(group, pattern).agg(F.min_by(F.struct(name, digest), ordinal).alias("_c"), F.min(ordinal).alias(ordinal)).select(group, pattern, "_c.*", ordinal)
+    wanted = patterns.groupBy(group).agg(F.count_distinct(pattern).alias("_wanted"))
+    whole = chosen.groupBy(group).agg(F.count(digest).alias("_whole")).join(wanted, group).where("_whole = _wanted")
+    return chosen.join(whole.select(group), group, "left_semi")

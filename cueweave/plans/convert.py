@@ -28,9 +28,12 @@ class Converted:
     cues: DataFrame
     disagreements: DataFrame | None = None
     corrections: DataFrame | None = None
+    texts: DataFrame | None = None
 
     def counters(self) -> dict[str, int]:
         out = {"processed": self.prepared.count(), "written": self.cues.count()}
+        if self.texts is not None and (unread := self.texts.where("error <> ''").count()):
+            out["unread"] = unread
         if self.disagreements is not None:
             out["detected"] = self.disagreements.count()
         if self.corrections is not None:
@@ -92,7 +95,7 @@ def convert(spark: SparkSession, request: ConvertRequest) -> Converted:
         final = correct.overlay(final, corrections, KEYS, "text", "conservative_merged_text").drop("was_corrected")
     segments = timeline.text_segments(final.select(*KEYS, "start_ms", "end_ms", "text", *LAYOUT))
     cues = timeline.cues(segments, request.srt_policy, ["source_id"], LAYOUT, "first_ordinal")
-    return Converted(frames, cues, surface, corrections)
+    return Converted(frames, cues, surface, corrections, texts)
 
 
 def execute(spark: SparkSession, request: ConvertRequest) -> dict[str, int]:

@@ -542,6 +542,15 @@ def first_matching(spark, sf_dir):
     return ranking.first_matching(part, patterns, "p_brand", "p_name", "pattern", "p_partkey")
 
 
+@query("""WITH p AS (SELECT unnest(['a.*e', '^b', 'g$']) AS pattern), c AS (SELECT p_brand, pattern, arg_min((p_name, CASE WHEN p_size > 1 THEN p_type END), p_partkey) AS v, min(p_partkey) AS p_partkey FROM part, p WHERE regexp_matches(p_name, pattern) GROUP BY 1, 2),
+x AS (SELECT p_brand, pattern, v[1] AS p_name, v[2] AS digest, p_partkey FROM c) SELECT * FROM x WHERE p_brand IN (SELECT p_brand FROM x GROUP BY 1 HAVING count(digest) = 3)""")
+def complete_selection(spark, sf_dir):
+    """First parts of the brands that have one for each pattern, all of them with what stands for a digest."""
+    part = load(spark, sf_dir, "part").withColumn("digest", F.when(F.col("p_size") > 1, F.col("p_type")))
+    patterns = part.select("p_brand").distinct().withColumn("pattern", F.explode(F.array(F.lit("a.*e"), F.lit("^b"), F.lit("g$"))))
+    return ranking.complete_selection(part, patterns, "p_brand", "p_name", "pattern", "p_partkey", "digest").select("p_brand", "pattern", "p_name", "digest", "p_partkey")
+
+
 @query("""WITH l AS (SELECT n_name, n_nationkey AS position FROM nation WHERE n_nationkey % 2 = 0)
 SELECT n.n_name, position, row_number() OVER (ORDER BY position NULLS LAST, n.n_name) AS place FROM nation n LEFT JOIN l ON n.n_name = l.n_name""")
 def listed_first(spark, sf_dir):

@@ -255,11 +255,13 @@ class Session:
             self._open = None
 
 
-def recognised(images: DataFrame, settings: Settings, keys: Sequence[str], parallel: int | None = None) -> DataFrame:
+def recognised(images: DataFrame, settings: Settings, keys: Sequence[str], parallel: int | None = None, strict: bool = False) -> DataFrame:
     """Texts of images (keys, width, height, pixels): keys, text, error.
 
-    A row whose request fails for good keeps its place with an error. ``parallel``
-    bounds the tasks that ask at a time.
+    A row whose request fails for good keeps its place with an error; with
+    ``strict`` it fails the job, and the tasks that have not begun do not ask.
+    ``parallel`` bounds the tasks that ask at a time. Rows belong to their keys,
+    whatever order the answers come in.
     """
     factory = _FACTORIES.get(settings.name)
     if factory is None:
@@ -279,6 +281,8 @@ def recognised(images: DataFrame, settings: Settings, keys: Sequence[str], paral
                         texts.append(session.text(np.frombuffer(pixels, dtype=np.uint8).reshape(height, width)))
                         errors.append("")
                     except Exception as e:  # noqa: BLE001 - any failure of a plugin belongs to its row
+                        if strict:
+                            raise
                         texts.append(None)
                         errors.append(f"{type(e).__name__}: {e}")
                 yield part[list(keys)].assign(text=texts, error=errors)

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from .operators.scan import bucket_of, numbered
 from .operators.timeline import frame_and_segment, srt_blocks
-from .raster.kernels import bmp, outlined, png
+from .raster.kernels import bmp, outlined, png, read_png
 from .sources.sup import SETS_PER_BUCKET
 
 ENCODERS = {"png": lambda p: png(p), "png-fast": lambda p: png(p, 1), "bmp": bmp}
@@ -112,6 +112,25 @@ def export_images(frames: DataFrame, folder: str, encoding: str = "png") -> Data
     return out.withColumn("image", F.concat(F.lit("images/"), "name")).drop("name")
 
 
+def spill_images(frames: DataFrame, folder: str, key: str = "image_key", encoding: str = "png") -> DataFrame:
+    """Each different image once under a mounted folder, named by its key: key, image. ``read_spilled`` reads them back."""
+    once = frames.groupBy(key).agg(F.first(F.struct("width", "height", "pixels")).alias("_i")).select(key, "_i.*").withColumn("name", F.concat(key, F.lit("." + _SUFFIX[encoding])))
+    out = _write_images(once, folder, {"images": _pixels}, ("width", "height", "pixels"), encoding)
+    return out.withColumn("image", F.concat(F.lit("images/"), "name")).drop("name")
+
+
+def read_spilled(spilled: DataFrame, folder: str) -> DataFrame:
+    """Spilled PNG images with width, height and grey pixels."""
+    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in spilled.schema.fields)
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            grey = [read_png(Path(folder, image).read_bytes()) for image in part["image"]]
+            yield part.assign(width=[g.shape[1] for g in grey], height=[g.shape[0] for g in grey], pixels=[g.tobytes() for g in grey])
+
+    return spilled.mapInPandas(run, f"{ddl}, width int, height int, pixels binary")
+
+
 def export_masks(frames: DataFrame, masked: DataFrame, folder: str) -> DataFrame:
     """Original, masked, mask and line images, and a manifest with counts of lines by role."""
     details = masked.select("source_id", "first_ordinal", F.col("pixels").alias("masked_pixels"), "mask", "orientation", "component_count", "selected_count", "masked_pixel_count", "lines")

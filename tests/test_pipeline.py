@@ -270,3 +270,40 @@ def test_waits_that_a_server_asks_for():
     assert [asked_wait(h, b"", 1_000_000_000.0) for h in ("7", " 2.5 ", "-1", "Sun, 09 Sep 2001 01:46:50 GMT", "Sun, 09 Sep 2001 01:46:00 GMT")] == [7, 2.5, 0, 10, 0]
     assert asked_wait(None, body) == asked_wait("soon", body) == 1.5
     assert asked_wait(None) is asked_wait("", b"[]") is asked_wait("x", b"{broken") is None
+
+
+def test_smoke(spark, tmp_path):
+    from cueweave.plans.smoke import SmokeRequest, smoke
+
+    assert smoke(spark, SmokeRequest(str(tmp_path / "check"))) == {"processed": 3, "written": 3, "status": "ok"}
+    for bad in ({"backend": "x"}, {"backend": "http"}, {"url": "http://y"}, {"images": 0}):
+        with pytest.raises(RequestError):
+            SmokeRequest("f", **bad).checked()
+
+
+class Refusing:
+    def __init__(self, options):
+        pass
+
+    def recognise(self, pixels, prompt):
+        raise ValueError("refused")
+
+    def close(self):
+        pass
+
+
+def test_failures_are_counted_or_fail_the_job(spark, stream):
+    register("refusing", Refusing)
+    done = convert.convert(spark, ConvertRequest(stream, "x", recogniser=Settings("refusing")))
+    assert done.counters() == {"processed": 4, "written": 0, "unread": 4}
+    with pytest.raises(Exception, match="refused"):
+        recognised(done.prepared, Settings("refusing"), ["source_id", "first_ordinal"], strict=True).collect()
+
+
+def test_spilled_images_come_back(spark, stream, tmp_path):
+    frames = convert.prepared_frames(spark, stream)
+    spilled = sinks.spill_images(frames, str(tmp_path))
+    rows = spilled.collect()
+    assert len(rows) == 3 == len(list((tmp_path / "images").iterdir()))
+    back = {r.image_key: (r.width, r.height, bytes(r.pixels)) for r in sinks.read_spilled(spark.createDataFrame(rows, spilled.schema), str(tmp_path)).collect()}
+    assert back == {r.image_key: (r.width, r.height, bytes(r.pixels)) for r in frames.collect()}
