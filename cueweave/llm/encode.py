@@ -27,6 +27,8 @@ from pyspark.sql import functions as F
 KEPT_WORDS = 200_000
 #: A word longer than this many bytes is encoded but not kept.
 KEPT_BYTES = 256
+#: Pairs of tokens whose meeting a task remembers; emptied when full.
+KEPT_PAIRS = 1_000_000
 DEFAULT_VOCABULARY = "byte_bpe_50k.tiktoken"
 
 
@@ -125,6 +127,8 @@ class TrieEncoder:
                     bound, two = two + 1, self._left[two]
                 else:
                     break
+            if len(self._fits) >= KEPT_PAIRS:
+                self._fits.clear()
             self._fits[key] = known
         return known
 
