@@ -222,8 +222,6 @@ def test_no_scan_holds_a_whole_source(spark):
     assert timeline.elementary_intervals(rows, ["k"], "s", "e", 2_000).count() == timeline.elementary_intervals(rows, ["k"], "s", "e", 10**9).count()
     ranges = ranking.placed(rows, ["k"], [F.desc("s")], "place")
     assert ranges.where("place <> case when k = 'hot' then 18000 - (id - floor(id / 10) - 1) else 2000 - id / 10 end").count() == 0
-    from cueweave.session import clear_staged, shared_dir  # noqa: F401
-
     sizes = rows.repartitionByRange(8, "k", F.desc("s")).groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0]
     assert sizes < 6_000
 
