@@ -94,6 +94,29 @@ def test_confusable_letters(spark):
         assert run(run(text)) == run(text)
 
 
+class _Jvm:
+    """Packages without classes, as py4j gives them, or with a checker that answers ``skeleton``."""
+
+    def __init__(self, skeleton=None):
+        self._skeleton = skeleton
+
+    def __getattr__(self, name):
+        return self
+
+    def __call__(self, *args):
+        if self._skeleton is None:
+            raise TypeError("'JavaPackage' object is not callable")
+        return self._skeleton if args else self
+
+
+@pytest.mark.parametrize("jvm,error", [(_Jvm(), RuntimeError), (_Jvm("a\nb"), ValueError)])
+def test_without_the_table_there_are_no_letters(jvm, error):
+    """No ICU, or skeletons of other letters than were asked for, is a failure and not a table without letters."""
+    session = type("Session", (), {"sparkContext": type("Context", (), {"_jvm": jvm})})
+    with pytest.raises(error):
+        confusable_letters(session)
+
+
 def test_kept_clusters_are_bounded():
     run = LookalikeTransducer(*precompute())
     for i in range(KEPT_CLUSTERS + 500):
