@@ -7,7 +7,7 @@ import pytest
 import regex
 from pyspark.sql import functions as F
 
-from cueweave.llm.repetition import CHANGED, FALSE_REJECTIONS, Bodies, Cutoff, binomial_upper, clean_sentences, content, holdout, repetition, repetition_of, select_cutoffs
+from cueweave.llm.repetition import CHANGED, FALSE_REJECTIONS, Bodies, Cutoff, binomial_upper, clean_sentences, content, holdout, repetition, repetition_of, select_cutoffs, table_cutoffs
 
 SENTENCES = [
     "The shop sign is tiny, so nobody could read it.",
@@ -136,3 +136,34 @@ def test_clean_sentences_leave_no_group_out(spark):
     df = spark.createDataFrame([(g, f"{g} {i}") for g in ("a", "z") for i in range(200)] + [("a", None)], "g string, t string")
     some = clean_sentences(df, "g", "t", 100)
     assert len(some) == 100 and 30 < sum(g == "z" for g, _ in some) < 70
+
+
+def made_up(count, seed):
+    rnd = random.Random(seed)
+    return sorted({" ".join("".join(rnd.choices("abcdefghijklmnopqrstuvwxyz", k=rnd.randrange(3, 9))) for _ in range(7)).capitalize() + "." for _ in range(count)})
+
+
+def test_every_sentence_is_counted():
+    sentences = made_up(3_000, 3)
+    few = "\n".join(text for text, share in holdout(sentences, 100, 5) if share <= 0.5)
+    assert [s for s in sentences if s not in few] == []
+
+
+def test_cutoffs_come_from_the_whole_table(spark, monkeypatch):
+    """More sentences than one block, or 10,000, holds: each stands in a counted text, and nothing is left to a draw of rows."""
+    tried = []
+    monkeypatch.setattr("cueweave.llm.repetition.binomial_upper", lambda f, n, e: tried.append(n) or binomial_upper(f, n, e))
+    sentences = made_up(12_000, 4)
+    df = spark.createDataFrame([("x", s) for s in [*sentences, *sentences[:99]]] + [("x", None), (None, "a")], "g string, t string")
+    cutoffs = table_cutoffs(df, "g", "t")
+    assert cutoffs["letters-long"].share is not None and cutoffs["syllables-long"] == Cutoff(None, 1.0)
+    # No text holds more than 15 sentences.
+    assert max(tried) > len(sentences) / 15
+    assert len(clean_sentences(df, "g", "t")) == len(sentences) + 99
+
+
+def test_table_and_list_agree(spark):
+    rows = [(g, s) for g in "xy" for s in SENTENCES]
+    assert table_cutoffs(spark.createDataFrame(rows, "g string, t string"), "g", "t") == select_cutoffs(rows)
+    nothing = table_cutoffs(spark.createDataFrame(rows, "g string, t string").limit(0), "g", "t")
+    assert set(nothing.values()) == {Cutoff(None, 1.0)} and len(nothing) == 4
