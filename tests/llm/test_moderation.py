@@ -32,6 +32,15 @@ def test_one_spelling():
     assert words_of("死ね") == ["死", "ね"] and words_of("") == []
 
 
+def test_spelling_of_capitals_and_syllables():
+    """Capitals that look like Latin letters, and letters or syllables set apart, make no other words."""
+    assert words_of("НЕНАВИЖУ ВОРОВ") == words_of("ненавижу воров") == words_of("Ненавижу Воров")
+    assert words_of("В@STARD") == words_of("Вastard") == ["bastard"]
+    for apart in ("i*d*i*o*t", "i/d/i/o/t", "i-d-i-o-t"):
+        assert words_of(apart) == ["idiot"]
+    assert words_of("바 보 자 식") == words_of("바보자식") and words_of("이 집 밖") == ["이집밖"] and words_of("그 사람") == ["그", "사람"]
+
+
 def test_masked_words(model):
     assert "fucked" in words_of("they f****d all night", model.masks) and words_of("x****z", {}) == ["<masked>"]
 
