@@ -58,11 +58,16 @@ def repair_zero_duration(df: DataFrame, keys: Sequence[str], order: Sequence[str
         rows, ahead = df, F.lead(start).over(Window.partitionBy(*keys).orderBy(*order))
     else:
         rows, ahead = with_neighbour(_bucketed(df, keys, bucket), ["_k"], "_b", order, [start], "_next", ahead=True), F.col(f"_next.{start}")
-    repaired = F.when(ahead.isNull(), F.col(start) + EOF_PTS).otherwise(F.greatest(F.col(start) + LEAST_PTS, F.greatest(F.lit(0), ahead - LEAST_PTS)))
-    out = rows.withColumn(end, F.when(F.col(end) <= F.col(start), repaired).otherwise(F.col(end))).drop("_next", "_k", "_b")
+    out = rows.withColumn(end, repaired_end(F.col(start), F.col(end), ahead)).drop("_next", "_k", "_b")
     return out if first_n is None else first_rows(out, keys, order, first_n, bucket)
 
 
+def repaired_end(start: Column, end: Column, ahead: Column) -> Column:
+    """``end``, or one from ``ahead``, the start of the next candidate, if it is not after ``start``."""
+    repaired = F.when(ahead.isNull(), start + EOF_PTS).otherwise(F.greatest(start + LEAST_PTS, F.greatest(F.lit(0), ahead - LEAST_PTS)))
+    return F.when(end <= start, repaired).otherwise(end)
+
+
 def first_rows(df: DataFrame, keys: Sequence[str], order: Sequence[str], n: int, bucket: tuple[str, int] | None = None) -> DataFrame:
     """The first ``n`` rows of each of ``keys``; with ``bucket`` the first of each bucket, and then of those."""
     if bucket is None:

@@ -8,19 +8,18 @@ from __future__ import annotations
 
 import hashlib
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .operators.scan import bucket_of, numbered
-from .plans.convert import read_texts
 from .queries_core import _SEG, fold_sql, segments
 from .queries_core import SQL as SQL_CORE
+from .plans.convert import read_texts
 from .raster.layout import analysed_lines, masked_frames
-from .raster.kernels import BACKGROUND
+from .raster.kernels import BACKGROUND, encode_many
 from .recognizers import Answer, Settings, register
 from .operators import dedupe, detect, stats, timeline
 from .session import load, shared_dir, spread, stage
@@ -32,34 +31,49 @@ INK = {1: (235, 128, 128, 255), 2: (120, 128, 128, 255)}
 CELL, GLYPHS = 6, 4
 
 
-def glyphs(text: str) -> np.ndarray:
-    """A bitmap of blocks that stands for a text, a row of small blocks above some."""
-    digest = hashlib.md5(text.encode("utf-8")).digest()
-    out = np.zeros((CELL * 3, CELL * GLYPHS), dtype=np.uint8)
+def glyphs(texts: Sequence[str]) -> np.ndarray:
+    """For each text a bitmap of blocks that stands for it, a row of small blocks above some."""
+    digests = np.frombuffer(b"".join(hashlib.md5(t.encode("utf-8")).digest() for t in texts), dtype=np.uint8).reshape(len(texts), 16)
+    out = np.zeros((len(texts), CELL * 3, CELL * GLYPHS), dtype=np.uint8)
+    rows = np.arange(CELL * 3)
     for i in range(GLYPHS):
         x = i * CELL
-        out[CELL * 2 - digest[i] % 3 : CELL * 3 - 1, x + 1 : x + CELL - 1] = 1 + digest[4 + i] % 2
-        if digest[8 + i] % 2:
-            out[2:5, x + 1 : x + 3 + digest[12 + i] % 2] = 1
+        block = (rows >= CELL * 2 - digests[:, i, None] % 3) & (rows < CELL * 3 - 1)
+        out[:, :, x + 1 : x + CELL - 1] = (block * (1 + digests[:, 4 + i, None] % 2))[:, :, None]
+        above = digests[:, 8 + i] % 2
+        out[:, 2:5, x + 1 : x + 3] = above[:, None, None]
+        out[:, 2:5, x + 3] = (above * (digests[:, 12 + i] % 2))[:, None]
     return out
 
 
-def drawn_packets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Packets of one stream per source: a display set for each timed segment, in order of starts."""
+def drawn_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of the display sets of one stream per source, one for each timed segment, in order of starts.
+
+    A partition holds whole streams, in order: drawing needs no more than their
+    segments in order, and decoding goes on from there without a shuffle.
+    """
     rows = segments(spark, sf_dir).where("start_ms is not null and end_ms > start_ms and text is not null and source_id is not null")
-    rows = rows.withColumn("_b", bucket_of("start_ms", 3_600_000))
-    rows = numbered(rows, ["source_id"], "_b", ["start_ms", "segment_id"], "raw_index")
-    rows = spread(rows, "source_id", "raw_index").select("source_id", "raw_index", "start_ms", F.coalesce("window_id", F.lit(0)).alias("window_id"), F.coalesce("box_left", F.lit(0)).alias("x"), F.coalesce("box_top", F.lit(0)).alias("y"), "text")
+    rows = spread(rows.select("source_id", "start_ms", "segment_id", F.coalesce("window_id", F.lit(0)).alias("window_id"), F.coalesce("box_left", F.lit(0)).alias("x"), F.coalesce("box_top", F.lit(0)).alias("y"), "text"), "source_id")
+    rows = rows.sortWithinPartitions("source_id", "start_ms", "segment_id")
+    schema = pa.schema([("source_id", pa.string()), ("raw_index", pa.int64()), ("data", pa.binary())])
 
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        palette, source, number = sup_writer.palette_payload(INK), None, 0
         for part in parts:
-            out = []
-            for r in part.itertuples(index=False):
-                data = sup_writer.display_set(r.start_ms * 90 % (1 << 32), [(r.window_id, r.x % 1920, r.y % 1080, glyphs(r.text))], INK)
-                out += [(r.source_id, r.raw_index, *packet[1:]) for packet in sup.scan(data)]
-            yield pd.DataFrame(out, columns=["source_id", "raw_index", "packet_no", "pts", "dts", "segment_type", "payload"])
+            sources, starts, _, windows, xs, ys, texts = (c.to_pylist() for c in part.columns)
+            coded, numbers, data = encode_many(glyphs(texts)), [], []
+            for of, start, window, x, y, runs in zip(sources, starts, windows, xs, ys, coded):
+                source, number = of, number + 1 if of == source else 1
+                numbers.append(number)
+                data.append(sup_writer.coded_set(start * 90 % (1 << 32), [(window, x % 1920, y % 1080, CELL * GLYPHS, CELL * 3, runs)], palette))
+            yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.string()), pa.array(numbers, pa.int64()), pa.array(data, pa.binary())], schema=schema)
+
+    return rows.mapInArrow(run, "source_id string, raw_index bigint, data binary")
 
-    return rows.mapInPandas(run, sup.PACKETS)
+
+def drawn_packets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Packets of the drawn streams."""
+    return sup.packets_of(drawn_sets(spark, sf_dir))
 
 
 class GlyphReader:
@@ -83,8 +97,18 @@ class GlyphReader:
 register("glyphs", GlyphReader)
 
 
-def drawn_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sup.window_frames(sup.display_sets(drawn_packets(spark, sf_dir)))
+def drawn_frames(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Frames of all windows without their pixels, and the different images."""
+    return sup.window_numbers(drawn_sets(spark, sf_dir))
+
+
+def pixel_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sup.window_frames(sup.decoded_sets(drawn_sets(spark, sf_dir)))
+
+
+def keyed(images: DataFrame) -> DataFrame:
+    """``images`` with their identity, hash and shape, as one column."""
+    return images.withColumn("_key", F.concat("image_hash", F.encode(F.concat_ws("x", "width", "height"), "utf-8")))
 
 
 def _byte(i: int) -> str:
@@ -120,7 +144,7 @@ def query(sql: str | None = None):
 @query(f"WITH {_SETS} SELECT source_id, raw_index, TRUE AS complete, {CELL * GLYPHS - 2} AS surface_width, window_id, l AS left, t AS top, l + {CELL * GLYPHS - 3} AS right, b AS bottom FROM n")
 def display_sets(spark, sf_dir):
     """Decoded windows of all display sets, with composed surfaces."""
-    sets = sup.display_sets(drawn_packets(spark, sf_dir), surface=True)
+    sets = sup.decoded_sets(drawn_sets(spark, sf_dir), surface=True, pixels="none")
     shown = sets.select("source_id", "raw_index", "complete", F.col("surface.width").alias("surface_width"), F.explode_outer("windows").alias("w"))
     return shown.select("source_id", "raw_index", "complete", "surface_width", "w.window_id", "w.left", "w.top", "w.right", "w.bottom")
 
@@ -128,7 +152,7 @@ def display_sets(spark, sf_dir):
 @query(f"WITH {_FRAMES} SELECT source_id, first_ordinal, window_id, l AS left, t AS top, start_ms, end_ms, rows, min(first_ordinal) OVER (PARTITION BY source_id, look) AS first_alike FROM frames")
 def window_frames(spark, sf_dir):
     """Images of windows with their times, and the first one of the source that looks alike."""
-    frames = stage(drawn_frames(spark, sf_dir).drop("pixels"), "window-frames")
+    frames = stage(drawn_frames(spark, sf_dir)[0], "window-frames")
     alike = frames.groupBy("source_id", "image_hash").agg(F.min("first_ordinal").alias("first_alike"))
     return frames.join(alike, ["source_id", "image_hash"]).select("source_id", "first_ordinal", "window_id", "left", "top", "start_ms", "end_ms", "rows", "first_alike")
 
@@ -136,7 +160,7 @@ def window_frames(spark, sf_dir):
 @query(f"""WITH {_TIMED}, {fold_sql('t', 'source_id', 'raw_index', 'look', 'pts', 'e', 180)}
 SELECT source_id, min(raw_index) AS first_ordinal, (min(pts) + 45) // 90 AS start_ms, greatest((max(e) + 45) // 90, (min(pts) + 45) // 90 + 1) AS end_ms, {CELL * GLYPHS - 2} AS width, arg_min(b - t + 1, raw_index) AS height FROM fi GROUP BY source_id, run, island""")
 def screen_frames(spark, sf_dir):
-    frames = sup.frames(sup.display_sets(drawn_packets(spark, sf_dir), surface=True))
+    frames = sup.frames(sup.decoded_sets(drawn_sets(spark, sf_dir), surface=True))
     return frames.select("source_id", "first_ordinal", "start_ms", "end_ms", "width", "height")
 
 
@@ -149,14 +173,14 @@ def unique_objects(spark, sf_dir):
 @query()
 def layout_statistics(spark, sf_dir):
     """Statistics of text lines per source and orientation."""
-    frames = drawn_frames(spark, sf_dir)
+    frames = pixel_frames(spark, sf_dir)
     return stats.line_stats(stage(analysed_lines(frames, ["source_id"]), "lines"), ["source_id", "orientation"])
 
 
 @query()
 def masked_layout(spark, sf_dir):
     """Roles and masked pixels of every drawn image."""
-    frames = stage(drawn_frames(spark, sf_dir).select("source_id", "first_ordinal", "width", "height", "pixels"), "drawn")
+    frames = stage(pixel_frames(spark, sf_dir).select("source_id", "first_ordinal", "width", "height", "pixels"), "drawn")
     masked = masked_frames(frames, ["first_ordinal"])
     roles = F.transform("lines", lambda x: x["role"])
     return masked.select("source_id", "first_ordinal", "orientation", "component_count", "selected_count", "masked_pixel_count", F.array_join(roles, ",").alias("roles"))
@@ -171,7 +195,7 @@ z AS (SELECT *, sum(new) OVER (PARTITION BY source_id ORDER BY s0) AS cue_index
 SELECT source_id, CAST(cue_index AS BIGINT) AS cue_index, min(s0) AS start_ms, max(e0) AS end_ms, any_value(text) AS text FROM z GROUP BY source_id, cue_index""")
 def recognised_cues(spark, sf_dir):
     """Streams to cues: each different image read once, its text fanned out, the safe policy."""
-    frames = detect.with_shape(drawn_frames(spark, sf_dir)).withColumn("image_key", dedupe.image_key(F.col("pixels"), F.col("width"), F.col("height")))
+    frames = detect.with_shape(pixel_frames(spark, sf_dir)).withColumn("image_key", dedupe.image_key(F.col("pixels"), F.col("width"), F.col("height")))
     frames = stage(frames, "drawn")
     read = read_texts(frames, Settings("glyphs"))
     rows = dedupe.strict_zip(frames.drop("pixels"), read, ["source_id", "first_ordinal"])
