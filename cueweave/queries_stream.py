@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from .queries_core import _SEG, fold_sql, segments
 from .queries_core import SQL as SQL_CORE
 from .plans.convert import read_texts
-from .raster.layout import analysed_lines, masked_frames
+from .raster.layout import analysed_lines, masked_uses
 from .raster.kernels import BACKGROUND, encode_many
 from .recognizers import Answer, Settings, register
 from .operators import dedupe, detect, stats, timeline
@@ -180,8 +180,8 @@ def layout_statistics(spark, sf_dir):
 @query()
 def masked_layout(spark, sf_dir):
     """Roles and masked pixels of every drawn image."""
-    frames = stage(pixel_frames(spark, sf_dir).select("source_id", "first_ordinal", "width", "height", "pixels"), "drawn")
-    masked = masked_frames(frames, ["first_ordinal"])
+    frames, images = drawn_frames(spark, sf_dir)
+    masked = masked_uses(stage(keyed(frames).select("source_id", "first_ordinal", "_key"), "drawn"), keyed(images))
     roles = F.transform("lines", lambda x: x["role"])
     return masked.select("source_id", "first_ordinal", "orientation", "component_count", "selected_count", "masked_pixel_count", F.array_join(roles, ",").alias("roles"))
 
