@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from .queries_core import _SEG, fold_sql, segments
 from .queries_core import SQL as SQL_CORE
 from .plans.convert import read_texts
-from .raster.layout import analysed_lines, masked_uses
+from .raster.layout import analysed, counted_lines, masked_uses
 from .raster.kernels import BACKGROUND, encode_many
 from .recognizers import Answer, Settings, register
 from .operators import dedupe, detect, stats, timeline
@@ -173,8 +173,9 @@ def unique_objects(spark, sf_dir):
 @query()
 def layout_statistics(spark, sf_dir):
     """Statistics of text lines per source and orientation."""
-    frames = pixel_frames(spark, sf_dir)
-    return stats.line_stats(stage(analysed_lines(frames, ["source_id"]), "lines"), ["source_id", "orientation"])
+    frames, images = drawn_frames(spark, sf_dir)
+    uses = keyed(frames).groupBy("source_id", "_key").agg(F.count("*").alias("_n"))
+    return stats.line_stats(stage(counted_lines(uses, analysed(keyed(images), ["_key"]), ["source_id"]), "lines"), ["source_id", "orientation"], repeat="_n")
 
 
 @query()
