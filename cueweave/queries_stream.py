@@ -17,11 +17,10 @@ from pyspark.sql import functions as F
 
 from .queries_core import _SEG, fold_sql, segments
 from .queries_core import SQL as SQL_CORE
-from .plans.convert import read_texts
 from .raster.layout import analysed, counted_lines, masked_uses
 from .raster.kernels import BACKGROUND, encode_many
-from .recognizers import Answer, Settings, register
-from .operators import dedupe, detect, stats, timeline
+from .recognizers import Answer, Settings, recognised, register
+from .operators import dedupe, stats, timeline
 from .session import load, shared_dir, spread, stage
 from .sources import sup, sup_writer
 from .streaming.stateful import open_islands, stream_islands
@@ -102,10 +101,6 @@ def drawn_frames(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame
     return sup.window_numbers(drawn_sets(spark, sf_dir))
 
 
-def pixel_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sup.window_frames(sup.decoded_sets(drawn_sets(spark, sf_dir)))
-
-
 def keyed(images: DataFrame) -> DataFrame:
     """``images`` with their identity, hash and shape, as one column."""
     return images.withColumn("_key", F.concat("image_hash", F.encode(F.concat_ws("x", "width", "height"), "utf-8")))
@@ -196,10 +191,11 @@ z AS (SELECT *, sum(new) OVER (PARTITION BY source_id ORDER BY s0) AS cue_index
 SELECT source_id, CAST(cue_index AS BIGINT) AS cue_index, min(s0) AS start_ms, max(e0) AS end_ms, any_value(text) AS text FROM z GROUP BY source_id, cue_index""")
 def recognised_cues(spark, sf_dir):
     """Streams to cues: each different image read once, its text fanned out, the safe policy."""
-    frames = detect.with_shape(pixel_frames(spark, sf_dir)).withColumn("image_key", dedupe.image_key(F.col("pixels"), F.col("width"), F.col("height")))
-    frames = stage(frames, "drawn")
-    read = read_texts(frames, Settings("glyphs"))
-    rows = dedupe.strict_zip(frames.drop("pixels"), read, ["source_id", "first_ordinal"])
+    frames, images = drawn_frames(spark, sf_dir)
+    texts = recognised(spread(keyed(images), "_key"), Settings("glyphs"), ["_key"])
+    rows = dedupe.fan_out(keyed(frames), texts.withColumn("_read", F.lit(True)), ["_key"], "left")
+    read = F.when(F.col("_read").isNull(), F.raise_error(F.lit("inputs and texts differ in length")).cast("boolean")).otherwise(F.lit(True))
+    rows = rows.where(read)
     return timeline.cues(timeline.text_segments(rows), "safe", ["source_id"], ["top", "left", "right", "window_id"], "first_ordinal")
 
 

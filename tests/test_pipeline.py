@@ -307,3 +307,12 @@ def test_spilled_images_come_back(spark, stream, tmp_path):
     assert len(rows) == 3 == len(list((tmp_path / "images").iterdir()))
     back = {r.image_key: (r.width, r.height, bytes(r.pixels)) for r in sinks.read_spilled(spark.createDataFrame(rows, spilled.schema), str(tmp_path)).collect()}
     assert back == {r.image_key: (r.width, r.height, bytes(r.pixels)) for r in frames.collect()}
+
+
+def test_drawn_images_are_handed_out_once(spark):
+    from cueweave import queries_stream as q
+
+    frames, images = q.drawn_frames(spark, "/root/testdata/sf0.001")
+    keys = [bytes(r._key) for r in q.keyed(images).collect()]
+    assert "pixels" not in frames.columns and len(keys) == len(set(keys)) > 100
+    assert {bytes(r._key) for r in q.keyed(frames).select("_key").distinct().collect()} == set(keys)
